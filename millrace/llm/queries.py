@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.llm.licenses import scan, scan_sql
+from millrace.llm.mixing import PART_MEAN, TERMS, replicate
 from millrace.llm.sharding import shard
 from millrace.llm.simhash import near_duplicates
 from millrace.llm.topk import exact_top_k
@@ -33,6 +35,29 @@ def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256.0)
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to weights that go with the square root of their sources' sizes."""
+    return replicate(_table(spark, sf_dir, "documents"), seed=17)
+
+
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License sentences and licenses of all documents."""
+    return scan(_table(spark, sf_dir, "documents"))
+
+
+OP5_SQL = f"""
+WITH s AS (SELECT source, sum(coalesce(strlen(text), 0) + 1)::DOUBLE AS size FROM documents GROUP BY source),
+r AS (SELECT source, sqrt(size) / (SELECT sum(sqrt(size)) FROM s) * (SELECT sum(size) FROM s) / size AS rate FROM s),
+p AS (SELECT source, rate, greatest(ceil(rate / {PART_MEAN}), 1)::INT AS parts FROM r),
+t AS (SELECT source, k, exp(k * ln(rate / parts) - rate / parts - lgamma(k + 1)) AS term FROM p, range(0, {TERMS + 1}) g(k)),
+c AS (SELECT source, list(acc ORDER BY k) AS cdf FROM (SELECT source, k, sum(term) OVER (PARTITION BY source ORDER BY k) AS acc FROM t) GROUP BY source),
+u AS (SELECT d.*, coalesce(doc_id::VARCHAR, '') AS id, cdf, parts FROM documents d
+      JOIN p ON d.source IS NOT DISTINCT FROM p.source JOIN c ON d.source IS NOT DISTINCT FROM c.source),
+n AS (SELECT *, list_sum([len([x for x in cdf if x <= (('0x' || substr(md5('17|' || id || '|' || j), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496]) for j in range(0, parts)])::INT AS copies FROM u)
+SELECT doc_id, text, lang, source, n_chars, copy::INT AS mix_copy, ('0x' || substr(md5('17|key|' || id || '|' || copy), 1, 15))::BIGINT AS mix_key
+FROM (SELECT *, unnest(range(0, copies)) AS copy FROM n)
+"""
+
 OP6_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
@@ -50,7 +75,9 @@ SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 5
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
     "op3_simhash": op3_simhash,
+    "op5_mixing": op5_mixing,
     "op6_topk": op6_topk,
+    "op9_licenses": op9_licenses,
 }
 
-ORACLES: dict[str, str] = {"op6_topk": OP6_SQL}
+ORACLES: dict[str, str] = {"op5_mixing": OP5_SQL, "op6_topk": OP6_SQL, "op9_licenses": scan_sql()}
