@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _CHECKPOINT = "spark.checkpoint.dir"
@@ -71,3 +71,35 @@ def text_key(text: Column) -> list[Column]:
     """Two independent 64-bit hashes that stand for a whole text (null: empty)."""
     t = F.coalesce(text, F.lit(""))
     return [F.xxhash64(t).alias("t1"), F.xxhash64(F.lit(1), t).alias("t2")]
+
+
+def fresh(df: DataFrame, base: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken, name = {c.lower() for c in df.columns}, f"millrace_{base}"
+    while name in taken:
+        name += "_"
+    return name
+
+
+#: Numbering cuts a group into cells of about so many rows, or of more where there would be over CELLS in all.
+CELL_ROWS, CELLS = 256, 65536
+
+
+def numbered(rows: DataFrame, key: str, sizes: list[tuple[int, int]], row_id: str, name: str) -> DataFrame:
+    """``rows`` with the column ``name``, which counts each key's rows from 0 without gaps.
+
+    ``sizes`` has every key (a bigint column) and its number of rows; there must
+    be a bounded number of keys.  No task gets a whole key: rows are numbered
+    within cells, and a cell starts where those before it end.  ``row_id``
+    must be unique and stable, as in a materialized table.
+    """
+    most = max(CELL_ROWS, -(-sum(n for _, n in sizes) // CELLS))
+    cut = rows.sparkSession.createDataFrame([(k, -(-n // most)) for k, n in sizes], f"{key} bigint, cells bigint")
+    dealt = rows.join(F.broadcast(cut), key).withColumn("cell", F.pmod(F.xxhash64(row_id), F.col("cells"))).drop("cells")
+    before = Window.partitionBy(key).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy(key, "cell").agg(F.count("*").alias("n"))
+    starts = counts.select(key, "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("begin"))
+    spot = F.row_number().over(Window.partitionBy(key, "cell").orderBy(row_id)) - 1
+    # At most CELLS rows and one for each key.
+    placed = dealt.withColumn("spot", spot).join(F.broadcast(starts), [key, "cell"])
+    return placed.withColumn(name, F.col("begin") + F.col("spot")).drop("cell", "begin", "spot")

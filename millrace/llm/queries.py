@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.licenses import scan, scan_sql
 from millrace.llm.mixing import PART_MEAN, TERMS, replicate
+from millrace.llm.packing import pack
+from millrace.llm.quality import fit, score
 from millrace.llm.sharding import shard
 from millrace.llm.simhash import near_duplicates
 from millrace.llm.topk import exact_top_k
@@ -40,11 +42,29 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replicate(_table(spark, sf_dir, "documents"), seed=17)
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' pieces in sequences of at most 2048 tokens."""
+    return pack(_table(spark, sf_dir, "documents"), capacity=2048)
+
+
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License sentences and licenses of all documents."""
     return scan(_table(spark, sf_dir, "documents"))
 
 
+def held_out(id_col: str) -> Column:
+    """The fold that labels are never learnt from; rows without an id are not in it."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents, learnt outside the held-out fold."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels").where(~held_out("doc_id"))
+    scored = score(docs, fit(docs, labels))
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 OP5_SQL = f"""
 WITH s AS (SELECT source, sum(coalesce(strlen(text), 0) + 1)::DOUBLE AS size FROM documents GROUP BY source),
 r AS (SELECT source, sqrt(size) / (SELECT sum(sqrt(size)) FROM s) * (SELECT sum(size) FROM s) / size AS rate FROM s),
@@ -77,7 +97,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
     "op5_mixing": op5_mixing,
     "op6_topk": op6_topk,
+    "op7_packing": op7_packing,
     "op9_licenses": op9_licenses,
+    "op10_quality": op10_quality,
 }
 
 ORACLES: dict[str, str] = {"op5_mixing": OP5_SQL, "op6_topk": OP6_SQL, "op9_licenses": scan_sql()}

@@ -13,15 +13,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm._shared import materialize, text_key, utf8
+from millrace.llm._shared import materialize, numbered, text_key, utf8
 
-BUNDLES = 512
-LARGE = 200
-CELLS = 65536
-CELL_ROWS = 256
+#: Bundles, and largest number of groups with an item of their own, for each shard.
+BUNDLES, LARGE = 512, 200
 
 
 class _Node:
@@ -190,20 +188,17 @@ def shard(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id", text_col:
     bundle = F.pmod(F.col("t1"), F.lit(bundles)).cast("int")
     small = groups.where(F.col("bytes") <= least).groupBy(bundle.alias("bundle")).agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n")).orderBy("bundle").collect()
     items = [*large, *small]
-    cell_rows = max(CELL_ROWS, -(-total.n // CELLS))
-    placed = [(i, b, -(-x.n // cell_rows)) for i, (x, b) in enumerate(zip(items, even_bins([x.bytes for x in items], n_shards), strict=True))]
-    own = spark.createDataFrame([(x.t1, x.t2, *p) for x, p in zip(large, placed, strict=False)], "t1 bigint, t2 bigint, own_item int, own_shard int, own_cells bigint")
-    shared = spark.createDataFrame([(x.bundle, *p) for x, p in zip(small, placed[len(large) :], strict=True)], "bundle int, item int, shard int, cells bigint")
+    placed, used = [], [0] * n_shards
+    for i, (x, b) in enumerate(zip(items, even_bins([x.bytes for x in items], n_shards), strict=True)):
+        placed.append((i, b, used[b]))
+        used[b] += x.n
+    own = spark.createDataFrame([(x.t1, x.t2, *p) for x, p in zip(large, placed, strict=False)], "t1 bigint, t2 bigint, own_item bigint, own_shard int, own_base bigint")
+    shared = spark.createDataFrame([(x.bundle, *p) for x, p in zip(small, placed[len(large) :], strict=True)], "bundle int, item bigint, shard int, base bigint")
     # Both have a bounded number of rows, whatever the input: LARGE and BUNDLES times the shards.
     dealt = rows.join(F.broadcast(own), ["t1", "t2"], "left").withColumn("bundle", bundle).join(F.broadcast(shared), "bundle", "left")
     dealt = dealt.select(
-        id_col, "size", "text_crc32", "row_id", F.coalesce("own_item", "item").alias("item"), F.coalesce("own_shard", "shard").alias("shard"),
-        F.pmod(F.xxhash64("row_id"), F.coalesce("own_cells", "cells")).alias("cell"),
+        id_col, "size", "text_crc32", "row_id",
+        *(F.coalesce(f"own_{c}", c).alias(c) for c in ("item", "shard", "base")),
     )
-    # At most CELLS plus one cell per item.
-    cells = dealt.groupBy("shard", "item", "cell").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("shard").orderBy("item", "cell").rowsBetween(Window.unboundedPreceding, -1)
-    starts = cells.select("item", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    place = F.row_number().over(Window.partitionBy("item", "cell").orderBy("row_id")) - 1
-    numbered = dealt.withColumn("place", place).join(F.broadcast(starts), ["item", "cell"])
-    return numbered.select(id_col, "size", "text_crc32", "shard", (F.col("start") + F.col("place")).alias("slot"))
+    within = numbered(dealt, "item", [(i, x.n) for i, x in enumerate(items)], "row_id", "number")
+    return within.select(id_col, "size", "text_crc32", "shard", (F.col("base") + F.col("number")).alias("slot"))
