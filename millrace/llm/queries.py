@@ -13,6 +13,7 @@ from millrace.llm.packing import pack
 from millrace.llm.quality import fit, score
 from millrace.llm.sharding import shard
 from millrace.llm.simhash import near_duplicates
+from millrace.llm.suffix_dedup import deduplicate
 from millrace.llm.topk import exact_top_k
 
 
@@ -20,6 +21,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the bytes of strings of 200 bytes that are found more than once."""
+    made = deduplicate(_table(spark, sf_dir, "documents").select("doc_id", "text"), width=200)
+    return made.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards of near equal bytes, equal texts together."""
     made = shard(_table(spark, sf_dir, "documents"), 24)
@@ -93,6 +100,7 @@ SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_sharding": op2_sharding,
     "op3_simhash": op3_simhash,
     "op5_mixing": op5_mixing,
