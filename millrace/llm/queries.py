@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.licenses import scan, scan_sql
+from millrace.llm.media import media_columns
 from millrace.llm.mixing import PART_MEAN, TERMS, replicate
 from millrace.llm.packing import pack
 from millrace.llm.quality import fit, score
@@ -15,6 +16,7 @@ from millrace.llm.sharding import shard
 from millrace.llm.simhash import near_duplicates
 from millrace.llm.suffix_dedup import deduplicate
 from millrace.llm.topk import exact_top_k
+from millrace.llm.warc import REVISIT_BYTES, round_trip
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +46,11 @@ def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256.0)
 
 
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents stored as images in archives, described as read back."""
+    return media_columns(_table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to weights that go with the square root of their sources' sizes."""
     return replicate(_table(spark, sf_dir, "documents"), seed=17)
@@ -54,6 +61,12 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), capacity=2048)
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A WARC record for each page, as read back from the archives."""
+    read = round_trip(_table(spark, sf_dir, "pages"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License sentences and licenses of all documents."""
     return scan(_table(spark, sf_dir, "documents"))
@@ -72,6 +85,15 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+OP8_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload, strlen(coalesce(html, '')) AS payload_bytes FROM pages),
+t AS (SELECT payload, max(page_id) AS top FROM p WHERE payload_bytes >= {REVISIT_BYTES} GROUP BY payload)
+SELECT page_id, payload_bytes, sha1(p.payload) AS payload_digest,
+  CASE WHEN top IS NULL OR page_id IS NOT DISTINCT FROM top THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN top IS NULL OR page_id IS NOT DISTINCT FROM top THEN NULL ELSE top END AS refers_to
+FROM p LEFT JOIN t ON p.payload = t.payload
+"""
+
 OP5_SQL = f"""
 WITH s AS (SELECT source, sum(coalesce(strlen(text), 0) + 1)::DOUBLE AS size FROM documents GROUP BY source),
 r AS (SELECT source, sqrt(size) / (SELECT sum(sqrt(size)) FROM s) * (SELECT sum(size) FROM s) / size AS rate FROM s),
@@ -103,11 +125,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_sharding": op2_sharding,
     "op3_simhash": op3_simhash,
+    "op4_media": op4_media,
     "op5_mixing": op5_mixing,
     "op6_topk": op6_topk,
     "op7_packing": op7_packing,
+    "op8_warc": op8_warc,
     "op9_licenses": op9_licenses,
     "op10_quality": op10_quality,
 }
 
-ORACLES: dict[str, str] = {"op5_mixing": OP5_SQL, "op6_topk": OP6_SQL, "op9_licenses": scan_sql()}
+ORACLES: dict[str, str] = {"op5_mixing": OP5_SQL, "op6_topk": OP6_SQL, "op8_warc": OP8_SQL, "op9_licenses": scan_sql()}
