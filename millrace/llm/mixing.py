@@ -14,7 +14,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm._shared import materialize
+from millrace.llm._shared import fresh, materialize
 
 #: A mean above this is drawn as a sum of equal parts that are not.
 PART_MEAN = 16.0
@@ -72,30 +72,32 @@ def source_rates(docs: DataFrame, weights: Mapping[str, float] | None = None, ex
     return rates.withColumn("parts", parts).withColumn("cdf", poisson_cdf(F.col("rate") / F.col("parts")))
 
 
-def replicate(docs: DataFrame, weights: Mapping[str, float] | None = None, exponent: float = 0.5, budget: float = 1.0, seed: int = 0, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """The columns of ``docs`` plus ``mix_copy`` (from 0) and ``mix_key``, in one global random order.
+def replicate(docs: DataFrame, weights: Mapping[str, float] | None = None, exponent: float = 0.5, budget: float = 1.0, seed: int = 0, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", copy_col: str = "mix_copy", key_col: str = "mix_key") -> DataFrame:
+    """The columns of ``docs`` plus ``copy_col`` (from 0) and ``key_col``, in one global random order.
 
-    The order is that of ``mix_key`` over the partitions and within them; ties
+    The order is that of ``key_col`` over the partitions and within them; ties
     go by id and copy.  A document of rate r appears r times on average and may
     not appear at all.  Rows that repeat an id draw the same count; a null id
-    draws as an empty one.  Null sources are a source of their own, null and
+    draws as an empty one.  Columns that have the names of results are
+    replaced.  Null sources are a source of their own, null and
     empty texts have size one.  An empty table gives an empty result.
     """
     rates = source_rates(docs, weights, exponent, budget, source_col, text_col)
-    rates = rates.select(F.col("source").alias("mix_source"), F.col("parts").alias("mix_parts"), F.col("cdf").alias("mix_cdf"))
+    names = {c: fresh(docs, c) for c in ("source", "parts", "cdf", "count")}
+    rates = rates.select(*(F.col(c).alias(names[c]) for c in ("source", "parts", "cdf")))
     if rates.count() <= BROADCAST_SOURCES:
         rates = F.broadcast(rates)
 
     def drawn(part: Column) -> Column:
         u = (_digits(F.concat(F.lit(f"{seed}|"), _id(id_col), F.lit("|"), part.cast("string")), 13).cast("double") + 0.5) / float(1 << 52)
-        return F.size(F.filter("mix_cdf", lambda c: c <= u))
+        return F.size(F.filter(names["cdf"], lambda c: c <= u))
 
-    count = F.aggregate(F.sequence(F.lit(0), F.col("mix_parts") - 1), F.lit(0), lambda acc, part: acc + drawn(part))
-    joined = docs.join(rates, F.col(source_col).eqNullSafe(F.col("mix_source")))
-    counted = joined.withColumn("mix_count", count).where("mix_count > 0").drop("mix_source", "mix_parts", "mix_cdf")
-    copies = counted.withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col("mix_count") - 1))).drop("mix_count")
-    keyed = copies.withColumn("mix_key", _digits(F.concat(F.lit(f"{seed}|key|"), _id(id_col), F.lit("|"), F.col("mix_copy").cast("string")), _KEY_BITS // 4))
+    count = F.aggregate(F.sequence(F.lit(0), F.col(names["parts"]) - 1), F.lit(0), lambda acc, part: acc + drawn(part))
+    joined = docs.drop(copy_col, key_col).join(rates, F.col(source_col).eqNullSafe(F.col(names["source"])))
+    counted = joined.withColumn(names["count"], count).where(F.col(names["count"]) > 0).drop(*(names[c] for c in ("source", "parts", "cdf")))
+    copies = counted.withColumn(copy_col, F.explode(F.sequence(F.lit(0), F.col(names["count"]) - 1))).drop(names["count"])
+    keyed = copies.withColumn(key_col, _digits(F.concat(F.lit(f"{seed}|key|"), _id(id_col), F.lit("|"), F.col(copy_col).cast("string")), _KEY_BITS // 4))
     # Keys are uniform, so equal ranges of them are the partitions: no sampling pass.
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    part = F.least(F.floor(F.col("mix_key") / F.lit(float(1 << _KEY_BITS)) * n), F.lit(n - 1)).cast("int")
-    return keyed.repartitionById(n, part).sortWithinPartitions("mix_key", id_col, "mix_copy")
+    part = F.least(F.floor(F.col(key_col) / F.lit(float(1 << _KEY_BITS)) * n), F.lit(n - 1)).cast("int")
+    return keyed.repartitionById(n, part).sortWithinPartitions(key_col, id_col, copy_col)

@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from millrace.llm._shared import materialize, numbered
 
-#: The search visits at most so many nodes, and fillings per node, before it settles for its incumbent.
-NODES, FILLINGS = 20_000, 24
+#: The search turns back at most so often, and tries so many fillings at a node, before it settles for its incumbent.
+TURNS, FILLINGS = 300, 24
 #: With up to so many pieces left all undominated fillings are enumerated, up to a cap; above, those of least waste.
 FEW = 40
 #: Up to so many bins are branched on one by one; above, a filling is repeated while its pieces last.
@@ -285,11 +285,11 @@ def _enumerated(counts: np.ndarray, lengths: list[int], room: int, most: int) ->
     return [p for _, p in found[:most]]
 
 
-def complete_bins(counts: Mapping[int, int], capacity: int, nodes: int = NODES) -> list[tuple[Pattern, int]]:
+def complete_bins(counts: Mapping[int, int], capacity: int, turns: int = TURNS) -> list[tuple[Pattern, int]]:
     """Patterns and repeat counts that hold every piece in as few bins as the search finds.
 
     The result has the fewest possible bins if it reaches the lower bound or the
-    search ends before ``nodes`` and its caps on fillings cut nothing off.
+    search ends before ``turns`` and its caps on fillings cut nothing off.
     """
     counts = {k: n for k, n in counts.items() if n}
     if any(not 0 < k <= capacity for k in counts):
@@ -304,11 +304,13 @@ def complete_bins(counts: Mapping[int, int], capacity: int, nodes: int = NODES)
     seen: set[tuple[int, bytes]] = set()
     # Depth first with a stack of its own: counts before the pattern, pattern, its repeats, bins so far, their number, their waste.
     stack: list[tuple] = [(whole, (), 0, None, 0, 0)]
-    while stack and fewest > bound and nodes > 0:
+    deep = -1
+    while stack and fewest > bound and turns > 0:
         left, pattern, n, made, used, waste = stack.pop()
+        turns -= used <= deep
+        deep = used
         if waste > (fewest - 1) * capacity - total:
             continue
-        nodes -= 1
         if pattern:
             left = left.copy()
             for k, m in pattern:

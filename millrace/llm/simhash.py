@@ -20,8 +20,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from millrace.llm._shared import materialize, utf8
+from millrace.llm._shared import fresh, materialize, text_key, utf8
 
 _PIECE = 1 << 16
 
@@ -50,16 +51,16 @@ def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
     return int(bits.view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
-    """``id_col`` and its text's fingerprint ``fp`` (bigint, two's complement); null texts count as empty."""
-    rows = docs.select(F.col(id_col).alias("id"), utf8(F.col(text_col)).alias("body"))
+def fingerprints(docs: DataFrame, keep: list[str], text_col: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
+    """The columns ``keep`` and the fingerprint ``fp`` of each row's text (bigint, two's complement); null texts count as empty."""
+    rows = docs.select(*keep, utf8(F.col(text_col)).alias(fresh(docs, "body")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = np.fromiter((fingerprint(x.as_py(), shingle, seed) for x in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made.view(np.int64))], ["id", "fp"])
+            made = np.fromiter((fingerprint(x.as_py(), shingle, seed) for x in batch.column(len(keep))), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(made.view(np.int64))], [*keep, "fp"])
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, fp bigint").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(run, StructType([*rows.schema.fields[:-1], StructField("fp", LongType())]))
 
 
 def hamming_links(fps: DataFrame, distance: int = 3) -> DataFrame:
@@ -108,6 +109,13 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())
 
 
+def _roots(made: DataFrame, distance: int) -> DataFrame:
+    """``fp`` and the least fingerprint ``root`` of its component, for the distinct fingerprints of ``made``."""
+    distinct = made.select("fp").distinct()
+    linked = components(hamming_links(distinct, distance)).withColumnRenamed("node", "fp")
+    return distinct.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 3, seed: int = 42) -> DataFrame:
     """One row per row of ``docs``: ``id_col``, ``fp`` and ``component_id``.
 
@@ -118,10 +126,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     is null only where every id of the class is.  An empty table gives an
     empty result; other columns are not read.
     """
-    made = materialize(fingerprints(docs, id_col, text_col, shingle, seed))
-    distinct = made.groupBy("fp").agg(F.min(id_col).alias("least_id"))
-    roots = components(hamming_links(distinct.select("fp"), distance))
-    linked = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    lows = linked.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"))
+    made = materialize(fingerprints(rows, ["id"], "body", shingle, seed))
+    linked = made.groupBy("fp").agg(F.min("id").alias("least")).join(_roots(made, distance), "fp")
+    lows = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = linked.join(lows, "root").select("fp", "component_id")
-    return made.join(classes, "fp").select(id_col, "fp", "component_id")
+    return made.join(classes, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 3, seed: int = 42) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each class that of the least id stays.
+
+    Classes are those of ``near_duplicates``.  Null ids count as largest; rows
+    that share the id are told apart by a hash of the text, and of rows that
+    share both one stays.  The columns are those of ``docs``.
+    """
+    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), *text_key(F.col(text_col)))
+    mark = F.struct(F.xxhash64(key).alias("m1"), F.xxhash64(F.lit(1), key).alias("m2"))
+    name = fresh(docs, "mark")
+    rows = docs.select(F.col(id_col).alias("id"), *text_key(F.col(text_col)), mark.alias("mark"), F.col(text_col).alias("body"))
+    made = materialize(fingerprints(rows, ["id", "t1", "t2", "mark"], "body", shingle, seed))
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "t1", "t2", "mark")).alias("least")
+    # The least of each fingerprint first, so that copies are gone before the classes meet.
+    first = made.groupBy("fp").agg(least).join(_roots(made, distance), "fp")
+    kept = first.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.mark").alias(name))
+    return docs.withColumn(name, mark).join(kept, name, "left_semi").dropDuplicates([name]).drop(name)

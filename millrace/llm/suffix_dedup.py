@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm._shared import materialize, text_key, utf8
+from millrace.llm._shared import fresh, materialize, text_key, utf8
 
 #: An anchor with more distinct segments is split by longer anchors.
 HEAVY = 1024
@@ -352,7 +352,7 @@ def _remove(width: int, keep_text: bool):
     return run, "k1 bigint, k2 bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept string" * keep_text
 
 
-def deduplicate(docs: DataFrame, width: int = 200, text_col: str = "text", keep_text: bool = False, heavy: int = HEAVY, block: int = BLOCK) -> DataFrame:
+def deduplicate(docs: DataFrame, width: int = 200, text_col: str = "text", keep_text: bool = False, heavy: int = HEAVY, block: int = BLOCK, prefix: str = "") -> DataFrame:
     """``docs`` without its text, with n_bytes, n_removed, n_spans and kept_sha256 and, with ``keep_text``, kept.
 
     Removed is every byte that lies in a string of ``width`` bytes which also
@@ -362,18 +362,20 @@ def deduplicate(docs: DataFrame, width: int = 200, text_col: str = "text", keep_
     ``kept_sha256`` the digest of the bytes left.  ``kept`` is the text left,
     from which a character goes only if all its bytes do.  Null texts count as
     empty; texts shorter than ``width`` stay whole; repeated rows are copies of
-    each other.  An empty table gives an empty result.  Columns that have the
-    names of results are replaced.
+    each other.  An empty table gives an empty result.  Names of results begin
+    with ``prefix``; columns that have such names are replaced.
     """
     if width < 1:
         raise ValueError("width must be positive")
     results = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * keep_text]
+    key = fresh(docs, "key")
+    named = {r: prefix + r for r in results}
     t1, t2 = text_key(F.col(text_col))
     keyed = docs.select(t1.alias("k1"), t2.alias("k2"), utf8(F.col(text_col)).alias("body"))
     bodies = keyed.groupBy("k1", "k2").agg(F.first("body").alias("body"))
     spans = repeated_windows(keyed.withColumn("weight", F.lit(1).cast("bigint")), bodies, width, heavy, block)
     done = bodies.join(spans, ["k1", "k2"], "left").select("k1", "k2", "body", "spans").mapInArrow(*_remove(width, keep_text))
-    done = done.select(F.struct("k1", "k2").alias("millrace_key"), *results)
-    others = [c for c in docs.columns if c not in (*results, text_col)]
-    own = docs.select(*others, F.struct(t1.alias("k1"), t2.alias("k2")).alias("millrace_key"))
-    return own.join(done, "millrace_key").select(*others, *results)
+    done = done.select(F.struct("k1", "k2").alias(key), *(F.col(r).alias(named[r]) for r in results))
+    others = [c for c in docs.columns if c != text_col and c not in named.values()]
+    own = docs.select(*others, F.struct(t1.alias("k1"), t2.alias("k2")).alias(key))
+    return own.join(done, key).select(*others, *named.values())
