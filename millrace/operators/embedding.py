@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.text import DIMENSIONS, bag, bag_cosine, bag_dot, bag_squares, dense
 from millrace.functions.vectors import cosine, doubles, norm
-from millrace.operators.nearest import positive
+from millrace.operators.nearest import positive, ranked
 
 
 def bucket_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dim: int = DIMENSIONS) -> DataFrame:
@@ -61,8 +61,7 @@ def search(docs: DataFrame, queries: Sequence[str], k: int, id_col: str = "doc_i
 
 def search_vectors(rows: DataFrame, query: Sequence[float], k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """The k vectors most like ``query`` by cosine similarity, with ``score`` and ``rank``; ties go to the larger id."""
-    from millrace.operators.nearest import ranked
-
+    positive(k)
     wanted = F.array(*(F.lit(float(x)) for x in query))
     v = doubles(F.col(vector_col))
     scored = rows.select(id_col, cosine(v, wanted, norm_b=norm(wanted)).alias("score"))

@@ -64,7 +64,7 @@ FROM documents d CROSS JOIN cells LEFT JOIN bags b ON b.doc_id = d.doc_id AND b.
 def embed_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 64 components of every document's vector."""
     made = embedding.embed(load_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    rows = made.select("doc_id", F.posexplode("embedding").alias("position", "value"))
+    rows = made.select("doc_id", F.posexplode_outer("embedding").alias("position", "value"))  # inner, a filter on the size would compute it again
     return rows.select("doc_id", "position", F.round("value", 9).alias("value"))
 
 
