@@ -62,6 +62,23 @@ def _at_exit() -> None:
 atexit.register(_at_exit)
 
 
+# Settings of Arrow batches, Spark's defaults for them, and what they become.
+_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8388608b")}
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, after its session's Arrow batches have been made fit for rows of long texts.
+
+    Spark's defaults take tens of MB in an executor for each task and several
+    times that in its Python worker.  A session with other sizes keeps them.
+    """
+    conf = df.sparkSession.conf
+    for key, (default, value) in _BATCHES.items():
+        if conf.get(key, default) == default:
+            conf.set(key, value)
+    return df
+
+
 def utf8(text: Column) -> Column:
     """The bytes of a text, no bytes for null."""
     return F.coalesce(text, F.lit("")).cast("binary")

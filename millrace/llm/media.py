@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader
 
-from millrace.llm._shared import shared_dir, utf8
+from millrace.llm._shared import bounded_batches, shared_dir, utf8
 from millrace.llm.zipfiles import Archives, RangeFile, members_in, plan_ranges, read_member
 
 WIDTH = 64
@@ -125,7 +125,7 @@ def write_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Store each row's text as an image in archives in the shared folder; the path of their manifest."""
     spark = docs.sparkSession
     folder = shared_dir(spark)
-    rows = docs.select(F.col(id_col).cast("string").alias("id"), utf8(F.col(text_col)).alias("body"))
+    rows = bounded_batches(docs).select(F.col(id_col).cast("string").alias("id"), utf8(F.col(text_col)).alias("body"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         archives, number = Archives(f"{folder}/archives", "zip", archive_bytes), 0

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm._shared import materialize, numbered
+from millrace.llm._shared import bounded_batches, materialize, numbered
 
 #: The search turns back at most so often, and tries so many fillings at a node, before it settles for its incumbent.
 TURNS, FILLINGS = 300, 24
@@ -87,7 +87,7 @@ def cut(length: int, capacity: int) -> list[tuple[int, int]]:
 
 def pieces(docs: DataFrame, capacity: int, id_col: str, text_col: str, paths: tuple[str, str | None], end_id: int, keep_ids: bool) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32 and, if wanted, ids."""
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
+    rows = bounded_batches(docs).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
     names = ["id", "piece", "start", "length", "ids_crc32", *["ids"] * keep_ids]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

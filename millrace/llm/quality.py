@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from millrace.llm._shared import fresh, utf8
+from millrace.llm._shared import bounded_batches, fresh, utf8
 
 #: At most so many labelled documents are learnt from, those with the least hash of their id.
 SAMPLE_ROWS = 3000
@@ -148,7 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
     sample = F.broadcast(known.orderBy(F.xxhash64("id"), "id", "label").limit(sample_rows))
-    rows = docs.select(F.col(id_col).alias("id"), utf8(F.col(text_col)).alias("body")).join(sample, "id").select("id", "label", "body")
+    rows = bounded_batches(docs).select(F.col(id_col).alias("id"), utf8(F.col(text_col)).alias("body")).join(sample, "id").select("id", "label", "body")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,5 +175,5 @@ def score(docs: DataFrame, model: QualityModel, text_col: str = "text", name: st
             made = pa.array([model.score(x.as_py()) for x in batch.column(batch.num_columns - 1)], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], made], names=[*batch.schema.names[:-1], name])
 
-    out = docs.withColumn(body, utf8(F.col(text_col)))
+    out = bounded_batches(docs).withColumn(body, utf8(F.col(text_col)))
     return out.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from millrace.llm._shared import fresh, materialize, text_key, utf8
+from millrace.llm._shared import bounded_batches, fresh, materialize, text_key, utf8
 
 _PIECE = 1 << 16
 
@@ -53,7 +53,7 @@ def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
 
 def fingerprints(docs: DataFrame, keep: list[str], text_col: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
     """The columns ``keep`` and the fingerprint ``fp`` of each row's text (bigint, two's complement); null texts count as empty."""
-    rows = docs.select(*keep, utf8(F.col(text_col)).alias(fresh(docs, "body")))
+    rows = bounded_batches(docs).select(*keep, utf8(F.col(text_col)).alias(fresh(docs, "body")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

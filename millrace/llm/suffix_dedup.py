@@ -31,12 +31,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm._shared import fresh, materialize, text_key, utf8
+from millrace.llm._shared import bounded_batches, fresh, materialize, text_key, utf8
 
 #: An anchor with more distinct segments is split by longer anchors.
 HEAVY = 1024
 #: Bytes in a suffix array, apart from the last anchor's segments, and in a task.
-BLOCK, TASK = 1 << 20, 32 << 20
+BLOCK, TASK = 1 << 18, 32 << 20
 _CHUNK = 1 << 20
 
 
@@ -260,7 +260,7 @@ def repeated_windows(texts: DataFrame, bodies: DataFrame, width: int, heavy: int
     ones among them, least bit first; a null mask means all of them.
     """
     lengths = anchor_lengths(width)
-    lists = materialize(texts.select("k1", "k2", "weight", "body").mapInArrow(*_cut_texts(width, lengths[level])))
+    lists = materialize(bounded_batches(texts).select("k1", "k2", "weight", "body").mapInArrow(*_cut_texts(width, lengths[level])))
     flat = lists.select("k1", "k2", "weight", F.inline(F.arrays_zip("anchor", "g1", "g2", "first", "n")))
     shared = flat.groupBy("anchor").agg(F.sum("weight").alias("total")).where("total > 1").select("anchor")
     found = materialize(flat.join(shared, "anchor"))

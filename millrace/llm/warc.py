@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader
 
-from millrace.llm._shared import shared_dir, utf8
+from millrace.llm._shared import bounded_batches, shared_dir, utf8
 from millrace.llm.zipfiles import Archives, RangeFile, data_offset, directory, plan_ranges, read_member, retried
 
 #: Payloads from so many bytes on are stored once.
@@ -81,7 +81,7 @@ def with_references(pages: DataFrame, id_col: str, text_col: str, least: int) ->
 def write_warcs(pages: DataFrame, id_col: str = "page_id", text_col: str = "html", least: int = REVISIT_BYTES, archive_bytes: int = ARCHIVE) -> str:
     """Write a record for each row to archives in the shared folder; the path of their manifest."""
     folder = shared_dir(pages.sparkSession)
-    rows = with_references(pages, id_col, text_col, least)
+    rows = with_references(bounded_batches(pages), id_col, text_col, least)
     rows = rows.select(F.col("id").cast("string"), "url", "body", F.col("refers_to").cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
