@@ -15,11 +15,14 @@ from pyspark.sql import functions as F
 SENTENCES = {
     "apache-line": "licensed under the apache license version 2.0",
     "apache-header": "licensed under the apache license version 2.0 the license you may not use this file except in compliance with the license",
-    "apache-copy": "you may obtain a copy of the license at http www.apache.org licenses license-2.0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
+    "apache-copy": "you may obtain a copy of the license at",
+    "apache-url": "http www.apache.org licenses license-2.0",
+    "apache-unless": "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
     "apache-see": "see the license for the specific language governing permissions and limitations under the license",
     "mit-line": "released under the mit license",
     "mit-title": "mit license",
-    "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+    "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
+    "mit-notice": "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
     "mit-warranty": "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
     "gpl3-line": "this work is licensed under the gnu general public license version 3",
     "gpl2-line": "this work is licensed under the gnu general public license version 2",
@@ -48,11 +51,11 @@ SENTENCES = {
 RULES = [
     ("BSD-3-Clause", ["bsd-use", "bsd-source", "bsd-binary", "bsd-name"]),
     ("BSD-2-Clause", ["bsd-use", "bsd-source", "bsd-binary"]),
-    ("Apache-2.0", ["apache-header", "apache-copy", "apache-see"]),
+    ("Apache-2.0", ["apache-header", "apache-copy", "apache-url", "apache-unless", "apache-see"]),
     ("GPL-3.0-or-later", ["gpl3-free", "gpl-hope", "gpl-see"]),
     ("GPL-2.0-or-later", ["gpl2-free", "gpl-hope", "gpl-see"]),
-    ("MIT", ["mit-title", "mit-grant", "mit-warranty"]),
-    ("MIT", ["mit-grant", "mit-warranty"]),
+    ("MIT", ["mit-title", "mit-grant", "mit-notice", "mit-warranty"]),
+    ("MIT", ["mit-grant", "mit-notice", "mit-warranty"]),
     ("Apache-2.0", ["apache-header"]),
     ("Apache-2.0", ["apache-line"]),
     ("GPL-3.0-or-later", ["gpl3-free"]),
@@ -78,8 +81,8 @@ RULES = [
 TRIGGERS = ["licens", "permission", "redistribution", "warrant"]
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A line ends a sentence in the first cut; in the second, lines run on, as in wrapped text.
-CUTS = ["[\\n\\r]+|[.!?]+[ \\t]+", "[.!?]+[ \\t\\n\\r]+"]
+#: A line ends a sentence in the first cut; in the second, lines run on up to a blank one, as in wrapped text.
+CUTS = ["[\\n\\r]+|[.!?]+[ \\t]+", "\\n[ \\t\\r]*\\n|[.!?]+[ \\t\\n\\r]+"]
 
 
 def _identifiers(text: Column, cut: str) -> Column:

@@ -1,0 +1,145 @@
+import random
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from tokenizers import Tokenizer
+
+from millrace.llm import packing
+from millrace.llm.queries import QUERIES
+
+
+def fewest(items, capacity):
+    """The least number of bins, by trying everything."""
+    items, best = sorted(items, reverse=True), [len(items)]
+
+    def place(i, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if i == len(items):
+            best[0] = len(rooms)
+            return
+        for room in {r for r in rooms if r >= items[i]}:
+            j = rooms.index(room)
+            place(i + 1, [*rooms[:j], room - items[i], *rooms[j + 1 :]])
+        place(i + 1, [*rooms, capacity - items[i]])
+
+    place(0, [])
+    return best[0]
+
+
+def check_plan(plan, counts, capacity):
+    held = Counter()
+    for pattern, n in plan:
+        assert sum(k * m for k, m in pattern) <= capacity and n > 0
+        for k, m in pattern:
+            held[k] += m * n
+    assert held == Counter({k: n for k, n in counts.items() if n})
+
+
+def test_small_packings_have_the_fewest_bins():
+    for seed in range(150):
+        rng = random.Random(seed)
+        capacity = rng.choice([10, 30, 100])
+        items = [rng.randint(1, capacity) if rng.random() < 0.5 else rng.randint(max(1, capacity // 5), capacity // 2) for _ in range(rng.randint(0, 10))]
+        plan = packing.complete_bins(Counter(items), capacity)
+        check_plan(plan, Counter(items), capacity)
+        assert sum(n for _, n in plan) == fewest(items, capacity)
+
+
+def test_search_beats_best_fit():
+    better = 0
+    for seed in range(400):
+        rng = random.Random(seed)
+        items = Counter(rng.randint(8, 40) for _ in range(12))
+        plan = packing.complete_bins(items, 60)
+        check_plan(plan, items, 60)
+        better += sum(n for _, n in plan) < sum(n for _, n in packing.best_fit(items, 60))
+    assert better > 0
+
+
+def test_best_fit_on_counts_is_best_fit():
+    for seed in range(80):
+        rng = random.Random(seed)
+        items, rooms = [rng.randint(1, 50) for _ in range(rng.randint(1, 80))], []
+        for x in sorted(items, reverse=True):
+            fits = [r for r in rooms if r >= x]
+            if fits:
+                rooms[rooms.index(min(fits))] -= x
+            else:
+                rooms.append(50 - x)
+        plan = packing.best_fit(Counter(items), 50)
+        check_plan(plan, Counter(items), 50)
+        assert Counter(50 - sum(k * m for k, m in p) for p, n in plan for _ in range(n)) == Counter(rooms)
+
+
+def test_many_pieces_reach_the_bound():
+    rng = random.Random(1)
+    counts = Counter(min(2048, int(rng.expovariate(1 / 300)) + 1) for _ in range(20_000))
+    plan = packing.complete_bins(counts, 2048)
+    check_plan(plan, counts, 2048)
+    assert sum(n for _, n in plan) <= packing.lower_bound(counts, 2048) + 1
+
+
+def test_bad_lengths():
+    assert packing.complete_bins({}, 5) == []
+    for wrong in ({6: 1}, {0: 1}):
+        with pytest.raises(ValueError):
+            packing.complete_bins(wrong, 5)
+
+
+def test_cut():
+    assert packing.cut(5, 5) == [(0, 5)] and packing.cut(10, 5) == [(0, 5), (5, 5)] and packing.cut(12, 5) == [(0, 2), (2, 5), (7, 5)]
+
+
+def test_both_tokenizers_agree(spark, sf_dir):
+    """On every character that goes to the faster one, between letters, digits, spaces and marks, and on all documents."""
+    paths = packing.tokenizer_paths()
+    slow, encode = Tokenizer.from_file(paths[0]), packing.encoder(*paths)
+    texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    plain = [chr(c) for c in range(0x2100) if not packing._PLAIN.search(chr(c))]
+    for c in plain:
+        texts += [f"a{c}a {c} {c}{c}1{c}.{c}\n{c}\t{c}  {c}'s{c}", c * 7]
+    texts += ["<|endoftext|>", "a<|endoftext|> b", "漢字 עברית", " \n \n  x   ", "don't 'LL", "\u0085  x"]
+    for t, e in zip(texts, slow.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert encode(t).tolist() == e.ids, t
+
+
+def check_rows(rows, texts, capacity):
+    slow = Tokenizer.from_file(packing.tokenizer_paths()[0])
+    expected = Counter()
+    for i, t in texts:
+        ids = np.array([*slow.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        for n, (at, length) in enumerate(packing.cut(len(ids), capacity)):
+            expected[i, n, at, length, zlib.crc32(ids[at : at + length].tobytes())] += 1
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == expected
+    sequences = defaultdict(list)
+    for r in rows:
+        sequences[r.sequence_id].append((r.offset, r.length))
+    for parts in sequences.values():
+        end = 0
+        for offset, length in sorted(parts):
+            assert offset == end
+            end += length
+        assert end <= capacity
+    return len(sequences)
+
+
+@pytest.mark.parametrize("capacity", [64, 2048])
+def test_odd_rows(odd_docs, odd_rows, capacity):
+    rows = packing.pack(odd_docs, capacity, keep_ids=True).collect()
+    n = check_rows(rows, [r[:2] for r in odd_rows], capacity)
+    assert n <= packing.lower_bound(Counter(r.length for r in rows), capacity) + 2
+    assert all(zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in rows)
+
+
+def test_query(spark, sf_dir):
+    texts = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    rows = QUERIES["op7_packing"](spark, sf_dir).collect()
+    n = check_rows(rows, texts, 2048)
+    assert n == packing.lower_bound(Counter(r.length for r in rows), 2048)
+
+
+def test_empty_table(no_docs):
+    assert packing.pack(no_docs).count() == 0
