@@ -262,11 +262,12 @@ def repeated_windows(texts: DataFrame, bodies: DataFrame, width: int, heavy: int
     lengths = anchor_lengths(width)
     lists = materialize(bounded_batches(texts).select("k1", "k2", "weight", "body").mapInArrow(*_cut_texts(width, lengths[level])))
     flat = lists.select("k1", "k2", "weight", F.inline(F.arrays_zip("anchor", "g1", "g2", "first", "n")))
-    shared = flat.groupBy("anchor").agg(F.sum("weight").alias("total")).where("total > 1").select("anchor")
+    # Aggregates are written before they are joined: a join of plain tables is one whose hot anchors Spark can split.
+    shared = materialize(flat.groupBy("anchor").agg(F.sum("weight").alias("total")).where("total > 1").select("anchor"))
     found = materialize(flat.join(shared, "anchor"))
-    distinct = found.groupBy("anchor", "g1", "g2").agg(F.sum("weight").alias("weight"), F.min(F.struct("k1", "k2", "first", "n")).alias("at"))
-    kinds = distinct.groupBy("anchor").agg(F.count("*").alias("kinds"))
-    distinct = materialize(distinct.join(kinds, "anchor"))
+    distinct = materialize(found.groupBy("anchor", "g1", "g2").agg(F.sum("weight").alias("weight"), F.min(F.struct("k1", "k2", "first", "n")).alias("at")))
+    kinds = materialize(distinct.groupBy("anchor").agg(F.count("*").alias("kinds")))
+    distinct = distinct.join(kinds, "anchor")
     last = level + 1 == len(lengths)
     split = F.lit(False) if last else F.col("kinds") > heavy
 
