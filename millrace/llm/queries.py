@@ -85,6 +85,21 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+OP1_SQL = """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, encode(coalesce(text, '')) AS e, strlen(coalesce(text, '')) AS n FROM documents),
+w AS (SELECT rid, i, md5(array_slice(e, i + 1, i + 200)) AS k FROM (SELECT rid, e, unnest(range(0, greatest(n - 199, 0))) AS i FROM d)),
+c AS (SELECT k FROM w GROUP BY k HAVING count(*) > 1),
+s AS (SELECT rid, i, lag(i) OVER (PARTITION BY rid ORDER BY i) AS p FROM w SEMI JOIN c USING (k)),
+g AS (SELECT rid, i, sum(CASE WHEN p IS NULL OR i > p + 200 THEN 1 ELSE 0 END) OVER (PARTITION BY rid ORDER BY i) AS run FROM s),
+r AS (SELECT rid, run, min(i) AS a, max(i) + 200 AS z FROM g GROUP BY ALL),
+l AS (SELECT rid, run, a, z, lag(z, 1, 0) OVER (PARTITION BY rid ORDER BY run) AS y FROM r),
+k AS (SELECT rid, count(*) AS n_spans, sum(z - a)::BIGINT AS n_removed, max(z) AS last,
+  string_agg(hex(array_slice(e, y + 1, a)), '' ORDER BY run) AS head FROM l JOIN d USING (rid) GROUP BY rid)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(CASE WHEN last IS NULL THEN e ELSE unhex(head || hex(array_slice(e, last + 1, n))) END) AS kept_sha256
+FROM d LEFT JOIN k USING (rid)
+"""
+
 OP8_SQL = f"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS payload, strlen(coalesce(html, '')) AS payload_bytes FROM pages),
 t AS (SELECT payload, max(page_id) AS top FROM p WHERE payload_bytes >= {REVISIT_BYTES} GROUP BY payload)
@@ -134,4 +149,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": op10_quality,
 }
 
-ORACLES: dict[str, str] = {"op5_mixing": OP5_SQL, "op6_topk": OP6_SQL, "op8_warc": OP8_SQL, "op9_licenses": scan_sql()}
+ORACLES: dict[str, str] = {"op1_suffix_dedup": OP1_SQL, "op5_mixing": OP5_SQL, "op6_topk": OP6_SQL, "op8_warc": OP8_SQL, "op9_licenses": scan_sql()}
