@@ -12,6 +12,7 @@ from millrace.operators import conversation, pca
 from millrace.operators.nearest import nearest
 from millrace.sources import cache, files
 from millrace.sources.providers import QUERY, Chat, Embedding, HashEmbedding, embedded, replies
+from millrace.sources.shared import checkpointed
 
 
 def chat_turn(log: DataFrame, said: DataFrame, provider: Chat, prompt: str = conversation.SYSTEM_PROMPT) -> tuple[DataFrame, DataFrame]:
@@ -19,19 +20,19 @@ def chat_turn(log: DataFrame, said: DataFrame, provider: Chat, prompt: str = con
 
     ``said`` has ``conv_id`` and ``text``, one row a conversation.  A new
     conversation begins with the system message.  Blank texts and ``quit`` are
-    not sent.  A turn is added with its reply, or not at all.  Replies are asked
-    for each time the results are computed: write the log before it is used on.
+    not sent.  A turn is added with its reply, or not at all.  Every reply is
+    asked for once, and the results are checkpointed.
     """
     text = stripped(F.coalesce(F.col("text"), F.lit("")))
     sent = said.where((text != "") & (F.lower(text) != conversation.QUIT)).select("conv_id", F.lit("user").alias("role"), "text")
-    begun = conversation.with_defaults(log, sent.select("conv_id"), prompt)
-    asked = conversation.append(begun, sent)
+    begun = conversation.with_defaults(checkpointed(log), sent.select("conv_id"), prompt)
+    asked = checkpointed(conversation.append(begun, sent))
     latest = conversation.resume_points(asked).select("conv_id", (F.col("next_turn") - 1).alias("turn"))
     wanted = conversation.contexts(asked).join(latest, ["conv_id", "turn"], "left_semi").join(sent.select("conv_id"), "conv_id", "left_semi")
-    answers = replies(wanted, provider)
+    answers = checkpointed(replies(wanted, provider))
     kept = conversation.roll_back(asked, answers)
     done = answers.where(F.col("error").isNull()).select("conv_id", F.lit("assistant").alias("role"), F.col("reply").alias("text"))
-    return conversation.append(kept, done), answers.where(F.col("error").isNotNull()).select("conv_id", "error")
+    return checkpointed(conversation.append(kept, done)), answers.where(F.col("error").isNotNull()).select("conv_id", "error")
 
 
 def semantic_search(spark: SparkSession, path: str, queries: Sequence[str], k: int = 3, cache_path: str | None = None, provider: Embedding | None = None) -> DataFrame:
