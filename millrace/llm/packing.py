@@ -330,6 +330,9 @@ def complete_bins(counts: Mapping[int, int], capacity: int, turns: int = TURNS)
         top = int(held[-1])
         left[top] -= 1
         options = fillings(left, capacity - top)
+        if not single:
+            # Of equal waste first the filling that can be repeated most: frequent lengths are used up along the way.
+            options.sort(key=lambda p: (sum(k * m for k, m in p), min((int(left[k]) // m for k, m in p), default=0)), reverse=True)
         left[top] += 1
         for filling in reversed(options):
             parts = dict(filling)
