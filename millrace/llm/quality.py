@@ -22,7 +22,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from millrace.llm._shared import bounded_batches, fresh, utf8
 
 #: At most so many labelled documents are learnt from, those with the least hash of their id.
-SAMPLE_ROWS = 3000
+SAMPLE_ROWS = 2000
 BUCKET_BITS = 17
 DIMENSIONS = 8
 EPOCHS = 6
