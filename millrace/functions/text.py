@@ -36,23 +36,29 @@ def bucket(word: Column, dim: int = DIMENSIONS) -> Column:
     return rest.cast("int")
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often it is looked at."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def bag(text: Column, dim: int = DIMENSIONS) -> Column:
     """``array<struct<bucket, n>>``: the words' buckets in ascending order and how many words each has."""
-    entry = "array<struct<bucket:int,n:bigint>>"
-    start = F.struct(F.lit(-1).alias("bucket"), F.lit(0).cast("bigint").alias("n"), F.array().cast(entry).alias("done"))
 
-    def closed(acc: Column) -> Column:
-        return F.when(acc["n"] > 0, F.array_append(acc["done"], F.struct(acc["bucket"].alias("bucket"), acc["n"].alias("n")))).otherwise(acc["done"])
+    def ends(run: Column) -> Column:
+        """Places, from 1, of the last of equal buckets."""
+        last = F.size(run)
+        places = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+        return F.filter(places, lambda i: (i == last) | (F.element_at(run, i) != F.element_at(run, F.least(i + 1, last))))
+
+    def entries(run: Column, at: Column) -> Column:
+        def entry(end: Column, i: Column) -> Column:
+            before = F.when(i == 0, 0).otherwise(F.element_at(at, F.greatest(i, F.lit(1))))
+            return F.struct(F.element_at(run, end).alias("bucket"), (end - before).cast("bigint").alias("n"))
 
-    def step(acc: Column, b: Column) -> Column:
-        same = acc["bucket"] == b
-        return F.struct(
-            b.alias("bucket"),
-            F.when(same, acc["n"] + 1).otherwise(F.lit(1).cast("bigint")).alias("n"),
-            F.when(same, acc["done"]).otherwise(closed(acc)).cast(entry).alias("done"),
-        )
+        return F.transform(at, entry)
 
-    return F.aggregate(F.array_sort(F.transform(words(text), lambda w: bucket(w, dim))), start, step, closed)
+    found = F.sort_array(F.transform(words(text), lambda w: bucket(w, dim)))
+    return _let(found, lambda run: _let(ends(run), lambda at: entries(run, at)))
 
 
 def bag_squares(counts: Column) -> Column:

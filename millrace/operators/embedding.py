@@ -10,16 +10,17 @@ from pyspark.sql import functions as F
 from millrace.functions.text import DIMENSIONS, bag, bag_cosine, bag_dot, bag_squares, dense
 from millrace.functions.vectors import cosine, doubles, norm
 from millrace.operators.nearest import positive, ranked
+from millrace.operators.tables import spread
 
 
 def bucket_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dim: int = DIMENSIONS) -> DataFrame:
     """``id_col``, ``bucket`` and ``n``: one row for each bucket that a document's words fall into."""
-    return docs.select(id_col, F.inline(bag(F.col(text_col), dim)))
+    return spread(docs.select(id_col, text_col)).select(id_col, F.inline(bag(F.col(text_col), dim)))
 
 
 def bucket_weights(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dim: int = DIMENSIONS) -> DataFrame:
     """As ``bucket_counts``, with ``weight``, the count over the document's norm."""
-    counted = docs.select(id_col, bag(F.col(text_col), dim).alias("bag"))
+    counted = spread(docs.select(id_col, text_col)).select(id_col, bag(F.col(text_col), dim).alias("bag"))
     root = F.sqrt(bag_squares(F.col("bag")).cast("double"))
     rows = counted.select(id_col, root.alias("root"), F.inline("bag"))
     return rows.select(id_col, "bucket", (F.col("n") / F.col("root")).alias("weight"))
@@ -28,7 +29,7 @@ def bucket_weights(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def embed(docs: DataFrame, text_col: str = "text", dim: int = DIMENSIONS, name: str = "embedding") -> DataFrame:
     """``docs`` with the vector of each text; texts without words, and null ones, have the zero vector."""
     own = [c for c in docs.columns if c != name]
-    counted = docs.select(*own, bag(F.col(text_col), dim).alias("_bag"))
+    counted = spread(docs).select(*own, bag(F.col(text_col), dim).alias("_bag"))
     rooted = counted.withColumn("_root", F.sqrt(bag_squares(F.col("_bag")).cast("double")))
     return rooted.select(*own, dense(F.col("_bag"), F.col("_root"), dim).alias(name))
 
@@ -47,7 +48,7 @@ def search(docs: DataFrame, queries: Sequence[str], k: int, id_col: str = "doc_i
     spark = docs.sparkSession
     asked = spark.createDataFrame([(i, q) for i, q in enumerate(queries)], "i int, q string").select("i", bag(F.col("q"), dim).alias("bag")).collect()
     bags = {r.i: {x["bucket"]: x["n"] for x in r.bag} for r in asked}
-    rows = docs.select(F.col(id_col), bag(F.col(text_col), dim).alias("bag")).withColumn("squares", bag_squares(F.col("bag")))
+    rows = spread(docs.select(id_col, text_col)).select(id_col, bag(F.col(text_col), dim).alias("bag")).withColumn("squares", bag_squares(F.col("bag")))
     scores = []
     for i in range(len(queries)):
         pairs = [F.lit(x) for b, n in bags[i].items() for x in (b, n)]

@@ -47,3 +47,13 @@ def all_close(df: DataFrame, a: Column, b: Column, relative: float = 1e-5, absol
     """Whether ``a`` and ``b`` agree in every row, to the usual tolerances; rows with a null don't."""
     close = F.abs(a - b) <= absolute + relative * F.abs(b)
     return df.where(~F.coalesce(close, F.lit(False))).limit(1).count() == 0
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as there are cores.
+
+    Only tables of fewer partitions than that are dealt out, such as a file of
+    one row group; larger ones are left where they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df

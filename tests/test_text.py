@@ -78,7 +78,9 @@ def test_strip_and_dim(spark):
         t.bucket(F.lit("a"), 0)
 
 
-def test_no_shuffle_before_the_lists(docs):
+def test_no_shuffle_before_the_lists(spark):
+    docs = spark.range(0, 100, 1, 16).selectExpr("id as doc_id", "'a b' as text")
     plan = embedding.search(docs, ["a"], 3)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") <= 1 and "CartesianProduct" not in plan
     assert "Exchange" not in embedding.bucket_counts(docs)._jdf.queryExecution().executedPlan().toString()
+    assert embedding.bucket_counts(docs.coalesce(1)).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
