@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.tables import spread
+
 _CHECKPOINT = "spark.checkpoint.dir"
 _folders: list[tuple[SparkSession, str]] = []
 
@@ -67,16 +69,17 @@ _BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "
 
 
 def bounded_batches(df: DataFrame) -> DataFrame:
-    """``df``, after its session's Arrow batches have been made fit for rows of long texts.
+    """``df`` for Python workers: its session's Arrow batches made fit for rows of long texts, and no core without rows.
 
-    Spark's defaults take tens of MB in an executor for each task and several
-    times that in its Python worker.  A session with other sizes keeps them.
+    Spark's default batches take tens of MB in an executor for each task and
+    several times that in its Python worker.  A session with other sizes keeps
+    them.  Only tables of fewer partitions than cores are dealt out.
     """
     conf = df.sparkSession.conf
     for key, (default, value) in _BATCHES.items():
         if conf.get(key, default) == default:
             conf.set(key, value)
-    return df
+    return spread(df)
 
 
 def utf8(text: Column) -> Column:
