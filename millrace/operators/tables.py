@@ -53,7 +53,10 @@ def spread(df: DataFrame) -> DataFrame:
     """``df`` over at least as many partitions as there are cores.
 
     Only tables of fewer partitions than that are dealt out, such as a file of
-    one row group; larger ones are left where they are.
+    one row group; larger ones are left where they are, and so are results of
+    shuffles, whose partitions are Spark's choice.
     """
+    if df._jdf.queryExecution().executedPlan().nodeName() == "AdaptiveSparkPlan":
+        return df  # it has shuffles, which counting partitions would run
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df

@@ -84,6 +84,15 @@ def test_two_columns_like_the_general_way(spark):
     assert len(line) == 11 and math.isclose(line[0].points[0], r.mx + (min(d[0] for d in data) - r.mx) * r.dx)
 
 
+def test_spread(spark):
+    cores = spark.sparkContext.defaultParallelism
+    assert tables.spread(spark.range(0, 9, 1, 1)).rdd.getNumPartitions() == 2 * cores
+    wide = spark.range(0, 9, 1, cores)
+    assert tables.spread(wide) is wide
+    shuffled = wide.groupBy("id").count()
+    assert tables.spread(shuffled) is shuffled
+
+
 def test_tables(spark):
     df = spark.createDataFrame([(1, None, 2.0), (2, "b", 3.0)], "a int, t string, x double")
     assert [r.t for r in tables.with_default(df, "t").orderBy("a").collect()] == ["", "b"]
