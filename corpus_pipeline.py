@@ -27,8 +27,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:  # noqa: ARG001
-    """One document of each class of near-duplicates, by shingles of three words and at most three differing bits."""
-    return keep_one(docs)
+    """One document of each class of near-duplicates: fingerprints at most three bits apart, or a similarity of 0.8 or more by shingles of five words."""
+    return keep_one(docs, similarity=0.8, words=5)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:  # noqa: ARG001

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from millrace.llm._shared import bounded_batches, fresh, materialize, text_key, utf8
+from millrace.llm.similar import similar_links
 
 _PIECE = 1 << 16
 
@@ -109,10 +110,11 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())
 
 
-def _roots(made: DataFrame, distance: int) -> DataFrame:
-    """``fp`` and the least fingerprint ``root`` of its component, for the distinct fingerprints of ``made``."""
+def _roots(made: DataFrame, distance: int, more: DataFrame | None = None) -> DataFrame:
+    """``fp`` and the least fingerprint ``root`` of its component, for the distinct fingerprints of ``made``; ``more`` has further links."""
     distinct = made.select("fp").distinct()
-    linked = components(hamming_links(distinct, distance)).withColumnRenamed("node", "fp")
+    links = hamming_links(distinct, distance)
+    linked = components(links if more is None else links.union(more)).withColumnRenamed("node", "fp")
     return distinct.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
@@ -134,10 +136,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return made.join(classes, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 3, seed: int = 42) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 3, seed: int = 42, similarity: float | None = None, words: int = 5) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each class that of the least id stays.
 
-    Classes are those of ``near_duplicates``.  Null ids count as largest; rows
+    Classes are those of ``near_duplicates``.  With ``similarity`` texts are
+    also linked if the Jaccard similarity of their shingles of ``words`` words
+    is at least that, however many bits they differ in.  Null ids count as largest; rows
     that share the id are told apart by a hash of the text, and of rows that
     share both one stays.  The columns are those of ``docs``.
     """
@@ -146,8 +150,15 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     name = fresh(docs, "mark")
     rows = docs.select(F.col(id_col).alias("id"), *text_key(F.col(text_col)), mark.alias("mark"), F.col(text_col).alias("body"))
     made = materialize(fingerprints(rows, ["id", "t1", "t2", "mark"], "body", shingle, seed))
+    more = None
+    if similarity is not None:
+        prints = made.select("t1", "fp").distinct()
+        more = similar_links(docs, text_col, words, similarity)
+        for end in ("a", "b"):
+            more = more.join(prints.withColumnsRenamed({"t1": end, "fp": f"fp_{end}"}), end)
+        more = more.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b"))
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "t1", "t2", "mark")).alias("least")
     # The least of each fingerprint first, so that copies are gone before the classes meet.
-    first = made.groupBy("fp").agg(least).join(_roots(made, distance), "fp")
+    first = made.groupBy("fp").agg(least).join(_roots(made, distance, more), "fp")
     kept = first.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.mark").alias(name))
     return docs.withColumn(name, mark).join(kept, name, "left_semi").dropDuplicates([name]).drop(name)
