@@ -85,22 +85,39 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 CUTS = ["[\\n\\r]+|[.!?]+[ \\t]+", "\\n[ \\t\\r]*\\n|[.!?]+[ \\t\\n\\r]+"]
 
 
-def _identifiers(text: Column, cut: str) -> Column:
-    """The known identifiers in order, each between bars; a bar if there is none."""
+def _identifiers(text: Column) -> Column:
+    """The known identifiers of both cuts in order, each between bars; a bar if there is none.
+
+    The cut by lines cuts wherever that by runs does, so a run that isn't known
+    as a whole is looked up line by line.  What only one of the cuts has found
+    is marked by a tilde.
+    """
     known = F.create_map(*(F.lit(x) for pair in SENTENCES.items() for x in (pair[1], pair[0])))
 
     def normal(s: Column) -> Column:
         return F.regexp_replace(F.regexp_replace(s, "[^a-z0-9.+-]+", " "), "^[ .+-]+|[ .+-]+$", "")
 
-    names = F.filter(F.transform(F.split(text, cut), lambda s: F.element_at(known, normal(s))), lambda x: x.isNotNull())
+    def found(run: Column) -> Column:
+        whole = F.element_at(known, normal(run))
+        lines = F.filter(F.transform(F.split(run, CUTS[0]), lambda s: F.element_at(known, normal(s))), lambda x: x.isNotNull())
+        one = F.when(lines == F.array(whole), whole).otherwise(F.concat(F.lit("~"), whole))
+        return F.when(whole.isNotNull(), F.array(one)).otherwise(F.transform(lines, lambda x: F.concat(F.lit("~"), x)))
+
+    names = F.flatten(F.transform(F.split(text, CUTS[1]), found))
     return F.concat(F.lit("|"), F.array_join(F.transform(names, lambda x: F.concat(x, F.lit("|"))), ""))
 
 
+def _pattern(rule: list[str]) -> tuple[str, str]:
+    """A rule as a regular expression and what takes its place: what one cut alone has found may stand between, and stays."""
+    first, *rest = (f"~?{i}\\|" for i in rule)
+    return f"\\|{first}" + "".join(f"((?:~[^|]*\\|)*){x}" for x in rest), "|#|" + "".join(f"${k + 1}" for k in range(len(rest)))
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``id_col``, ``sentence_ids``, ``licenses`` and ``verdict``.
 
     ``sentence_ids`` has the known sentences' identifiers in order, between
-    bars; if the two cuts differ, that with more text, then the cut by lines.
+    bars, from both cuts: a run of lines known as a whole, else its known lines.
     ``licenses`` has the distinct licenses that a rule found, in the order of
     the rules, separated by commas.  ``verdict`` is ``known`` if there is one,
     ``unknown`` if there are known sentences but no rule, else ``none``; null
@@ -111,14 +128,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     told = F.lit(False)
     for word in TRIGGERS:
         told = told | F.contains(F.col("body"), F.lit(word))
-    lines, runs = (F.when(told, _identifiers(F.col("body"), cut)).otherwise("|") for cut in CUTS)
-    out = docs.select(F.col(id_col), lower.alias("body")).select(id_col, lines.alias("lines"), runs.alias("runs"))
-    out = out.select(id_col, F.when(F.length("runs") > F.length("lines"), F.col("runs")).otherwise(F.col("lines")).alias("sentence_ids"))
-    out = out.withColumn("left", F.col("sentence_ids"))
+    out = docs.select(F.col(id_col), lower.alias("body")).select(id_col, F.when(told, _identifiers(F.col("body"))).otherwise("|").alias("left"))
+    out = out.withColumn("sentence_ids", F.replace("left", F.lit("~"), F.lit("")))
     hits: dict[str, Column] = {}
     for i, (name, rule) in enumerate(RULES):
-        part = f"|{'|'.join(rule)}|"
-        out = out.withColumn(f"hit{i}", F.contains(F.col("left"), F.lit(part))).withColumn("left", F.replace("left", F.lit(part), F.lit("|#|")))
+        part, put = _pattern(rule)
+        out = out.withColumn(f"hit{i}", F.col("left").rlike(part)).withColumn("left", F.regexp_replace("left", part, put))
         hits[name] = hits[name] | F.col(f"hit{i}") if name in hits else F.col(f"hit{i}")
     found = F.concat_ws(",", *(F.when(hit, F.lit(name)) for name, hit in hits.items()))
     out = out.select(id_col, "sentence_ids", found.alias("licenses"))
@@ -127,7 +142,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def scan_sql(table: str = "documents", id_col: str = "doc_id", text_col: str = "text") -> str:
-    """The same scan as SQL for DuckDB."""
+    """The scan as SQL for DuckDB, for texts where one cut finds all that the other does: it reads the longer cut only."""
     known = "MAP {" + ", ".join(f"'{s}': '{k}'" for k, s in SENTENCES.items()) + "}"
     told = " OR ".join(f"contains(body, '{w}')" for w in TRIGGERS)
 

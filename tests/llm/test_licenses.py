@@ -73,6 +73,21 @@ def test_license_texts(spark):
     assert all(got[i] == plain(t)[1:] for i, t in enumerate(texts))
 
 
+def test_both_cuts_count(spark):
+    spdx = "SPDX-License-Identifier: GPL-3.0-only\nmodule loader\n\n"
+    grant, rest = MIT.split("\n\n", 1)[1].split("\n\n", 1)
+    rest = rest.replace(" IN NO EVENT ...", "")
+    texts = [spdx + APACHE, APACHE + "\n" + spdx, grant + "\n\n" + spdx + rest, "Released under the\nMIT License"]
+    got = {r.doc_id: (r.sentence_ids, r.licenses, r.verdict) for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    apache = "apache-header|apache-copy|apache-url|apache-unless|apache-see|"
+    assert got == {
+        0: ("|spdx-gpl3|" + apache, "Apache-2.0,GPL-3.0-only", "known"),
+        1: ("|" + apache + "spdx-gpl3|", "Apache-2.0,GPL-3.0-only", "known"),
+        2: ("|mit-grant|spdx-gpl3|mit-notice|mit-warranty|", "MIT,GPL-3.0-only", "known"),
+        3: ("|mit-line|", "MIT", "known"),
+    }
+
+
 def test_every_known_sentence_has_a_trigger_and_is_normal():
     for s in licenses.SENTENCES.values():
         assert any(t in s for t in licenses.TRIGGERS), s
