@@ -3,7 +3,8 @@
 Texts are cut into sentences, sentences are normalised and looked up among known
 license sentences, and the resulting sequence of identifiers is matched against
 ordered rules, longer rules first; what a rule has matched is used up.  All of
-it is DataFrame functions.
+it is DataFrame functions.  Notices that grant nothing, such as "All rights
+reserved.", are out of scope: they are neither sentences nor licenses here.
 """
 
 from __future__ import annotations
