@@ -19,9 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from millrace.llm._shared import bounded_batches, fresh, utf8
+from millrace.llm._shared import bounded_batches, fresh, text_key, utf8
 
-#: At most so many labelled documents are learnt from, those with the least hash of their id.
+#: At most so many labelled documents are learnt from, those with the least hash of their id, then by label and text.
 SAMPLE_ROWS = 2000
 BUCKET_BITS = 17
 DIMENSIONS = 8
@@ -147,18 +147,23 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     driver gets at most ``sample_rows`` sparse rows.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
-    sample = F.broadcast(known.orderBy(F.xxhash64("id"), "id", "label").limit(sample_rows))
-    rows = bounded_batches(docs).select(F.col(id_col).alias("id"), utf8(F.col(text_col)).alias("body")).join(sample, "id").select("id", "label", "body")
+    keys = docs.select(F.col(id_col).alias("id"), *text_key(F.col(text_col))).join(known, "id")
+    drawn = keys.orderBy(F.xxhash64("id"), "id", "label", "t1", "t2").limit(sample_rows)
+    # Rows that are equal in all of it have equal features: they are made once and counted.
+    sample = F.broadcast(drawn.groupBy("id", "label", "t1", "t2").agg(F.count("*").alias("times")))
+    rows = bounded_batches(docs).select(F.col(id_col).alias("id"), *text_key(F.col(text_col)), utf8(F.col(text_col)).alias("body")).join(sample, ["id", "t1", "t2"])
+    rows = rows.select("id", "label", "t1", "t2", "times", "body")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [feature_counts(x.as_py()) for x in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([b.tobytes() for b, _ in made], pa.binary()), pa.array([s.tobytes() for _, s in made], pa.binary())], ["id", "label", "buckets", "shares"])
+            made = [feature_counts(x.as_py()) for x in batch.column(5)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array([b.tobytes() for b, _ in made], pa.binary()), pa.array([s.tobytes() for _, s in made], pa.binary())], ["id", "label", "t1", "t2", "times", "buckets", "shares"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    got = rows.mapInArrow(run, f"id {kind}, label int, buckets binary, shares binary").limit(sample_rows).collect()
+    made = rows.mapInArrow(run, f"id {kind}, label int, t1 bigint, t2 bigint, times bigint, buckets binary, shares binary")
+    got = made.dropDuplicates(["id", "label", "t1", "t2"]).select("id", "label", "times", "buckets", "shares").collect()
     got.sort(key=lambda r: (r.id, r.label, r.buckets))
-    return train([(r.label, np.frombuffer(r.buckets, np.int32), np.frombuffer(r.shares, np.float32)) for r in got])
+    return train([(r.label, np.frombuffer(r.buckets, np.int32), np.frombuffer(r.shares, np.float32)) for r in got for _ in range(r.times)])
 
 
 def score(docs: DataFrame, model: QualityModel, text_col: str = "text", name: str = "score") -> DataFrame:

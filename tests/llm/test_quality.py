@@ -89,3 +89,14 @@ def test_sample_is_bounded(spark):
     docs = spark.createDataFrame([(i, f"text {rng.random()}") for i in range(50)], "doc_id bigint, text string")
     labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
     assert isinstance(quality.fit(docs, labels, sample_rows=10), quality.QualityModel)
+
+
+def test_sample_is_drawn_from_joined_rows(spark):
+    docs = spark.createDataFrame([(i, f"word{i} good text {i % 3}") for i in range(8)] + [(3, "another text")] * 3, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(8)], "doc_id bigint, quality int")
+    absent = spark.createDataFrame([(i, 1) for i in range(1000, 3000)], "doc_id bigint, quality int")
+    whole = quality.fit(docs, labels, sample_rows=11)
+    more = quality.fit(docs, labels.union(absent), sample_rows=11)
+    assert (whole.odds == more.odds).all() and whole.bias == more.bias
+    first = quality.fit(docs.repartition(1), labels, sample_rows=6)
+    assert all((first.odds == quality.fit(docs.repartition(n), labels, sample_rows=6).odds).all() for n in (3, 5))
