@@ -66,6 +66,15 @@ def bag_squares(counts: Column) -> Column:
     return F.aggregate(counts, F.lit(0).cast("bigint"), lambda acc, x: acc + x["n"] * x["n"])
 
 
+def bag_weights(text: Column, dim: int = DIMENSIONS) -> Column:
+    """``array<struct<bucket, weight>>``: the entries of ``bag`` over its norm; the bag is made once."""
+
+    def scaled(counts: Column, root: Column) -> Column:
+        return F.transform(counts, lambda x: F.struct(x["bucket"].alias("bucket"), (x["n"] / root).alias("weight")))
+
+    return _let(bag(text, dim), lambda counts: _let(F.sqrt(bag_squares(counts).cast("double")), lambda root: scaled(counts, root)))
+
+
 def bag_dot(counts: Column, other: Column) -> Column:
     """The inner product of a bag with a map from bucket to count, a whole number."""
     return F.aggregate(counts, F.lit(0).cast("bigint"), lambda acc, x: acc + x["n"] * F.coalesce(F.element_at(other, x["bucket"]), F.lit(0).cast("bigint")))

@@ -15,7 +15,11 @@ _KEY = "conv_id"
 
 
 def contexts(log: DataFrame) -> DataFrame:
-    """For every user turn ``context``, all messages up to and with it, in order."""
+    """For every user turn ``context``, all messages up to and with it, in order.
+
+    That is what a request sends, so the result grows with the square of a
+    conversation's turns, and one conversation is one task's.
+    """
     before = Window.partitionBy(_KEY).orderBy("turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     told = log.withColumn("context", F.collect_list(F.struct("role", "text")).over(before))
     return told.where(F.col("role") == "user").select(_KEY, "turn", "context")

@@ -7,23 +7,26 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.text import DIMENSIONS, bag, bag_cosine, bag_dot, bag_squares, dense
+from millrace.functions.text import DIMENSIONS, bag, bag_cosine, bag_dot, bag_squares, bag_weights, dense
 from millrace.functions.vectors import cosine, doubles, norm
 from millrace.operators.nearest import positive, ranked
 from millrace.operators.tables import spread
 
 
+def _entries(docs: DataFrame, id_col: str, text_col: str, bag_of, names: Sequence[str]) -> DataFrame:
+    # Outer, since Spark guards an inner generator by a filter that would make the bag once more.
+    rows = spread(docs.select(id_col, text_col)).select(id_col, F.inline_outer(bag_of))
+    return rows.where(F.col("bucket").isNotNull()).select(id_col, *names)
+
+
 def bucket_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dim: int = DIMENSIONS) -> DataFrame:
     """``id_col``, ``bucket`` and ``n``: one row for each bucket that a document's words fall into."""
-    return spread(docs.select(id_col, text_col)).select(id_col, F.inline(bag(F.col(text_col), dim)))
+    return _entries(docs, id_col, text_col, bag(F.col(text_col), dim), ["bucket", "n"])
 
 
 def bucket_weights(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dim: int = DIMENSIONS) -> DataFrame:
-    """As ``bucket_counts``, with ``weight``, the count over the document's norm."""
-    counted = spread(docs.select(id_col, text_col)).select(id_col, bag(F.col(text_col), dim).alias("bag"))
-    root = F.sqrt(bag_squares(F.col("bag")).cast("double"))
-    rows = counted.select(id_col, root.alias("root"), F.inline("bag"))
-    return rows.select(id_col, "bucket", (F.col("n") / F.col("root")).alias("weight"))
+    """``id_col``, ``bucket`` and ``weight``, the count over the document's norm."""
+    return _entries(docs, id_col, text_col, bag_weights(F.col(text_col), dim), ["bucket", "weight"])
 
 
 def embed(docs: DataFrame, text_col: str = "text", dim: int = DIMENSIONS, name: str = "embedding") -> DataFrame:

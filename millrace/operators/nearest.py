@@ -1,14 +1,15 @@
-"""Nearest rows of many queries: queries in blocks against all candidates.
+"""Nearest rows of many queries: blocks of queries against chunks of candidates.
 
-A block of queries of fixed size goes to every task, which streams its
-candidates and keeps each query's best k; Spark merges the tasks' lists.  With
-one query, ``ranked`` sorts and limits within Spark.
+Queries are written to the shared folder once.  Every task takes its candidates
+in chunks of bounded size, reads the queries block by block from there and keeps
+each query's best k of the chunk; Spark merges the lists.  The driver sees
+neither queries nor candidates.  With one query, ``ranked`` sorts and limits
+within Spark.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +17,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.vectors import doubles
+from millrace.sources.shared import blocks, written
 
-QUERY_BLOCK, TILE_QUERIES, TILE_ROWS = 16384, 64, 1024
+#: Bytes of a block of queries and of a chunk of candidates in a task.
+BLOCK_BYTES, CHUNK_BYTES = 8 << 20, 32 << 20
+TILE_QUERIES, TILE_ROWS = 64, 1024
 #: Whether larger values come first, and larger ids among equal values.
 METRICS = {"euclidean": False, "cosine": True}
 
@@ -56,59 +60,76 @@ def _first(query: np.ndarray, value: np.ndarray, ids: np.ndarray, k: int, larger
     return query[keep], value[keep], ids[keep]
 
 
-def _scan(query_ids: np.ndarray, queries: np.ndarray, k: int, metric: str, others_only: bool):
-    larger = METRICS[metric]
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    if (np.diff(np.asarray(column.offsets)) != width).any():
+        raise ValueError("vectors of unequal width")
+    return np.asarray(column.flatten()).reshape(-1, width)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
-        for batch in batches:
-            ids, flat, ends = np.asarray(batch.column(0)), np.asarray(batch.column(1).flatten()), np.asarray(batch.column(1).offsets)
-            if (np.diff(ends) != queries.shape[1]).any():
-                raise ValueError("vectors of unequal width")
-            rows = flat.reshape(-1, queries.shape[1])
-            for c in range(0, len(ids), TILE_ROWS):
-                parts = [held]
-                for q in range(0, len(query_ids), TILE_QUERIES):
-                    value = _values(queries[q : q + TILE_QUERIES], rows[c : c + TILE_ROWS], metric)
-                    wanted = query_ids[q : q + TILE_QUERIES, None] != ids[None, c : c + TILE_ROWS] if others_only else np.ones_like(value, bool)
-                    reach = k + others_only
-                    if value.shape[1] > reach:
-                        wanted &= value >= np.partition(value, -reach, axis=1)[:, [-reach]] if larger else value <= np.partition(value, reach - 1, axis=1)[:, [reach - 1]]
-                    at, col = np.nonzero(wanted)
-                    parts.append(_first(at + q, value[at, col], ids[c + col], k, larger))
-                held = _first(*(np.concatenate(x) for x in zip(*parts, strict=True)), k, larger)
-        yield pa.RecordBatch.from_arrays([pa.array(query_ids[held[0]], pa.int64()), pa.array(held[2], pa.int64()), pa.array(held[1], pa.float64())], ["query_id", "id", "value"])
-
-    return run
-
-
-def nearest(queries: DataFrame, candidates: DataFrame, k: int, metric: str = "euclidean", others_only: bool = False, block: int = QUERY_BLOCK) -> DataFrame:
+
+def _chunks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and vectors of as many batches as fit a chunk."""
+    held, size = [], 0
+    for batch in batches:
+        held.append((np.asarray(batch.column(0)), _matrix(batch.column(1), width)))
+        size += held[-1][1].nbytes
+        if size >= CHUNK_BYTES:
+            yield np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
+            held, size = [], 0
+    if held:
+        yield np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
+
+
+def _best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int, metric: str, others_only: bool) -> pa.RecordBatch:
+    """The k best rows of a chunk for each query of a block."""
+    larger = METRICS[metric]
+    held = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
+    for c in range(0, len(ids), TILE_ROWS):
+        parts, tile = [held], ids[c : c + TILE_ROWS]
+        for q in range(0, len(query_ids), TILE_QUERIES):
+            value = _values(queries[q : q + TILE_QUERIES], rows[c : c + TILE_ROWS], metric)
+            wanted = np.ones_like(value, bool)
+            rank = value.copy()
+            if others_only:
+                # Own rows, however often they are repeated, must not take places among the k.
+                wanted = query_ids[q : q + TILE_QUERIES, None] != tile[None, :]
+                rank[~wanted] = -np.inf if larger else np.inf
+            if value.shape[1] > k:
+                wanted &= rank >= np.partition(rank, -k, axis=1)[:, [-k]] if larger else rank <= np.partition(rank, k - 1, axis=1)[:, [k - 1]]
+            at, col = np.nonzero(wanted)
+            parts.append(_first(at + q, value[at, col], tile[col], k, larger))
+        held = _first(*(np.concatenate(x) for x in zip(*parts, strict=True)), k, larger)
+    return pa.RecordBatch.from_arrays([pa.array(query_ids[held[0]], pa.int64()), pa.array(held[2], pa.int64()), pa.array(held[1], pa.float64())], ["query_id", "id", "value"])
+
+
+def nearest(queries: DataFrame, candidates: DataFrame, k: int, metric: str = "euclidean", others_only: bool = False, block: int | None = None) -> DataFrame:
     """``query_id``, ``rank``, ``id`` and ``value`` of each query's k best candidates, or of all if there are fewer.
 
-    Both tables have ``id`` (unique) and ``v``.  Distances ascend and ties go to
-    the smaller id; similarities descend and ties go to the larger id.
-    ``others_only`` leaves out the candidate with the query's own id.
+    Both tables have ``id`` and ``v``.  Distances ascend and ties go to the
+    smaller id; similarities descend and ties go to the larger id.
+    ``others_only`` leaves out the candidates with the query's own id.  A
+    repeated query is answered once, a repeated candidate counts each time.
+    ``block`` is the number of queries in a block, ``BLOCK_BYTES`` otherwise.
     """
     positive(k)
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {', '.join(METRICS)}")
     spark = candidates.sparkSession
     rows = candidates.select(F.col("id").cast("bigint"), doubles(F.col("v")).alias("v"))
-    asked, after, found = queries.select(F.col("id").cast("bigint"), doubles(F.col("v")).alias("v")), None, []
-    while True:
-        part = (asked if after is None else asked.where(F.col("id") > after)).orderBy("id").limit(block).collect()
-        if part:
-            matrix = np.array([r.v for r in part], float)
-            if matrix.ndim != 2:
-                raise ValueError("vectors of unequal width")
-            run = _scan(np.array([r.id for r in part], np.int64), matrix, k, metric, others_only)
-            found.append(rows.mapInArrow(run, "query_id bigint, id bigint, value double"))
-            after = part[-1].id
-        if len(part) < block:
-            break
-    if not found:
+    asked = written(queries.select(F.col("id").cast("bigint"), doubles(F.col("v")).alias("v")).dropDuplicates(["id"]))
+    widths = spark.read.schema("id bigint, v array<double>").parquet(asked).agg(F.min(F.size("v")).alias("low"), F.max(F.size("v")).alias("high")).first()
+    if widths.low is None:
         return spark.createDataFrame([], "query_id bigint, rank int, id bigint, value double")
+    if widths.low != widths.high:
+        raise ValueError("vectors of unequal width")
+    width = widths.low
+    block = block or max(1, BLOCK_BYTES // (8 * max(1, width)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, matrix in _chunks(batches, width):
+            for part in blocks(asked, block):
+                yield _best(np.asarray(part.column(0)), _matrix(part.column(1), width), ids, matrix, k, metric, others_only)
+
+    lists = rows.mapInArrow(run, "query_id bigint, id bigint, value double")
     order = (F.desc("value"), F.desc("id")) if METRICS[metric] else (F.asc("value"), F.asc("id"))
-    lists = reduce(DataFrame.unionAll, found)
     best = lists.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k)
     return best.select("query_id", "rank", "id", "value")

@@ -36,9 +36,8 @@ def _mean_vector(rows: DataFrame, vector_col: str) -> list[float]:
     return [r["mean"] for r in found]
 
 
-def covariance(rows: DataFrame, vector_col: str = "v", mean: list[float] | None = None) -> DataFrame:
-    """``i``, ``j`` and sample covariance ``value`` of all pairs of components, in two passes; none for fewer than two rows."""
-    mean = _mean_vector(rows, vector_col) if mean is None else mean
+def _products(rows: DataFrame, vector_col: str, mean: list[float]) -> DataFrame:
+    """``i``, ``s`` (the ``i``-th row of the sum of centred products) and ``n``, one row for each component."""
     centre, width = np.array(mean, float), len(mean)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -51,11 +50,39 @@ def covariance(rows: DataFrame, vector_col: str = "v", mean: list[float] | None
             gram += x.T @ x
             n += len(x)
         if n:
-            i, j = np.divmod(np.arange(width * width), max(1, width))
-            yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(gram.ravel()), pa.array(np.full(width * width, n), pa.int64())], ["i", "j", "s", "n"])
+            ends = pa.array(np.arange(0, width * width + 1, width), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(width), pa.int32()), pa.ListArray.from_arrays(ends, pa.array(gram.ravel())), pa.array(np.full(width, n), pa.int64())], ["i", "s", "n"])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Parts come in the order of their rows, so that one row's sum is held at a time."""
+        at, total, n = None, None, 0
+
+        def row() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([total], pa.list_(pa.float64())), pa.array([n], pa.int64())], ["i", "s", "n"])
+
+        for batch in batches:
+            for i, part, m in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                if i != at and at is not None:
+                    yield row()
+                if i != at:
+                    at, total, n = i, np.zeros(width), 0
+                total, n = total + np.asarray(part.values), n + m
+        if at is not None:
+            yield row()
 
-    parts = rows.select(doubles(F.col(vector_col)).alias("v")).mapInArrow(run, "i int, j int, s double, n bigint")
-    return parts.groupBy("i", "j").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).where("n > 1").select("i", "j", (F.col("s") / (F.col("n") - 1)).alias("value"))
+    kind = "i int, s array<double>, n bigint"
+    parts = rows.select(doubles(F.col(vector_col)).alias("v")).mapInArrow(run, kind)
+    return parts.repartition("i").sortWithinPartitions("i").mapInArrow(added, kind)
+
+
+def covariance(rows: DataFrame, vector_col: str = "v", mean: list[float] | None = None) -> DataFrame:
+    """``i``, ``j`` and sample covariance ``value`` of all pairs of components, in two passes; none for fewer than two rows.
+
+    A task hands on one row of sums for each component, not one for each pair.
+    """
+    mean = _mean_vector(rows, vector_col) if mean is None else mean
+    sums = _products(rows, vector_col, mean).where("n > 1")
+    return sums.select("i", "n", F.posexplode("s").alias("j", "s")).select("i", "j", (F.col("s") / (F.col("n") - 1)).alias("value"))
 
 
 @dataclass(frozen=True)
@@ -88,8 +115,9 @@ def fit(rows: DataFrame, k: int, vector_col: str = "v") -> PcaModel:
     if n < 2:
         raise ValueError("components need two rows or more")
     matrix = np.zeros((len(mean), len(mean)))
-    for r in covariance(rows, vector_col, mean).collect():
-        matrix[r.i, r.j] = r.value
+    sums = _products(rows, vector_col, mean).toArrow()  # a row for each component
+    for i, s in zip(sums.column("i").to_pylist(), sums.column("s"), strict=True):
+        matrix[i] = np.asarray(s.values) / (n - 1)
     values, vectors = np.linalg.eigh(matrix)
     if values[-1] <= 0:
         raise ValueError("the rows have no variance")

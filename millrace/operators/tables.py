@@ -13,9 +13,9 @@ def with_default(df: DataFrame, column: str, default: str = "") -> DataFrame:
     return df.withColumn(column, F.coalesce(F.col(column), F.lit(default)) if column in df.columns else F.lit(default))
 
 
-def component(df: DataFrame, condition: Column, vector_col: str, position: int, name: str = "value") -> DataFrame:
-    """One component, counted from 0, of the vectors of the rows where ``condition`` holds."""
-    return df.where(condition).select(F.element_at(vector_col, position + 1).alias(name))
+def component(df: DataFrame, condition: Column, vector_col: str, position: int, name: str = "value", keep: Sequence[str] = ()) -> DataFrame:
+    """One component, counted from 0, of the vectors of the rows where ``condition`` holds, beside the columns ``keep``."""
+    return df.where(condition).select(*keep, F.element_at(vector_col, position + 1).alias(name))
 
 
 def stack(frames: Sequence[DataFrame]) -> DataFrame:

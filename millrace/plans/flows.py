@@ -11,7 +11,8 @@ from millrace.functions.text import stripped
 from millrace.operators import conversation, pca
 from millrace.operators.nearest import nearest
 from millrace.sources import cache, files
-from millrace.sources.providers import QUERY, Chat, Embedding, HashEmbedding, embedded, replies
+from millrace.sources.config import Settings
+from millrace.sources.providers import QUERY, Chat, Embedding, HashEmbedding, embedded, embedding_provider, replies
 from millrace.sources.shared import checkpointed
 
 
@@ -35,15 +36,18 @@ def chat_turn(log: DataFrame, said: DataFrame, provider: Chat, prompt: str = con
     return checkpointed(conversation.append(kept, done)), answers.where(F.col("error").isNotNull()).select("conv_id", "error")
 
 
-def semantic_search(spark: SparkSession, path: str, queries: Sequence[str], k: int = 3, cache_path: str | None = None, provider: Embedding | None = None) -> DataFrame:
+def semantic_search(spark: SparkSession, path: str, queries: Sequence[str], k: int = 3, cache_path: str | None = None, provider: Embedding | None = None, settings: Settings | None = None) -> DataFrame:
     """``query_id``, ``rank``, ``id``, ``topic``, ``text`` and ``score`` for the documents of a JSON file.
 
     Documents are embedded as passages, from the cache where one is given, and
-    queries as queries; both must have the same width.
+    queries as queries.  ``provider``, or else the settings' mode, says by what;
+    if their widths differ, as where a failing provider was replaced for one of
+    the two only, that is an error.
     """
-    provider = provider or HashEmbedding()
+    settings = settings or Settings()
+    provider = provider or embedding_provider(settings)
     docs = files.load_documents(spark, path)
-    vectors = cache.embeddings(docs, cache_path, provider, "id") if cache_path else embedded(docs, provider, "id")
+    vectors = cache.embeddings(docs, cache_path, provider, "id", on_error=settings.on_error) if cache_path else embedded(docs, provider, "id")
     asked = embedded(spark.createDataFrame(list(enumerate(queries)), "id bigint, text string"), provider, "id", input_type=QUERY)
     found = nearest(asked.withColumnRenamed("embedding", "v"), vectors.withColumnRenamed("embedding", "v"), k, "cosine")
     return found.join(docs, "id").select("query_id", "rank", "id", "topic", "text", F.col("value").alias("score"))

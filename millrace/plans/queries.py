@@ -7,17 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions.vectors import cosine, doubles, euclidean, norm
+from millrace.functions.vectors import cosine, doubles, euclidean, norm, total
 from millrace.operators import conversation, descent, embedding, knn, pca, tables
 from millrace.operators.nearest import nearest, ranked
-from millrace.sources.files import load_table
-from millrace.sources.providers import EchoChat, replies
+from millrace.sources import cache
+from millrace.sources.files import load_documents, load_histories, load_table, save, save_histories
+from millrace.sources.providers import EchoChat, HashEmbedding, replies
+from millrace.sources.shared import materialize, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 SEARCHES = ["the nation that is with the thing", "de la que en el", "and for the station, isn't it?"]
 TOP = 10
-GRID = 40
+GRID, PADDING = 200, 1.5
 RATES = [0.05, 0.5, 1.05]
 
 QUERIES: dict[str, Query] = {}
@@ -153,7 +155,7 @@ _AXIS = f"CASE WHEN {{0}} = {GRID - 1} THEN {{2}} ELSE {{0}}::DOUBLE * (({{2}} -
 
 
 @registered(f"""WITH t AS (SELECT vec_id, label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings),
-b AS (SELECT min(x) - 0.1::DOUBLE AS x0, max(x) + 0.1::DOUBLE AS x1, min(y) - 0.1::DOUBLE AS y0, max(y) + 0.1::DOUBLE AS y1 FROM t),
+b AS (SELECT min(x) - {PADDING}::DOUBLE AS x0, max(x) + {PADDING}::DOUBLE AS x1, min(y) - {PADDING}::DOUBLE AS y0, max(y) + {PADDING}::DOUBLE AS y1 FROM t),
 g AS (SELECT i // {GRID} AS gi, i % {GRID} AS gj, {_AXIS.format(f'(i % {GRID})', 'x0', 'x1')} AS gx, {_AXIS.format(f'(i // {GRID})', 'y0', 'y1')} AS gy
   FROM range(0, {GRID * GRID}) r(i), b),
 s AS (SELECT gi, gj, vec_id, label, sqrt((gx - x) * (gx - x) + (gy - y) * (gy - y)) AS d FROM g, t),
@@ -164,7 +166,7 @@ SELECT gi::INT AS gi, gj::INT AS gj, label FROM w WHERE place = 1""")
 def knn_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The decision grid of all vectors' first two components."""
     t = load_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label", *(doubles(F.col("embedding"))[i].alias(c) for i, c in enumerate("xy")))
-    x0, x1, y0, y1 = knn.bounds(t, padding=0.1)
+    x0, x1, y0, y1 = knn.bounds(t, padding=PADDING)
     return knn.classify_grid(t.select("id", F.array("x", "y").alias("v"), "label"), (x0, x1, GRID), (y0, y1, GRID), 5)
 
 
@@ -180,7 +182,7 @@ def class_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered(f"""WITH {_CENTROIDS}, v AS (SELECT label, list(mean ORDER BY pos) AS m FROM c GROUP BY label)
 SELECT a.label AS label_a, b.label AS label_b, round({_COSINE.format('a.m', 'b.m')}, 6) AS similarity FROM v a JOIN v b ON a.label < b.label""")
 def centroid_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cosine similarity of every two classes' centroids; there are as many as labels."""
+    """Cosine similarity of every two classes' centroids: pairs of labels, of which a classifier has few, not of rows."""
     rows = pca.group_means(load_table(spark, sf_dir, "embeddings"), "label", "embedding")
     v = rows.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "mean"))), lambda x: x["mean"]).alias("m"))
     a, b = v.select(F.col("label").alias("label_a"), F.col("m").alias("a")), v.select(F.col("label").alias("label_b"), F.col("m").alias("b"))
@@ -266,8 +268,10 @@ def pca_2feature_project(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered(f"""WITH {_PAIR}, s AS (SELECT *, (l_quantity - mx) * dx + (l_discount - my) * dy AS score FROM lineitem, c)
 SELECT l_orderkey, l_linenumber, round(score * dx + mx, 6) AS quantity, round(score * dy + my, 6) AS discount FROM s""")
 def pca_reconstruct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _pair_scores(spark, sf_dir)
-    return rows.select("l_orderkey", "l_linenumber", F.round(F.col("score") * F.col("dx") + F.col("mx"), 6).alias("quantity"), F.round(F.col("score") * F.col("dy") + F.col("my"), 6).alias("discount"))
+    rows = tables.paired(load_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount"), ["l_quantity", "l_discount"])
+    model = pca.fit(rows, 1)
+    back = rows.select("l_orderkey", "l_linenumber", model.restored(model.scores(F.col("v"))).alias("b"))
+    return back.select("l_orderkey", "l_linenumber", F.round(F.col("b")[0], 6).alias("quantity"), F.round(F.col("b")[1], 6).alias("discount"))
 
 
 @registered(f"""WITH {_PAIR}, r AS (SELECT min(l_quantity - mx) AS lo, max(l_quantity - mx) AS hi FROM lineitem, c),
@@ -280,7 +284,26 @@ def principal_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line.select("i", F.round(F.col("points")[0], 6).alias("quantity"), F.round(F.col("points")[1], 6).alias("discount"))
 
 
-@registered()
+def _leading(matrix: str, name: str, squarings: int = 16) -> str:
+    """CTEs that end in ``name(pos, c)``: the leading eigenvector, a column of a high power of ``matrix(i, j, v)``, its largest entry positive."""
+    steps = [f"{name}_0 AS MATERIALIZED (SELECT i, j, v / (SELECT max(abs(v)) FROM {matrix}) AS v FROM {matrix})"]
+    for k in range(squarings):
+        steps.append(f"{name}_s{k} AS MATERIALIZED (SELECT a.i, b.j, sum(a.v * b.v) AS v FROM {name}_{k} a JOIN {name}_{k} b ON a.j = b.i GROUP BY ALL)")
+        steps.append(f"{name}_{k + 1} AS MATERIALIZED (SELECT i, j, v / (SELECT max(abs(v)) FROM {name}_s{k}) AS v FROM {name}_s{k})")
+    last = f"{name}_{squarings}"
+    steps.append(f"{name}_c AS MATERIALIZED (SELECT i AS pos, v FROM {last} WHERE j = (SELECT arg_max(j, v) FROM {last} WHERE i = j))")
+    steps.append(f"{name}_n AS (SELECT sqrt(sum(v * v)) AS n, (SELECT sign(v) FROM {name}_c ORDER BY round(abs(v / (SELECT sqrt(sum(v * v)) FROM {name}_c)), 12) DESC, pos LIMIT 1) AS s FROM {name}_c)")
+    steps.append(f"{name} AS MATERIALIZED (SELECT pos, v / n * s AS c FROM {name}_c, {name}_n)")
+    return ", ".join(steps)
+
+
+@registered(f"""WITH {_PARTS}, means AS MATERIALIZED (SELECT pos, avg(x) AS m FROM p GROUP BY pos),
+cov AS MATERIALIZED (SELECT a.pos AS i, b.pos AS j, covar_samp(a.x, b.x) AS v FROM p a JOIN p b USING (vec_id) GROUP BY ALL),
+{_leading("cov", "one")}, top AS (SELECT sum(x.c * v * y.c) AS l FROM cov JOIN one x ON x.pos = i JOIN one y ON y.pos = j),
+rest AS MATERIALIZED (SELECT i, j, v - l * x.c * y.c AS v FROM cov JOIN one x ON x.pos = i JOIN one y ON y.pos = j, top),
+{_leading("rest", "two")}
+SELECT vec_id, label, round(pc1, 9) AS pc1, round(pc2, 9) AS pc2 FROM embeddings JOIN
+  (SELECT vec_id, sum((x - m) * one.c) AS pc1, sum((x - m) * two.c) AS pc2 FROM p JOIN means USING (pos) JOIN one USING (pos) JOIN two USING (pos) GROUP BY vec_id) USING (vec_id)""")
 def pca_2d_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector's scores on the first two components."""
     rows = load_table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("v"), "label")
@@ -315,6 +338,61 @@ def conversation_with_system(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation.with_system(load_table(spark, sf_dir, "conversations"))
 
 
+_EDITED = f"""edited AS (SELECT conv_id, turn, role, CASE WHEN role <> 'user' THEN text WHEN (conv_id + turn) % 5 = 0 THEN chr(32) || chr(9) || 'QuIt' || chr(10)
+  WHEN (conv_id + turn) % 5 = 1 THEN chr(10) || chr(32) WHEN (conv_id + turn) % 5 = 2 THEN NULL ELSE text END AS text FROM conversations)"""
+_BLANK = "chr(32) || chr(9) || chr(10) || chr(13)"
+
+
+@registered(f"""WITH {_EDITED}, q AS (SELECT conv_id, min(turn) AS ends FROM edited WHERE role = 'user' AND lower(trim(text, {_BLANK})) = 'quit' GROUP BY conv_id)
+SELECT c.conv_id, turn, role, text FROM edited c LEFT JOIN q ON q.conv_id = c.conv_id
+WHERE (ends IS NULL OR turn < ends) AND (role <> 'user' OR length(trim(coalesce(text, ''), {_BLANK})) > 0)""")
+def session_until_quit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations in which some user turns were made to say quit, blanks or nothing, as far as a session takes them."""
+    log = load_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    case = (F.col("conv_id") + F.col("turn")) % 5
+    said = F.when(case == 0, " \tQuIt\n").when(case == 1, "\n ").when(case == 2, F.lit(None)).otherwise(F.col("text"))
+    return conversation.session_input(log.withColumn("text", F.when(F.col("role") != "user", F.col("text")).otherwise(said)))
+
+
+@registered("SELECT conv_id, turn, role, text FROM conversations WHERE role <> 'user' OR (conv_id + turn) % 3 <> 0")
+def conversation_rollback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log after the requests of some turns have failed."""
+    log = load_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    failed = F.when((F.col("conv_id") + F.col("turn")) % 3 == 0, F.lit("down"))
+    return conversation.roll_back(log, log.where("role = 'user'").select("conv_id", "turn", failed.alias("error")))
+
+
+@registered("SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn, role, coalesce(text, '') AS text FROM conversations")
+def history_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations saved as JSON, saved again over themselves, and loaded."""
+    path = f"{shared_dir(spark)}/histories"
+    save_histories(load_table(spark, sf_dir, "conversations"), path)
+    save_histories(load_histories(spark, path), path)
+    return load_histories(spark, path)
+
+
+@registered("SELECT doc_id AS id, source AS topic, coalesce(text, '') AS text FROM documents")
+def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents saved as JSON and loaded; null texts are left out of the file."""
+    path = f"{shared_dir(spark)}/documents"
+    save(load_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("topic"), "text"), path, "json")
+    return load_documents(spark, path, lines=True)
+
+
+@registered(f"""WITH edited AS (SELECT doc_id, doc_id % 10 = 0 AS computed, CASE WHEN doc_id % 10 = 0 THEN coalesce(text, '') || ' edited' ELSE text END AS text FROM documents),
+{_BAGS.replace("FROM documents", "FROM edited")}, norms AS (SELECT doc_id, sum(n * n)::BIGINT AS s, sum(n)::BIGINT AS t FROM bags GROUP BY doc_id)
+SELECT doc_id, computed, round(coalesce(t / sqrt(s::DOUBLE), 0.0), 6) AS total FROM edited LEFT JOIN norms USING (doc_id)""")
+def embedding_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a cache of all documents' vectors still has once every tenth text is edited, and the sums of the vectors it then gives."""
+    docs, path = load_table(spark, sf_dir, "documents").select("doc_id", "text"), f"{shared_dir(spark)}/cache"
+    provider = HashEmbedding()
+    cache.embeddings(docs, path, provider)
+    edited = docs.withColumn("text", F.when(F.col("doc_id") % 10 == 0, F.concat(F.coalesce("text", F.lit("")), F.lit(" edited"))).otherwise(F.col("text")))
+    new = materialize(cache.missing(edited, path, provider.mode).withColumn("computed", F.lit(True)))
+    rows = cache.embeddings(edited, path, provider).join(new, "doc_id", "left")
+    return rows.select("doc_id", F.coalesce("computed", F.lit(False)).alias("computed"), F.round(total(F.col("embedding")), 6).alias("total"))
+
+
 @registered("""WITH q AS (SELECT conv_id, min(turn) AS ends FROM conversations WHERE role = 'user' AND lower(trim(text, chr(32) || chr(9) || chr(10) || chr(13))) = 'quit' GROUP BY conv_id)
 SELECT c.conv_id, turn, role, text FROM conversations c LEFT JOIN q ON q.conv_id = c.conv_id
 WHERE (ends IS NULL OR turn < ends) AND (role <> 'user' OR length(trim(coalesce(text, ''), chr(32) || chr(9) || chr(10) || chr(13))) > 0)""")
@@ -353,8 +431,8 @@ def column_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered("SELECT vec_id, embedding[1]::DOUBLE AS value FROM embeddings WHERE label = 3")
 def label_component(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first component of the vectors with label 3."""
-    rows = load_table(spark, sf_dir, "embeddings").where(F.col("label") == 3)
-    return rows.select("vec_id", F.element_at(doubles(F.col("embedding")), 1).alias("value"))
+    rows = load_table(spark, sf_dir, "embeddings").select("vec_id", "label", doubles(F.col("embedding")).alias("v"))
+    return tables.component(rows, F.col("label") == 3, "v", 0, keep=["vec_id"])
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

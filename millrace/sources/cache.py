@@ -2,13 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.sources.files import _path
 from millrace.sources.providers import PASSAGE, Embedding, HashEmbedding, ProviderError, embedded
 
 
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("body")).withColumn("content_hash", F.sha2("body", 256))
+    return rows, f"id {rows.schema['id'].dataType.simpleString()}, content_hash string, dim int, embedding array<double>"
+
+
+def _stored(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    where, store = _path(spark, folder)
+    return spark.read.schema(schema).parquet(folder) if store.exists(where) else spark.createDataFrame([], schema)
+
+
+def missing(docs: DataFrame, path: str, mode: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The ids of the documents whose text the cache does not have under this mode."""
+    keyed, schema = _keyed(docs, id_col, text_col)
+    held = _stored(docs.sparkSession, f"{path.rstrip('/')}/mode={mode}", schema)
+    return keyed.join(held, ["id", "content_hash"], "left_anti").select(F.col("id").alias(id_col))
+
+
 def embeddings(docs: DataFrame, path: str, provider: Embedding, id_col: str = "doc_id", text_col: str = "text", on_error: str = "fail") -> DataFrame:
     """``id_col`` and ``embedding`` of every document, from the cache at ``path`` where it has the text.
 
@@ -21,16 +38,14 @@ def embeddings(docs: DataFrame, path: str, provider: Embedding, id_col: str = "d
     if on_error not in ("fail", "fallback"):
         raise ValueError("on_error must be fail or fallback")
     spark = docs.sparkSession
-    keyed = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("body")).withColumn("content_hash", F.sha2("body", 256))
-    schema = f"id {keyed.schema['id'].dataType.simpleString()}, content_hash string, dim int, embedding array<double>"
+    keyed, schema = _keyed(docs, id_col, text_col)
     folder = f"{path.rstrip('/')}/mode={provider.mode}"
 
     def stored() -> DataFrame:
-        where, store = _path(spark, folder)
-        return spark.read.schema(schema).parquet(folder) if store.exists(where) else spark.createDataFrame([], schema)
+        return _stored(spark, folder, schema)
 
-    missing = keyed.join(stored(), ["id", "content_hash"], "left_anti")
-    made = missing.select("id", "content_hash").join(embedded(missing, provider, "id", "body", PASSAGE), "id")
+    new = keyed.join(stored(), ["id", "content_hash"], "left_anti")
+    made = new.select("id", "content_hash").join(embedded(new, provider, "id", "body", PASSAGE), "id")
     side = f"{path.rstrip('/')}/_new"
     try:
         made.select("id", "content_hash", F.size("embedding").alias("dim"), "embedding").write.mode("overwrite").parquet(side)

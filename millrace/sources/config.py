@@ -12,9 +12,15 @@ ON_ERROR = ("fail", "fallback")
 
 @dataclass(frozen=True)
 class Settings:
+    """``mode`` says where vectors come from; the URLs and models are those of the HTTP providers."""
+
     mode: str = "offline"
     api_key: str | None = None
     on_error: str = "fail"
+    embedding_url: str = ""
+    embedding_model: str = ""
+    chat_url: str = ""
+    chat_model: str = ""
 
     def __post_init__(self) -> None:
         if self.mode not in MODES:
@@ -25,7 +31,8 @@ class Settings:
     @classmethod
     def from_environment(cls, names: Mapping[str, str] | None = None) -> Settings:
         """Settings from environment variables; ``names`` says which holds which field."""
-        found = {field: os.environ[name] for field, name in (names or {"mode": "MILLRACE_MODE", "api_key": "MILLRACE_API_KEY"}).items() if name in os.environ}
+        usual = {field: f"MILLRACE_{field.upper()}" for field in cls.__dataclass_fields__}
+        found = {field: os.environ[name] for field, name in (names or usual).items() if name in os.environ}
         return cls(**found)
 
     def key(self) -> str:

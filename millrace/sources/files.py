@@ -17,9 +17,9 @@ def _path(spark: SparkSession, path: str):
     return found, found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def load_documents(spark: SparkSession, path: str, schema: str = DOCUMENT) -> DataFrame:
-    """Documents of a JSON array, or of one object a line; a missing text is empty, broken files are errors."""
-    docs = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
+def load_documents(spark: SparkSession, path: str, schema: str = DOCUMENT, lines: bool = False) -> DataFrame:
+    """Documents of a JSON array, or with ``lines`` of one object a line, which Spark splits; a missing text is empty, broken files are errors."""
+    docs = spark.read.schema(schema).option("multiLine", not lines).option("mode", "FAILFAST").json(path)
     return docs.withColumn("text", F.coalesce("text", F.lit(""))) if "text" in docs.columns else docs
 
 
@@ -45,15 +45,40 @@ def load_history(spark: SparkSession, path: str) -> tuple[str, DataFrame]:
 
 
 def save(df: DataFrame, path: str, kind: str = "parquet") -> None:
-    """Replace the table at ``path`` by ``df``, which may read it: written beside it first, then swapped."""
+    """Replace the table at ``path`` by ``df``, which may read it.
+
+    The new table is written beside the old one, the old one moved aside, the
+    new one moved in, and the old one deleted last: whenever this is cut off,
+    one of the two is there whole, as ``path`` or beside it.
+    """
     spark = df.sparkSession
-    side = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
+    mark = uuid.uuid4().hex
+    side, aside = (f"{path.rstrip('/')}.{word}-{mark}" for word in ("new", "old"))
     df.write.format(kind).save(side)
-    old, store = _path(spark, path)
-    if store.exists(old):
-        store.delete(old, True)
-    if not store.rename(_path(spark, side)[0], old):
+    where, store = _path(spark, path)
+    old = _path(spark, aside)[0]
+    replaces = store.exists(where)
+    if replaces and not store.rename(where, old):
+        raise OSError(f"{path} could not be moved to {aside}")
+    if not store.rename(_path(spark, side)[0], where):
+        if replaces:
+            store.rename(old, where)
         raise OSError(f"{side} could not be moved to {path}")
+    if replaces:
+        store.delete(old, True)
+
+
+def save_histories(log: DataFrame, path: str) -> None:
+    """Replace the conversations at ``path``, one JSON object of ``conv_id`` and ``messages`` a line."""
+    rows = F.sort_array(F.collect_list(F.struct("turn", "role", "text")))
+    message = F.transform(rows, lambda m: F.struct(m["role"].alias("role"), F.coalesce(m["text"], F.lit("")).alias("content")))
+    save(log.groupBy("conv_id").agg(message.alias("messages")), path, "json")
+
+
+def load_histories(spark: SparkSession, path: str) -> DataFrame:
+    """``conv_id``, ``turn`` (from 0), ``role`` and ``text`` of what ``save_histories`` wrote; broken lines are errors."""
+    rows = spark.read.schema(f"conv_id bigint, messages array<struct<{MESSAGE.replace(' string', ':string')}>>").option("mode", "FAILFAST").json(path)
+    return rows.select("conv_id", F.posexplode("messages").alias("turn", "m")).select("conv_id", F.col("turn").cast("bigint").alias("turn"), F.col("m.role").alias("role"), F.col("m.content").alias("text"))
 
 
 def history_json(log: DataFrame) -> DataFrame:

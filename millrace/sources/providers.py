@@ -20,9 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Time limit of a chat request in seconds, characters shown of an error's body, and what is said of other errors.
+from millrace.sources.config import Settings
+
+# Time limit of a chat request in seconds, and characters shown of an error's body.
 CHAT_TIMEOUT, SHOWN = 30.0, 200
-UNREACHABLE, TIMED_OUT = "Could not connect to the server.", "Request timed out."
 
 PASSAGE, QUERY = "passage", "query"
 
@@ -42,6 +43,7 @@ class Embedding(Protocol):
 
 
 def _post(url: str, key: str, body: dict, timeout: float | None) -> dict:
+    late = f"{url} gave no answer within {timeout} seconds"
     request = urllib.request.Request(url, json.dumps(body).encode(), {"Authorization": f"Bearer {key}", "Content-Type": "application/json"})
     try:
         with urllib.request.urlopen(request, timeout=timeout) as answer:
@@ -49,9 +51,9 @@ def _post(url: str, key: str, body: dict, timeout: float | None) -> dict:
     except urllib.error.HTTPError as e:
         raise ProviderError(f"HTTP error {e.code}: {e.read().decode(errors='replace')[:SHOWN]}") from e
     except TimeoutError as e:
-        raise ProviderError(TIMED_OUT) from e
+        raise ProviderError(late) from e
     except urllib.error.URLError as e:
-        raise ProviderError(TIMED_OUT if isinstance(e.reason, TimeoutError) else UNREACHABLE) from e
+        raise ProviderError(late if isinstance(e.reason, TimeoutError) else f"Could not connect to {url}: {e.reason}") from e
 
 
 @dataclass(frozen=True)
@@ -113,6 +115,28 @@ class HttpEmbedding:
         return [row["embedding"] for row in found["data"]]
 
 
+def embedding_provider(settings: Settings) -> Embedding:
+    """The provider that the settings' mode names."""
+    if settings.mode == "api":
+        return HttpEmbedding(settings.embedding_url, settings.embedding_model, settings.key())
+    return HashEmbedding()
+
+
+def chat_provider(settings: Settings) -> Chat:
+    """The chat that the settings name; without a key there is none."""
+    return HttpChat(settings.chat_url, settings.chat_model, settings.key())
+
+
+def embed_texts(texts: Sequence[str], settings: Settings, input_type: str = PASSAGE) -> list[list[float]]:
+    """Vectors of a few texts by the settings' mode; with ``on_error`` ``fallback`` all are made offline if the provider fails."""
+    try:
+        return embedding_provider(settings).embed(texts, input_type)
+    except ProviderError:
+        if settings.on_error != "fallback":
+            raise
+        return HashEmbedding().embed(texts, input_type)
+
+
 def replies(contexts: DataFrame, provider: Chat) -> DataFrame:
     """``conv_id``, ``turn``, ``reply`` and ``error`` for the rows of ``conversation.contexts``; one of the last two is null."""
     rows = contexts.select("conv_id", "turn", "context")

@@ -15,15 +15,21 @@ from millrace.operators.conversation import QUIT
 CONTEXT = "conv_id bigint, turn bigint, n_messages bigint, roles string, texts string"
 
 
-def live_contexts(messages: DataFrame) -> DataFrame:
+def live_contexts(messages: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """For every user message of a stream of ``conv_id``, ``turn``, ``role`` and ``text``: the context that a request has.
 
     The state of a conversation is its messages so far; roles and texts are
     joined by line feeds.  Messages of one conversation must arrive by turn
-    from batch to batch; within a batch they are sorted.
+    from batch to batch; within a batch they are sorted.  With
+    ``idle_ms`` a conversation without a message for so many milliseconds is
+    over: its state is dropped, and what comes later begins a new one.  Without
+    it state is kept for ever.
     """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         roles, texts = (list(x) for x in state.get) if state.exists else ([], [])
         out = []
         for row in pd.concat(list(frames)).sort_values("turn").itertuples():
@@ -32,10 +38,12 @@ def live_contexts(messages: DataFrame) -> DataFrame:
             if row.role == "user":
                 out.append((key[0], row.turn, len(roles), "\n".join(roles), "\n".join(texts)))
         state.update((roles, texts))
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=["conv_id", "turn", "n_messages", "roles", "texts"])
 
     grouped = messages.select("conv_id", "turn", "role", "text").groupBy("conv_id")
-    return grouped.applyInPandasWithState(run, CONTEXT, "roles array<string>, texts array<string>", "append", GroupStateTimeout.NoTimeout)
+    return grouped.applyInPandasWithState(run, CONTEXT, "roles array<string>, texts array<string>", "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def spoken(messages: DataFrame) -> DataFrame:

@@ -36,11 +36,31 @@ def test_like_brute_force(spark, metric, others_only, k):
     rows = [(i, [float(rng.randint(-2, 2)) for _ in range(3)]) for i in range(150)]  # many ties
     df = spark.createDataFrame(rows, "id bigint, v array<double>").repartition(4)
     queries = df.where("id % 10 = 0")
-    got = {(r.query_id, r["rank"], r.id) for r in nearest(queries, df, k, metric, others_only, block=4).collect()}
+    found = nearest(queries, df, k, metric, others_only, block=4).collect()
+    got = {(r.query_id, r["rank"], r.id) for r in found}
+    expected = plain([r for r in rows if r[0] % 10 == 0], rows, k, metric, others_only)
     if metric == "euclidean":
-        assert got == plain([r for r in rows if r[0] % 10 == 0], rows, k, metric, others_only)
-    else:  # equal similarities may differ in the last bit here: compare the number, and the values
-        assert len(got) == len(plain([r for r in rows if r[0] % 10 == 0], rows, k, metric, others_only))
+        assert got == expected
+    else:  # equal similarities may differ in the last bit here: compare the number, and the values by rank
+        vectors = dict(rows)
+
+        def cosine(i, j):
+            a, b = vectors[i], vectors[j]
+            n = math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(x * x for x in b))
+            return sum(x * y for x, y in zip(a, b, strict=True)) / n if n else 0.0
+
+        assert len(got) == len(expected)
+        best = {(i, rank): cosine(i, j) for i, rank, j in expected}
+        for r in found:
+            assert math.isclose(r.value, best[r.query_id, r["rank"]], abs_tol=1e-12) and math.isclose(r.value, cosine(r.query_id, r.id), abs_tol=1e-12)
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "cosine"])
+def test_repeated_query_rows(spark, metric):
+    rows = [(i, [float(i), 1.0]) for i in range(40)] + [(7, [7.0, 1.0])] * 6
+    df = spark.createDataFrame(rows, "id bigint, v array<double>").repartition(1)
+    found = nearest(df.where("id = 7"), df, 5, metric, others_only=True).collect()
+    assert len(found) == 5 and all(r.query_id == 7 != r.id for r in found)
 
 
 def test_errors(spark):

@@ -132,6 +132,39 @@ def test_http_providers():
         providers.HttpChat(base, "m", "")
 
 
+def test_settings_choose_the_provider():
+    assert isinstance(providers.embedding_provider(Settings()), providers.HashEmbedding)
+    api = Settings(mode="api", api_key="k", embedding_url="http://127.0.0.1:9", embedding_model="m", chat_url="http://127.0.0.1:9", chat_model="c")
+    assert providers.embedding_provider(api) == providers.HttpEmbedding("http://127.0.0.1:9", "m", "k")
+    assert providers.chat_provider(api) == providers.HttpChat("http://127.0.0.1:9", "c", "k")
+    for make in (providers.embedding_provider, providers.chat_provider):
+        with pytest.raises(ValueError, match="key"):
+            make(Settings(mode="api"))
+    with pytest.raises(providers.ProviderError):
+        providers.embed_texts(["a"], api)
+    offline = providers.embed_texts(["a b", ""], Settings())
+    assert providers.embed_texts(["a b", ""], Settings(mode="api", api_key="k", embedding_url="http://127.0.0.1:9", on_error="fallback")) == offline
+    assert len(offline[0]) == 64 and not any(offline[1])
+
+
+def test_a_save_that_is_cut_off_leaves_a_whole_table(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    files.save(spark.range(3), path)
+    with pytest.raises(Exception, match="broken"):
+        files.save(spark.range(5).select(F.raise_error(F.lit("broken"))), path)
+    assert spark.read.parquet(path).count() == 3
+
+
+def test_histories(spark, tmp_path):
+    log = spark.createDataFrame([(1, 4, "user", "b\n\"é"), (1, 0, "system", "a"), (2, 3, "user", None)], "conv_id bigint, turn bigint, role string, text string")
+    files.save_histories(log, str(tmp_path / "h"))
+    rows = files.load_histories(spark, str(tmp_path / "h"))
+    assert sorted(tuple(r) for r in rows.collect()) == [(1, 0, "system", "a"), (1, 1, "user", "b\n\"é"), (2, 0, "user", "")]
+    (tmp_path / "bad").write_text('{"conv_id": 1, "messages": [')
+    with pytest.raises(Exception, match="MALFORMED|Malformed"):
+        files.load_histories(spark, str(tmp_path / "bad")).collect()
+
+
 def test_settings(monkeypatch):
     assert Settings().mode == "offline"
     for wrong in ({"mode": "other"}, {"on_error": "maybe"}):

@@ -1,3 +1,5 @@
+import time
+
 from pyspark.sql import functions as F
 
 from millrace.operators.conversation import contexts
@@ -30,3 +32,26 @@ def test_spoken_and_counts(spark, tmp_path):
     assert drained(live.spoken(stream), "spoken").count() == 6
     counts = drained(live.message_counts(stream, "ts"), "counts").collect()
     assert counts and all(r.n == 1 for r in counts)
+
+
+def test_idle_conversations_are_forgotten(spark, tmp_path):
+    def add(turn):
+        spark.createDataFrame([(1, turn, "user", str(turn))], LOG).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    def seen(turn):  # batches go on for ever while there is state that may end
+        for _ in range(100):
+            found = spark.table("idle").where(F.col("turn") == turn).collect()
+            if found:
+                return found[0].n_messages
+            time.sleep(0.2)
+
+    add(0)
+    stream = spark.readStream.schema(LOG).parquet(str(tmp_path / "in"))
+    query = live.live_contexts(stream, idle_ms=2000).writeStream.outputMode("append").format("memory").queryName("idle").start()
+    try:
+        assert seen(0) == 1
+        time.sleep(6)
+        add(2)
+        assert seen(2) == 1
+    finally:
+        query.stop()
