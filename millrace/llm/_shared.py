@@ -2,67 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.tables import spread
+from millrace.sources.shared import blocks, drop_shared, drop_since, file_system, mark, materialize, shared_dir, written
 
-_CHECKPOINT = "spark.checkpoint.dir"
-_folders: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below the one the cluster names in ``spark.checkpoint.dir``.
-
-    Where the setting is absent a temporary folder is used, but only under a
-    ``local`` master: there the driver and the tasks are one process.
-    """
-    base = spark.conf.get(_CHECKPOINT, None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError(f"set {_CHECKPOINT} to a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="millrace-")
-        spark.conf.set(_CHECKPOINT, base)
-    folder = f"{base.rstrip('/')}/millrace-{uuid.uuid4().hex}"
-    _folders.append((spark, folder))
-    return folder
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back.
-
-    This cuts the lineage: a lost executor costs a re-read of the table, never
-    the work before it, and values such as generated ids stay what they were.
-    """
-    path = shared_dir(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop_shared(spark: SparkSession | None = None) -> None:
-    """Delete the shared tables written so far; results that read them end too."""
-    for owner, folder in list(_folders):
-        if spark is None or owner is spark:
-            jvm = owner.sparkContext._jvm
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(owner.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-            _folders.remove((owner, folder))
-
-
-def _at_exit() -> None:
-    # The gateway may already be gone; the cluster's own cleaning then applies.
-    try:
-        drop_shared()
-    except Exception:
-        _folders.clear()
-
-
-atexit.register(_at_exit)
-
+__all__ = ["blocks", "bounded_batches", "drop_shared", "drop_since", "file_system", "fresh", "mark", "materialize", "numbered", "shared_dir", "text_key", "utf8", "written"]
 
 # Settings of Arrow batches, Spark's defaults for them, and what they become.
 _BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8388608b")}

@@ -39,6 +39,24 @@ def test_one_hot_vector(spark):
     assert got(spark.createDataFrame(rows, SCHEMA).repartition(3), 5) == plain(rows, 5, lambda q: q % 5 == 0)
 
 
+@pytest.mark.parametrize("k", [1, 5, 60])
+def test_repeated_query_rows(spark, k):
+    rng = random.Random(k)
+    rows = [(i, [rng.choice([-1.0, 0.5, 2.0]) for _ in range(3)]) for i in range(43)]
+    rows += [(i, [9.0, 9.0, 9.0]) for i in range(0, 43, 5) for _ in range(6)]  # every query row six times more, above all others
+    df = spark.createDataFrame(rows, SCHEMA).repartition(2)
+    answered = {}
+    for q, rank, i, score in got(df, k):
+        answered.setdefault(q, []).append((rank, score, i))
+    for q, found in answered.items():
+        own = {tuple(math.floor(256 * x) for x in v) for i, v in rows if i == q}
+        others = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if i != q]
+        assert len(found) == min(k, len(others))
+        best = [sorted(((sum(a * b for a, b in zip(v, w, strict=True)), -i) for i, w in others), reverse=True)[:k] for v in own]
+        assert [(s, -i) for _, s, i in sorted(found)] in best  # either of the rows that share the id is the query
+    assert len(answered) == 9
+
+
 def test_large_numbers_are_exact(spark):
     rows = [(0, [3e9, 1.0]), (1, [3e9, 2.0]), (2, [-3e9, 3.0]), (5, [3.1e12, 0.5]), (6, [1e30, 1.0])]
     assert got(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), 5) == plain(rows, 5, lambda q: q % 5 == 0)
