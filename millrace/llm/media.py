@@ -2,8 +2,9 @@
 
 Payloads are stored as PNG images of 8-bit grey samples, 64 to a row, which are
 members of ZIP archives.  The data source ``millrace_media`` plans byte ranges
-over the archives, reads in each range the members that begin there, streams
-them as Arrow batches and retries each member on its own at its offset.
+over the archives by their total size, reads the members that begin in a range
+together, streams them as Arrow batches and retries each member on its own at
+its offset.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader
 
 from millrace.llm._shared import bounded_batches, shared_dir, utf8
-from millrace.llm.zipfiles import Archives, RangeFile, members_in, plan_ranges, read_member
+from millrace.llm.zipfiles import Archives, RangeFile, members_in, plan_ranges
 
 WIDTH = 64
 #: Bytes in an archive, in a range that a task reads, and in an Arrow batch.
@@ -85,7 +86,7 @@ def feature(samples: bytes) -> str:
 
 
 class MediaSource(DataSource):
-    """Options: ``path``, the manifest of archives; ``range_bytes``, the most bytes of a range."""
+    """Options: ``path``, the manifest of archives; ``range_bytes``, the most bytes of a range, as far as ``MOST_PARTITIONS`` allows."""
 
     @classmethod
     def name(cls) -> str:
@@ -107,18 +108,23 @@ class MediaReader(DataSourceReader):
 
     def read(self, partition) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("member", pa.string()), ("offset", pa.int64()), ("media", pa.binary())])
-        if partition is None or not hasattr(partition, "uri"):
+        if not hasattr(partition, "ranges"):
             return  # no archives
-        with RangeFile(partition.uri) as file:
-            rows, size = [], 0
-            for m in members_in(file, partition):
-                rows.append((m.name, m.offset, read_member(file, m)))
-                size += m.size
-                if size >= BATCH:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
-                    rows, size = [], 0
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+        rows, size = [], 0
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+
+        for part in partition.ranges:
+            with RangeFile(part.uri) as file:
+                for m, data in members_in(file, part):
+                    rows.append((m.name, m.offset, data))
+                    size += m.size
+                    if size >= BATCH:
+                        yield batch()
+                        rows, size = [], 0
+        if rows:
+            yield batch()
 
 
 def write_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", archive_bytes: int = ARCHIVE) -> str:
@@ -172,8 +178,9 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Store every text as media and describe what is read back, one row per row of ``docs``.
 
     Null texts count as empty; an empty text has one row of zeros.  Repeated
-    rows and null ids are stored each.  An empty table gives an empty result;
-    other columns are not read.
+    rows and null ids are stored each.  A very long text is one member, held
+    whole by the task that stores or reads it.  An empty table gives an empty
+    result; other columns are not read.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     return read_media(docs.sparkSession, write_media(docs, id_col, text_col), kind, id_col, keep_payload)

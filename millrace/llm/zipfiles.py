@@ -14,9 +14,10 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyarrow import fs
 from pyspark.sql.datasource import InputPartition
 
+from millrace.llm._shared import file_system
+
 # Record signatures and sizes of the ZIP format.
 LOCAL, CENTRAL, END, END64, LOCATOR = 0x04034B50, 0x02014B50, 0x06054B50, 0x06064B50, 0x07064B50
 LOCAL_SIZE, CENTRAL_SIZE, END_SIZE, END64_SIZE, LOCATOR_SIZE = 30, 46, 22, 56, 20
@@ -24,6 +25,10 @@ FULL16, FULL32, EXTRA64, UTF8_NAME, STORED = 0xFFFF, 0xFFFFFFFF, 0x0001, 0x0800,
 
 #: Reads of a member are tried so often, with a new handle each time.
 TRIES = 4
+#: Members that follow each other are read together, up to so many bytes.
+SPAN = 8 << 20
+#: At most so many partitions are planned, whatever the archives' size.
+MOST_PARTITIONS = 20_000
 
 
 @dataclass(frozen=True)
@@ -81,7 +86,7 @@ class RangeFile:
     """Reads byte ranges of a file in any store that ``pyarrow.fs`` reaches."""
 
     def __init__(self, uri: str):
-        self.store, self.path = fs.FileSystem.from_uri(uri)
+        self.store, self.path = file_system(uri)
         self.file = self.store.open_input_file(self.path)
         self.size = self.file.size()
 
@@ -183,7 +188,7 @@ class Archives:
 
     def __init__(self, folder: str, suffix: str, limit: int):
         self.folder, self.suffix, self.limit = folder.rstrip("/"), suffix, limit
-        self.store, self.path = fs.FileSystem.from_uri(self.folder)
+        self.store, self.path = file_system(self.folder)
         self.store.create_dir(self.path, recursive=True)
         self.closed: list[tuple[str, int, int]] = []
         self.writer: ZipWriter | None = None
@@ -204,32 +209,82 @@ class Archives:
 
 
 @dataclass
-class ByteRange(InputPartition):
+class ByteRange:
     """The part of an archive from ``begin`` to before ``end``."""
 
     uri: str
     begin: int
     end: int
 
-    def __init__(self, uri: str, begin: int, end: int):
-        super().__init__((uri, begin, end))
-        self.uri, self.begin, self.end = uri, begin, end
 
+class Ranges(InputPartition):
+    """Ranges that one task reads."""
 
-def plan_ranges(manifest: str, most: int) -> list[ByteRange]:
-    """Ranges of at most ``most`` bytes over the archives that a manifest table lists."""
-    import pyarrow.parquet as pq
+    def __init__(self, ranges: list[ByteRange]):
+        super().__init__(tuple((r.uri, r.begin, r.end) for r in ranges))
+        self.ranges = ranges
 
-    store, path = fs.FileSystem.from_uri(manifest)
-    found = [f.path for f in store.get_file_info(fs.FileSelector(path)) if f.path.endswith(".parquet")]
-    return [
-        ByteRange(row["uri"], at, min(row["bytes"], at + most))
-        for f in sorted(found)
-        for row in pq.read_table(f, filesystem=store, columns=["uri", "bytes"]).to_pylist()
-        for at in range(0, row["bytes"], most)
-    ]
 
+def plan_ranges(manifest: str, most: int, most_partitions: int = MOST_PARTITIONS) -> list[Ranges]:
+    """Ranges of at most ``most`` bytes over the archives that a manifest table lists, one for each task.
 
-def members_in(file, part: ByteRange) -> Iterator[Member]:
-    """The members whose headers begin in a range, in order."""
-    yield from sorted((m for m in directory(file) if part.begin <= m.offset < part.end), key=lambda m: m.offset)
+    Where that would be more than ``most_partitions`` tasks, the ranges grow with
+    the archives' total size: archives are then cut into fewer, and a task gets several small ones.
+    """
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    store, path = file_system(manifest)
+    found = sorted(f.path for f in store.get_file_info(fs.FileSelector(path)) if f.path.endswith(".parquet"))
+    listed = [x for f in found for x in zip(*(pq.read_table(f, filesystem=store, columns=["uri", "bytes"]).column(c).to_pylist() for c in ("uri", "bytes")), strict=True)]
+    share = max(most, -(-sum(n for _, n in listed) // most_partitions))
+    pieces = [ByteRange(uri, at, min(n, at + share)) for uri, n in listed for at in range(0, n, share)]
+    if len(pieces) <= most_partitions:
+        return [Ranges([p]) for p in pieces]
+    out, held, size = [], [], 0
+    for p in pieces:
+        held.append(p)
+        size += p.end - p.begin
+        if size >= share:
+            out.append(Ranges(held))
+            held, size = [], 0
+    return [*out, Ranges(held)] if held else out
+
+
+def spans(places: list[tuple[int, int]], most: int = SPAN) -> Iterator[tuple[int, int]]:
+    """First and last place, by number, of runs of (offset, length) that fit one read; a longer one is a run of its own."""
+    begin = 0
+    for i in range(1, len(places) + 1):
+        if i == len(places) or places[i][0] + places[i][1] - places[begin][0] > most:
+            yield begin, i
+            begin = i
+
+
+def members_in(file, part: ByteRange) -> Iterator[tuple[Member, bytes]]:
+    """The members whose headers begin in a range, in order, with their bytes.
+
+    Neighbours are cut out of one read; a member that does not come out right is
+    read again on its own, at its offset.
+    """
+    inside = sorted((m for m in directory(file) if part.begin <= m.offset < part.end), key=lambda m: m.offset)
+    # A header is as long as its name and extra field, which only the header tells; the next member's begin bounds it.
+    places = [(m.offset, LOCAL_SIZE + len(m.name.encode()) + 64 + m.size) for m in inside]
+    for i, j in spans(places):
+        at = places[i][0]
+        try:
+            whole = file.read(at, min(file.size, places[j - 1][0] + places[j - 1][1]) - at)
+        except (OSError, EOFError):
+            whole = b""
+        for m in inside[i:j]:
+            data = _cut(whole, m, m.offset - at)
+            yield m, read_member(file, m) if data is None else data
+
+
+def _cut(whole: bytes, member: Member, at: int) -> bytes | None:
+    """A stored member's bytes out of a read that has its header at ``at``, or None if they aren't right."""
+    if member.method != STORED or at + LOCAL_SIZE > len(whole) or struct.unpack_from("<I", whole, at)[0] != LOCAL:
+        return None
+    n_name, n_extra = struct.unpack_from("<HH", whole, at + 26)
+    begin = at + LOCAL_SIZE + n_name + n_extra
+    data = whole[begin : begin + member.size]
+    return data if len(data) == member.size and zlib.crc32(data) == member.crc else None
