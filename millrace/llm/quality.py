@@ -19,10 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from millrace.llm._shared import bounded_batches, fresh, text_key, utf8
+from millrace.llm._shared import bounded_batches, fresh, materialize, text_key, utf8
 
-#: At most so many labelled documents are learnt from, those with the least hash of their id, then by label and text.
-SAMPLE_ROWS = 2000
+#: At most so many labelled documents are learnt from, those with the least hash of their id, then by label and text,
+SAMPLE_ROWS = 3000
+#: and of these, in the same order, as many as have features of so many bytes in all; one that is too large is passed over.
+SAMPLE_BYTES = 64 << 20
 BUCKET_BITS = 17
 DIMENSIONS = 8
 EPOCHS = 6
@@ -62,7 +64,11 @@ def _buckets(hashes: np.ndarray, kind: int) -> np.ndarray:
 
 
 def features(text: bytes) -> Iterator[np.ndarray]:
-    """Buckets of all features of a text, part by part: words, word pairs, pairs of equal words, character n-grams."""
+    """Buckets of all features of a text, part by part: words, word pairs, pairs of equal words, character n-grams.
+
+    Pairs of equal words share one bucket, whatever the word: a word that a
+    sample never had twice in a row is known as such a pair all the same.
+    """
     power, back = _powers()
     for part in _chunks(text):
         a = np.frombuffer(part, np.uint8)
@@ -137,14 +143,16 @@ def train(examples: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = EPOC
     return QualityModel((vectors @ (layer[1] - layer[0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> QualityModel:
-    """Learn from at most ``sample_rows`` labelled documents.
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> QualityModel:
+    """Learn from at most ``sample_rows`` labelled documents, whose features take at most ``sample_bytes``.
 
     Only id and label of ``labels`` and id and text of ``docs`` are read; the id
     only joins the two.  Null ids and labels other than 0 and 1 are left out,
     null texts count as empty, and a document that is labelled or listed more
-    than once counts each time.  The features are made on the executors; the
-    driver gets at most ``sample_rows`` sparse rows.
+    than once counts each time.  The features are made on the executors, a very
+    long text's have at most one entry a bucket; the driver gets the sizes, then
+    the features that fit.  The same rows give the same model, however they are
+    partitioned.  Empty tables give a model that scores one half.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
     keys = docs.select(F.col(id_col).alias("id"), *text_key(F.col(text_col))).join(known, "id")
@@ -161,8 +169,17 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
 
     kind = rows.schema["id"].dataType.simpleString()
     made = rows.mapInArrow(run, f"id {kind}, label int, t1 bigint, t2 bigint, times bigint, buckets binary, shares binary")
-    got = made.dropDuplicates(["id", "label", "t1", "t2"]).select("id", "label", "times", "buckets", "shares").collect()
-    got.sort(key=lambda r: (r.id, r.label, r.buckets))
+    made = materialize(made.dropDuplicates(["id", "label", "t1", "t2"]).withColumn("place", F.xxhash64("id")))
+    order, used, chosen = ["place", "id", "label", "t1", "t2"], 0, []
+    for r in made.select(*order, (2 * F.octet_length("buckets")).alias("bytes")).orderBy(*order).collect():  # at most ``sample_rows``
+        if used + r.bytes <= sample_bytes:
+            used += r.bytes
+            chosen.append((r.id, r.label, r.t1, r.t2))
+    if not chosen:
+        return train([])
+    wanted = made.sparkSession.createDataFrame(chosen, f"id {kind}, label int, t1 bigint, t2 bigint")
+    got = made.join(F.broadcast(wanted), ["id", "label", "t1", "t2"]).select(*order, "times", "buckets", "shares").collect()
+    got.sort(key=lambda r: (r.place, r.id, r.label, r.t1, r.t2))
     return train([(r.label, np.frombuffer(r.buckets, np.int32), np.frombuffer(r.shares, np.float32)) for r in got for _ in range(r.times)])
 
 
@@ -170,7 +187,9 @@ def score(docs: DataFrame, model: QualityModel, text_col: str = "text", name: st
     """``docs`` with one more column, the probability of label 1; it takes the place of a column of that name.
 
     Null texts count as empty, an empty one gets the share of label 1 among the
-    examples.  Rows are scored one by one: equal texts get equal scores.
+    examples.  Rows are scored one by one: equal texts get equal scores, repeated
+    rows and null ids stay, very long texts are read whole, part by part.  An
+    empty table gives an empty result.
     """
     docs = docs.drop(name)
     body = fresh(docs, "body")

@@ -100,3 +100,81 @@ def test_sample_is_drawn_from_joined_rows(spark):
     assert (whole.odds == more.odds).all() and whole.bias == more.bias
     first = quality.fit(docs.repartition(1), labels, sample_rows=6)
     assert all((first.odds == quality.fit(docs.repartition(n), labels, sample_rows=6).odds).all() for n in (3, 5))
+
+
+def plain_features(text):
+    """Buckets with how often each is met, one string after the other."""
+    mask, count = (1 << 64) - 1, {}
+
+    def add(value, kind):
+        x = (value + (kind * 0x632BE59BD9B4E019 & mask)) * 0xD6E8FEB86659FD93 & mask
+        x = (x ^ x >> 32) * 0xD6E8FEB86659FD93 & mask
+        key = x >> 64 - quality.BUCKET_BITS
+        count[key] = count.get(key, 0) + 1
+
+    def value(b):
+        return sum((c + 1) * pow(quality._MUL, j, 1 << 64) for j, c in enumerate(b)) & mask
+
+    words = [value(w) for w in text.split()]
+    for w in words:
+        add(w, 1)
+    for a, b in zip(words, words[1:], strict=False):
+        add((b * 31 + a) & mask, 2)
+        if a == b:
+            add(0, 3)
+    for k in quality.NGRAMS:
+        for i in range(len(text) - k + 1):
+            add(value(text[i : i + k]), 3 + k)
+    return count
+
+
+def plain_train(examples, epochs, rate, seed):
+    """The same descent with full vectors of shares, entry by entry."""
+    rng = np.random.default_rng(seed)
+    size = 1 << quality.BUCKET_BITS
+    vectors, layer = rng.uniform(-0.5, 0.5, (size, quality.DIMENSIONS)), np.zeros((2, quality.DIMENSIONS))
+    bias = [np.log(1 + sum(label == c for label, _ in examples)) for c in (0, 1)]
+    done = 0
+    for _ in range(epochs):
+        for i in rng.permutation(len(examples)):
+            label, shares = examples[i]
+            lr = rate * (1 - done / (epochs * len(examples)))
+            done += 1
+            mean = sum(s * vectors[b] for b, s in shares.items())
+            logits = [float(layer[c] @ mean) + bias[c] for c in (0, 1)]
+            p = [np.exp(x - max(logits)) for x in logits]
+            wrong = [p[c] / sum(p) - (c == label) for c in (0, 1)]
+            pull = wrong[0] * layer[0] + wrong[1] * layer[1]
+            for c in (0, 1):
+                layer[c] = layer[c] - lr * wrong[c] * mean
+            squares = sum(s * s for s in shares.values())
+            for b, s in shares.items():
+                vectors[b] = vectors[b] - lr / 4 * s / squares * pull
+    return vectors, layer, bias
+
+
+def test_scores_like_a_plain_version(spark):
+    texts = ["a good text it is", "bad bad bad", "one more good text", "bad bad text bad bad", "so good", "\u00e9t\u00e9 bon"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    labels = spark.createDataFrame([(i, int("bad" not in t)) for i, t in enumerate(texts)], "doc_id bigint, quality int")
+    order = [r.doc_id for r in docs.orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    made = {i: plain_features(t.encode()) for i, t in enumerate(texts)}
+    shares = {i: {b: n / sum(c.values()) for b, n in c.items()} for i, c in made.items()}
+    vectors, layer, bias = plain_train([(int("bad" not in texts[i]), shares[i]) for i in order], quality.EPOCHS, quality.RATE, 7)
+    for r in quality.score(docs, quality.fit(docs, labels)).collect():
+        mean = sum(s * vectors[b] for b, s in shares[r.doc_id].items())
+        plain = 1 / (1 + np.exp(-(float((layer[1] - layer[0]) @ mean) + bias[1] - bias[0])))
+        assert abs(plain - r.score) < 1e-5
+
+
+def test_bytes_to_the_driver_are_bounded(spark, monkeypatch):
+    texts = ["long " + " ".join(f"w{j}" for j in range(500 if i == 2 else 5)) for i in range(12)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    taken = []
+    monkeypatch.setattr(quality, "train", lambda examples: taken.append(examples))
+    sizes = {i: 8 * len(quality.feature_counts(t.encode())[0]) for i, t in enumerate(texts)}
+    quality.fit(docs, labels, sample_bytes=sizes[0] * 4)
+    assert len(taken[0]) >= 3 and sum(8 * len(b) for _, b, _ in taken[0]) <= sizes[0] * 4 < sizes[2]
+    quality.fit(docs, labels)
+    assert len(taken[1]) == 12
