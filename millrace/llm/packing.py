@@ -4,18 +4,23 @@ Texts are tokenised in one pass and cut into pieces.  Only the number of pieces
 of each length reaches the driver, at most one number for each length up to the
 capacity, and the packing is planned on these counts: best-fit-decreasing gives
 the incumbent, and where it needs more sequences than the lower bound, a branch
-and bound search completes bins around the longest piece left with undominated
-fillings, pruned by the waste that a better solution could still afford.  The
-plan is a list of patterns with repeat counts, so it stays small for any number
-of pieces; pieces are numbered within their lengths and look up their place.
+and bound search completes bins around the longest piece left.  At every node the
+undominated fillings are enumerated one by one, those of least waste first, and
+pruned by the waste that a better solution could still afford; a filling is first
+repeated while its pieces last, then less often.  So the search is complete, but
+for one exit: after ``WORK`` steps it settles for the best plan so far.  A plan is
+a list of patterns with repeat counts, so it stays small for any number of
+pieces; pieces are numbered within their lengths and look up their place.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator, Mapping
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +29,12 @@ from pyspark.sql import functions as F
 
 from millrace.llm._shared import bounded_batches, materialize, numbered
 
-#: The search turns back at most so often, and tries so many fillings at a node, before it settles for its incumbent.
-TURNS, FILLINGS = 300, 24
-#: With up to so many pieces left all undominated fillings are enumerated, up to a cap; above, those of least waste.
-FEW = 40
-#: Up to so many bins are branched on one by one; above, a filling is repeated while its pieces last.
-SINGLE_BINS = 300
+#: Steps of the search, its one exit: places looked at, with more for a filling and for a node.  About ten seconds.
+WORK, FILLING_STEPS, NODE_STEPS = 40_000_000, 20, 400
+#: So many dominated fillings in a row end a window.
+SILENT = 64
+#: So many fillings are put in order by how often they can be repeated, before the next ones are made.
+WINDOW = 24
 #: Characters that both tokenizer libraries class alike; texts with others go to the slower one.
 _PLAIN = re.compile("[^\\t\\n\\r\\x20-\\x7e\\u00a1-\\u024f\\u2010-\\u2027\\u20ac]")
 _SPECIAL = "<|endoftext|>"
@@ -146,150 +151,157 @@ def best_fit(counts: Mapping[int, int], capacity: int) -> list[tuple[Pattern, in
     return [x for room in rooms for x in open_bins[room]]
 
 
+def _dense(counts: Mapping[int, int], capacity: int) -> np.ndarray:
+    out = np.zeros(capacity + 1, np.int64)
+    out[list(counts)] = list(counts.values())
+    return out
+
+
 def lower_bound(counts: Mapping[int, int], capacity: int) -> int:
     """No packing has fewer bins: by total length, and by pieces that cannot share (Martello and Toth)."""
-    n = np.zeros(capacity + 2, np.int64)
-    for k, c in counts.items():
-        n[k] = c
-    number, length = np.concatenate(([0], np.cumsum(n))), np.concatenate(([0], np.cumsum(n * np.arange(capacity + 2))))
-    best, half = -(-int(length[-1]) // capacity), capacity // 2
-    for small in {0, *(k for k in counts if k <= half)}:
-        big = int(number[capacity + 1] - number[capacity - small + 1])
-        halves = int(number[capacity - small + 1] - number[half + 1])
-        spare = halves * capacity - int(length[capacity - small + 1] - length[half + 1])
-        rest = int(length[half + 1] - length[small])
-        best = max(best, big + halves + max(0, -(-(rest - spare) // capacity)))
-    return best
+    return _bound(_dense(counts, capacity))
+
+
+def _bound(counts: np.ndarray) -> int:
+    capacity, half = len(counts) - 1, (len(counts) - 1) // 2
+    number, length = np.concatenate(([0], np.cumsum(counts))), np.concatenate(([0], np.cumsum(counts * np.arange(capacity + 1))))
+    small = np.arange(half + 1)
+    top = np.minimum(capacity - small + 1, capacity + 1)
+    big = number[capacity + 1] - number[top]
+    halves = number[top] - number[half + 1]
+    spare = halves * capacity - (length[top] - length[half + 1])
+    rest = length[half + 1] - length[small]
+    more = np.maximum(0, -(-(rest - spare) // capacity))
+    return int(max(-(-int(length[-1]) // capacity), (big + halves + more).max()))
+
+
+class _Budget:
+    """Steps that are left."""
+
+    def __init__(self, steps: int):
+        self.steps = steps
+
+
+def _smeared(bits: int, width: int) -> int:
+    """The numbers in ``bits`` plus 0 to ``width`` - 1."""
+    out, have = bits, 1
+    while have < width:
+        step = min(have, width - have)
+        out |= out << step
+        have += step
+    return out
 
 
-def fillings(counts: np.ndarray, room: int, most: int = FILLINGS) -> list[Pattern]:
-    """Undominated ways to fill ``room`` from ``counts[length]`` pieces, least waste first, longer pieces first.
+def _dominated(pattern: Pattern, waste: int, counts: np.ndarray, left_out: int) -> bool:
+    """Whether a piece that the filling leaves out could take the place of some of its pieces, no longer together, or of its waste.
+
+    Sets of lengths are the bits of a number.  ``left_out`` has the lengths of all pieces at hand.
+    """
+    one, many = 0, 0  # sums of one piece, of two or more
+    for k, n in pattern:
+        if counts[k] == n:
+            left_out &= ~(1 << k)
+        for _ in range(n):
+            many |= many << k | one << k
+            one |= 1 << k
+    if waste:
+        many |= _smeared((1 | one | many) << 1, waste)
+    return bool(left_out & many)
+
+
+def fillings(counts: np.ndarray, room: int, most_waste: int | None = None, budget: _Budget | None = None) -> Iterator[Pattern]:
+    """The patterns of ``_fillings``."""
+    return (p for p in _fillings(counts, room, most_waste, budget or _Budget(1 << 62)) if p is not None)
+
+
+def _fillings(counts: np.ndarray, room: int, most_waste: int | None, budget: _Budget) -> Iterator[Pattern | None]:
+    """All undominated ways to fill ``room`` from ``counts[length]`` pieces, one by one: least waste first, then longer pieces first.
 
     A filling is dominated if a piece that it leaves out could take the place
     of some of its pieces, together no longer than that one, without overflow.
-    So one piece that fills the room dominates all else.  If few pieces are
-    left, all undominated fillings are enumerated, up to a cap.  Else fillings
-    without waste by two and three pieces are looked up, and where there are
-    none, those of least waste are read off the reachable sums.
+    Sums that pieces can't make are known beforehand, so every branch that is
+    gone into ends in a filling.  A None among them stands for ``SILENT``
+    dominated ones.  It ends early with the budget's steps.
     """
-    if room == 0:
-        return [()]
-    if counts[room]:
-        return [((room, 1),)]
-    lengths = np.flatnonzero(counts[: room + 1])[::-1]
-    if not len(lengths):
-        return [()]
-
-    if counts.sum() <= FEW:
-        return _enumerated(counts, [int(k) for k in lengths], room, most)
-
-    def pairs(space: int, top: int) -> np.ndarray:
-        """Longer pieces, up to ``top``, of two that fill ``space``."""
-        a = lengths[(lengths <= top) & (2 * lengths >= space) & (lengths < space)]
-        return a[(counts[space - a] > 0) & ((2 * a != space) | (counts[a] > 1))]
-
-    def pattern(*parts: int) -> Pattern:
-        return tuple((k, parts.count(k)) for k in sorted(set(parts), reverse=True))
-
-    found = [pattern(int(a), room - int(a)) for a in pairs(room, room)[:most]]
-    for x in lengths if len(found) < most else ():
-        a = pairs(room - int(x), int(x)) if 3 * x >= room else ()
-        for y in a[: most - len(found)]:
-            made = pattern(int(x), int(y), room - int(x) - int(y))
-            if all(counts[k] >= m for k, m in made):
-                found.append(made)
-        if len(found) >= most or 3 * x < room:
-            break
-    if found:
-        return found
-    return _fullest(counts, [int(k) for k in lengths], room, most)
-
-
-def _fullest(counts: np.ndarray, lengths: list[int], room: int, most: int) -> list[Pattern]:
-    """Fillings of least waste by reachable sums, each the one with the longest pieces below another first piece."""
-    reach, before = 1, {}
+    silent = 0
+    lengths = [int(k) for k in np.flatnonzero(counts[: room + 1])[::-1]]
     mask = (1 << room + 1) - 1
+    reach = [1]  # sums of the shorter pieces, from the shortest on
     for k in reversed(lengths):
-        before[k] = reach
-        for _ in range(min(int(counts[k]), room // k)):
-            longer = reach | reach << k & mask
-            if longer == reach:
-                break
-            reach = longer
-    target, found = reach.bit_length() - 1, []
-    for i, first in enumerate(lengths):
-        left, parts = target, []
-        for k in lengths[i:]:
-            n = min(int(counts[k]), left // k)
-            while n and not before[k] >> left - n * k & 1:
-                n -= 1
-            if n:
-                parts.append((k, n))
-                left -= n * k
-            elif k == first:
-                break
-        if parts and left == 0:
-            found.append(tuple(parts))
-            if len(found) == most:
-                break
-    return found
-
-
-def _enumerated(counts: np.ndarray, lengths: list[int], room: int, most: int) -> list[Pattern]:
-    found: list[tuple[int, Pattern]] = []
-    steps = 0
-
-    def dominated(pattern: list[tuple[int, int]], waste: int) -> bool:
-        used, sums = dict(pattern), {0: 0}  # sum of some of its pieces: the fewest that make it
-        for k, n in pattern:
-            sums = {s + k * i: min(c + i, sums.get(s + k * i, 99)) for s, c in sums.items() for i in range(n + 1)}
-        some = sorted(sums.items())
-        for k in lengths:
-            if counts[k] > used.get(k, 0):
-                for s, c in some[bisect_left(some, (k - waste, 0)) :]:
-                    if s > k:
-                        break
-                    if s and (s < k or c > 1):
-                        return True
-        return False
-
-    def walk(i: int, left: int, pattern: list[tuple[int, int]]) -> bool:
-        """False once enough have been seen."""
-        nonlocal steps
-        steps += 1
-        if steps > 50 * most or len(found) >= 4 * most:
-            return False
-        while i < len(lengths) and lengths[i] > left:
+        sums, n, step = reach[-1], min(int(counts[k]), room // k), 1
+        while n:
+            step = min(step, n)
+            sums |= sums << step * k & mask
+            n -= step
+            step *= 2
+        reach.append(sums)
+    reach.reverse()
+    left_out = sum(1 << k for k in lengths)
+
+    def walk(i: int, left: int) -> Iterator[Pattern]:
+        """Fillings of exactly ``left`` by ``lengths[i:]``."""
+        if not left:
+            yield ()
+            return
+        while i < len(lengths) and reach[i] >> left & 1 and budget.steps > 0:
+            k = lengths[i]
+            budget.steps -= 1
+            if k <= left:
+                for n in range(min(int(counts[k]), left // k), 0, -1):
+                    if reach[i + 1] >> left - n * k & 1:
+                        for rest in walk(i + 1, left - n * k):
+                            yield ((k, n), *rest)
             i += 1
-        if i == len(lengths):
-            # Whatever was passed over must not fit any more.
-            used = dict(pattern)
-            if all(k > left or used.get(k, 0) == counts[k] for k in lengths) and not dominated(pattern, left):
-                found.append((left, tuple(pattern)))
-            return True
-        k = lengths[i]
-        for n in range(min(int(counts[k]), left // k), -1, -1):
-            if not walk(i + 1, left - n * k, [*pattern, (k, n)] if n else pattern):
-                return False
-        return True
-
-    walk(0, room, [])
-    if not found:
-        greedy = []
-        for k in lengths:
-            if n := min(int(counts[k]), room // k):
-                greedy.append((k, n))
-                room -= n * k
-        found.append((room, tuple(greedy)))
-    found.sort(key=lambda x: x[0])
-    return [p for _, p in found[:most]]
-
-
-def complete_bins(counts: Mapping[int, int], capacity: int, turns: int = TURNS) -> list[tuple[Pattern, int]]:
-    """Patterns and repeat counts that hold every piece in as few bins as the search finds.
+
+    least = 0 if most_waste is None else max(0, room - most_waste)
+    for total in range(room, least - 1, -1):
+        if reach[0] >> total & 1:
+            for pattern in walk(0, total):
+                budget.steps -= FILLING_STEPS
+                if budget.steps <= 0:
+                    return
+                if _dominated(pattern, room - total, counts, left_out):
+                    silent += 1
+                    if silent % SILENT == 0:
+                        yield None
+                else:
+                    yield pattern
+
+
+def _completions(counts: np.ndarray, most_waste: int, budget: _Budget) -> Iterator[tuple[Pattern, int]]:
+    """Bins around the longest piece left, with the number of times: each filling as often as its pieces last, then each less often."""
+    top = int(np.flatnonzero(counts)[-1])
+    rest = counts.copy()
+    rest[top] -= 1
+
+    def full() -> Iterator[tuple[Pattern, int]]:
+        made = _fillings(rest, len(counts) - 1 - top, most_waste, budget)
+        while window := list(islice(made, 1)):
+            # A window ends early where nothing but dominated ones comes.
+            while window[-1] is not None and len(window) < WINDOW and (more := next(made, None)) is not None:
+                window.append(more)
+            ready = []
+            for filling in window:
+                if filling is None:
+                    continue
+                parts = dict(filling)
+                parts[top] = parts.get(top, 0) + 1
+                ready.append((tuple(sorted(parts.items(), reverse=True)), min(int(counts[k]) // m for k, m in parts.items())))
+            # Frequent lengths are used up along the way; the sort keeps the order of equals.
+            ready.sort(key=lambda x: (sum(k * m for k, m in x[0]), x[1]), reverse=True)
+            yield from ready
+
+    yield from full()
+    for pattern, most in full():
+        for n in range(most - 1, 0, -1):
+            yield pattern, n
+
+
+def complete_bins(counts: Mapping[int, int], capacity: int, work: int = WORK) -> list[tuple[Pattern, int]]:
+    """Patterns and repeat counts that hold every piece in as few bins as the search finds, never more than best-fit.
 
     The result has the fewest possible bins if it reaches the lower bound or the
-    search ends before ``turns`` and its caps on fillings cut nothing off.
+    search ends before ``work`` steps.
     """
     counts = {k: n for k, n in counts.items() if n}
     if any(not 0 < k <= capacity for k in counts):
@@ -298,49 +310,41 @@ def complete_bins(counts: Mapping[int, int], capacity: int, turns: int = TURNS)
         return []
     best = best_fit(counts, capacity)
     fewest, bound = sum(n for _, n in best), lower_bound(counts, capacity)
-    total, single = sum(k * n for k, n in counts.items()), fewest <= SINGLE_BINS
-    whole = np.zeros(capacity + 1, np.int64)
-    whole[list(counts)] = list(counts.values())
-    seen: set[tuple[int, bytes]] = set()
-    # Depth first with a stack of its own: counts before the pattern, pattern, its repeats, bins so far, their number, their waste.
-    stack: list[tuple] = [(whole, (), 0, None, 0, 0)]
-    deep = -1
-    while stack and fewest > bound and turns > 0:
-        left, pattern, n, made, used, waste = stack.pop()
-        turns -= used <= deep
-        deep = used
-        if waste > (fewest - 1) * capacity - total:
+    total, budget = sum(k * n for k, n in counts.items()), _Budget(work)
+    seen: set[bytes] = set()
+
+    def slack(waste: int) -> int:
+        """The waste that a better plan could still afford."""
+        return (fewest - 1) * capacity - total - waste
+
+    whole = _dense(counts, capacity)
+    # Depth first: counts left, bins used, their waste, what they are, and the completions still to try.
+    stack: list[tuple] = [(whole, 0, 0, None, _completions(whole, slack(0), budget))]
+    while stack and fewest > bound and budget.steps > 0:
+        left, used, waste, made, options = stack[-1]
+        option = next(options, None)
+        if option is None:
+            stack.pop()
             continue
-        if pattern:
-            left = left.copy()
-            for k, m in pattern:
-                left[k] -= n * m
-        held = np.flatnonzero(left)
-        if not len(held):
+        pattern, n = option
+        waste += n * (capacity - sum(k * m for k, m in pattern))
+        if slack(waste) < 0:
+            continue
+        used, made, left = used + n, (option, made), left.copy()
+        for k, m in pattern:
+            left[k] -= n * m
+        if not left.any():
             best, fewest = [], used
             while made:
                 best.append(made[0])
                 made = made[1]
             continue
-        if len(held) <= 64:
-            state = (used, left.tobytes())
-            if state in seen or used + lower_bound({int(k): int(left[k]) for k in held}, capacity) >= fewest:
-                continue
-            seen.add(state)
-        top = int(held[-1])
-        left[top] -= 1
-        options = fillings(left, capacity - top)
-        if not single:
-            # Of equal waste first the filling that can be repeated most: frequent lengths are used up along the way.
-            options.sort(key=lambda p: (sum(k * m for k, m in p), min((int(left[k]) // m for k, m in p), default=0)), reverse=True)
-        left[top] += 1
-        for filling in reversed(options):
-            parts = dict(filling)
-            parts[top] = parts.get(top, 0) + 1
-            full = tuple(sorted(parts.items(), reverse=True))
-            n = 1 if single else min(int(left[k]) // m for k, m in full)
-            gap = capacity - sum(k * m for k, m in full)
-            stack.append((left, full, n, ((full, n), made), used + n, waste + n * gap))
+        budget.steps -= NODE_STEPS
+        state = hashlib.blake2b(left.tobytes() + used.to_bytes(8, "little"), digest_size=16).digest()
+        if state in seen or used + _bound(left) >= fewest:
+            continue
+        seen.add(state)
+        stack.append((left, used, waste, made, _completions(left, slack(waste), budget)))
     return best
 
 

@@ -4,6 +4,8 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from millrace.llm import packing
@@ -59,6 +61,52 @@ def test_search_beats_best_fit():
     assert better > 0
 
 
+def plain_fillings(items, room):
+    """Undominated sub-multisets by the definition: no piece left out may take the place of some of the pieces, or of the waste."""
+    out = set()
+    for bits in range(1 << len(items)):
+        inside = [x for i, x in enumerate(items) if bits >> i & 1]
+        waste = room - sum(inside)
+        if waste < 0:
+            continue
+        outside = [x for i, x in enumerate(items) if not bits >> i & 1]
+        worse = False
+        for part in range(1 << len(inside)):
+            some = [x for i, x in enumerate(inside) if part >> i & 1]
+            worse |= any(sum(some) <= k <= sum(some) + waste and some != [k] for k in outside)
+        if not worse:
+            out.add(tuple(sorted(Counter(inside).items(), reverse=True)))
+    return out
+
+
+def test_fillings_are_the_undominated_ones():
+    for seed in range(200):
+        rng = random.Random(seed)
+        items = [rng.randint(1, 12) for _ in range(rng.randint(0, 7))]
+        room = rng.randint(0, 20)
+        found = list(packing.fillings(packing._dense(Counter(items), 20), room))
+        assert len(found) == len(set(found))
+        wastes = [room - sum(k * m for k, m in p) for p in found]
+        assert wastes == sorted(wastes)
+        assert set(found) == plain_fillings(items, room), (items, room)
+
+
+def test_enumeration_runs_at_any_size(monkeypatch):
+    calls = []
+    inner = packing._fillings
+    monkeypatch.setattr(packing, "_fillings", lambda counts, room, *rest: calls.append(int(counts.sum())) or inner(counts, room, *rest))
+    rng = random.Random(1)
+    counts = Counter(rng.randint(400, 1100) for _ in range(400))
+    plan = packing.complete_bins(counts, 2048, work=2_000_000)
+    check_plan(plan, counts, 2048)
+    assert max(calls) == 399 and len(calls) > 100
+    assert sum(n for _, n in plan) <= sum(n for _, n in packing.best_fit(counts, 2048))
+    counts = Counter(rng.randint(200, 700) for _ in range(5000))
+    plan = packing.complete_bins(counts, 2048, work=10_000_000)
+    check_plan(plan, counts, 2048)
+    assert sum(n for _, n in plan) <= packing.lower_bound(counts, 2048) + 6 < sum(n for _, n in packing.best_fit(counts, 2048))
+
+
 def test_best_fit_on_counts_is_best_fit():
     for seed in range(80):
         rng = random.Random(seed)
@@ -106,6 +154,19 @@ def test_both_tokenizers_agree(spark, sf_dir):
         assert encode(t).tolist() == e.ids, t
 
 
+_PARTS = st.one_of(
+    st.text(st.characters(codec="utf-8", max_codepoint=0x24F, exclude_categories=["Cc", "Cs"]), max_size=12),
+    st.sampled_from([" ", "  ", "\n", "\n\n", "\t", "\r\n", "   \n ", "'s", "'LL", "n't", "1234567", "3.14", "--", "...", "€", "—", "“a”", "ß", "ﬁ", "漢字", "\u00a0", "\u2009", "<|endoftext|>", "e\u0301"]),
+)
+
+
+@settings(max_examples=1500, deadline=None, derandomize=True)
+@given(st.lists(_PARTS, max_size=25).map("".join))
+def test_both_tokenizers_agree_on_generated_texts(text):
+    paths = packing.tokenizer_paths()
+    assert packing.encoder(*paths)(text).tolist() == packing.encoder(paths[0], None)(text).tolist()
+
+
 def check_rows(rows, texts, capacity):
     slow = Tokenizer.from_file(packing.tokenizer_paths()[0])
     expected = Counter()
