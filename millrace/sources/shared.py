@@ -51,7 +51,10 @@ def materialize(df: DataFrame) -> DataFrame:
     This cuts the lineage: a lost executor costs a re-read of the table, never
     the work before it, and values such as generated ids stay what they were.
     """
-    return df.sparkSession.read.schema(df.schema).parquet(written(df))
+    path = written(df)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
 
 
 def mark() -> int:
@@ -59,11 +62,11 @@ def mark() -> int:
     return len(_folders)
 
 
-def drop_since(point: int, keep: DataFrame | None = None) -> None:
-    """Delete the shared tables written since ``point``, apart from the one that ``keep`` is; nothing may still read them."""
-    kept = [f.rsplit("/", 1)[0] for f in keep.inputFiles()] if keep is not None else []
+def drop_since(point: int, *keep: DataFrame) -> None:
+    """Delete the shared tables written since ``point``, apart from those that ``materialize`` returned as ``keep``; nothing may still read them."""
+    kept = {df.stored_at for df in keep}
     for entry in _folders[point:]:
-        if not any(k.rstrip("/").endswith(entry[1].rsplit("/", 1)[1]) for k in kept):
+        if entry[1] not in kept:
             _drop(entry)
 
 

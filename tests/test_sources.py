@@ -8,7 +8,7 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from millrace.sources import cache, files, providers
+from millrace.sources import cache, files, providers, shared
 from millrace.sources.config import Settings
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers cannot import tests
@@ -155,6 +155,18 @@ def test_a_save_that_is_cut_off_leaves_a_whole_table(spark, tmp_path, monkeypatc
     assert spark.read.parquet(path).count() == 3
 
 
+def test_shared_tables_are_dropped(spark):
+    before = shared.materialize(spark.range(3))
+    point = shared.mark()
+    gone, kept, empty = shared.materialize(spark.range(4)), shared.materialize(spark.range(5)), shared.materialize(spark.range(0))
+    shared.drop_since(point, kept, empty)
+    assert (before.count(), kept.count(), empty.count()) == (3, 5, 0)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist|FileNotFound"):
+        gone.collect()
+    assert [b.num_rows for b in shared.blocks(shared.written(spark.range(0, 10, 1, 1)), 4)] == [4, 4, 2]
+    assert "://" in shared.shared_dir(spark)
+
+
 def test_histories(spark, tmp_path):
     log = spark.createDataFrame([(1, 4, "user", "b\n\"é"), (1, 0, "system", "a"), (2, 3, "user", None)], "conv_id bigint, turn bigint, role string, text string")
     files.save_histories(log, str(tmp_path / "h"))
