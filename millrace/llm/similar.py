@@ -6,10 +6,13 @@ first ``n - ceil(s * n) + 1`` of their ``n``, so no pair is missed.  Shingles
 are hashed for this only: every link is verified on the texts' own shingles.
 How common a shingle is, is counted on a sample; this decides the order only.
 
-Texts that share a prefix shingle are a bucket.  Pairs of small buckets are
-listed once and, unless the places of what they share rule them out, verified in a join.  In a large one a search starts at a text
-and goes on from every text it links, each time over those not yet reached: it
-gives the bucket's components by fewer links than texts.
+Texts that share a prefix shingle are a bucket.  A bucket is never held as a
+whole: its texts are rows, and pairs come from joins.  In a large bucket all are
+first compared with a few pivots, the texts of least hash, which links most of a
+large group of near copies in a time that goes with its size.  After that only
+pairs of different components are looked at: in each bucket the texts outside
+its most frequent component against all others, each pair once, unless the
+places of what they share rule it out.  So no link between components is missed.
 """
 
 from __future__ import annotations
@@ -20,13 +23,14 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm._shared import bounded_batches, materialize, text_key, utf8
+from millrace.llm._shared import bounded_batches, drop_since, mark, materialize, text_key, utf8
+from millrace.llm.graphs import components
 
-#: A bucket of more texts is searched in one place instead of pair by pair.
-LARGE = 32
+#: A bucket of more texts has pivots, so many.
+LARGE, PIVOTS = 32, 8
 #: Texts (on average) and shingles that the order is made from.
 SAMPLE_TEXTS, COMMON = 20_000, 200_000
 _SEEN = 1 << 18
@@ -54,20 +58,22 @@ def similar(a: set[bytes], b: set[bytes], similarity: Fraction) -> bool:
     return both * den >= num * (len(a) + len(b) - both)
 
 
-def spanning(sets: list[set[bytes]], similarity: Fraction) -> Iterator[tuple[int, int]]:
-    """Links that give the components of all similar pairs, fewer than sets."""
-    left = list(range(len(sets)))
-    while left:
-        reached = [left.pop()]
-        while reached and left:
-            i, rest = reached.pop(), []
-            for j in left:
-                if similar(sets[i], sets[j], similarity):
-                    reached.append(j)
-                    yield i, j
-                else:
-                    rest.append(j)
-            left = rest
+def _shared_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of tokens that several ids have, each id once, of rows sorted by token and id; one row is held over between batches."""
+    last, handed_on = None, False
+    for batch in batches:
+        rows = pa.Table.from_batches([batch] if last is None else [*last.to_batches(), batch]).combine_chunks()
+        if not rows.num_rows:
+            continue
+        token, ident = (rows.column(c).to_numpy() for c in ("token", "id"))
+        at = np.flatnonzero(np.concatenate(([True], (token[1:] != token[:-1]) | (ident[1:] != ident[:-1]))))
+        same = token[at][1:] == token[at][:-1]
+        keep = np.concatenate((same, [False])) | np.concatenate(([False], same))
+        done = bool(keep[-1]) or (len(at) == 1 and handed_on)
+        keep[0] &= not handed_on
+        yield from rows.take(pa.array(at[keep])).to_batches()
+        # The last one is looked at again: its token may go on.
+        last, handed_on = rows.slice(int(at[-1]), 1), done
 
 
 def _hashes(text: bytes, words: int) -> np.ndarray:
@@ -75,11 +81,12 @@ def _hashes(text: bytes, words: int) -> np.ndarray:
 
 
 def similar_links(docs: DataFrame, text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """Pairs ``(a, b)`` of text hashes, ``t1`` of ``text_key``, whose components are those of all similar pairs.
+    """Similar pairs ``(a, b)`` of text hashes, ``t1`` of ``text_key``, whose components are those of all similar pairs.
 
     Texts are similar if the Jaccard similarity of their distinct word shingles
     is at least ``similarity``, which must be above 0.  Texts without words have
-    no links, and equal texts are one.
+    no links, and equal texts are one; null texts count as empty, very long ones
+    are held whole.  The result is a table in the shared folder.
     """
     level = Fraction(str(similarity))
     if not 0 < level <= 1:
@@ -114,35 +121,56 @@ def similar_links(docs: DataFrame, text_col: str = "text", words: int = 5, simil
     often = sample.groupBy("token").agg(F.count("*").alias("c")).where("c > 2").orderBy(F.desc("c"), "token").limit(COMMON).orderBy("token").toArrow()
     common, counts = (often.column(c).to_numpy() for c in ("token", "c"))
 
+    point = mark()
     rows = texts.mapInArrow(tokens(common, counts), kind)
-    members = rows.groupBy("token").agg(F.collect_set(F.struct("id", "n", "at")).alias("held")).where(F.size("held") > 1)
-    buckets = materialize(members)
-    listed = buckets.select("token", F.size("held").alias("many"), F.explode("held").alias("x")).select("token", "many", "x.*")
-    small = buckets.where(F.size("held") <= LARGE).select(F.explode("held").alias("x"), "held").select("x", F.explode("held").alias("y"))
+    listed = materialize(rows.repartition("token").sortWithinPartitions("token", "id").mapInArrow(_shared_tokens, kind))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs ``a``, ``b`` that are similar."""
+        # Tables of their own, so that their sizes are known before the texts are joined.
+        pairs = materialize(pairs)
+        ids = materialize(pairs.select("a").union(pairs.select("b")).distinct())
+        needed = texts.join(ids.select(F.col("a").alias("t1")), "t1", "left_semi")
+        bodies = materialize(needed.groupBy(F.col("t1").alias("id")).agg(F.first("body").alias("body")))
+        both = pairs.join(bodies.select(F.col("id").alias("a"), F.col("body").alias("left")), "a").join(bodies.select(F.col("id").alias("b"), F.col("body").alias("right")), "b")
+
+        def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict[int, set[bytes]] = {}  # pivots come again and again
+            for batch in batches:
+                ok = []
+                for a, x, y in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                    if a not in held:
+                        if len(held) == PIVOTS:
+                            held.clear()
+                        held[a] = shingles(x.as_py(), words)
+                    ok.append(similar(held[a], shingles(y.as_py(), words), level))
+                yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+        return materialize(both.select("a", "b", "left", "right").mapInArrow(check, "a bigint, b bigint"))
+
     fits = F.least("x.n", "y.n") * F.lit(level.denominator) >= F.greatest("x.n", "y.n") * F.lit(level.numerator)
-    shared = small.where((F.col("x.id") < F.col("y.id")) & fits).groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.n").alias("m"), F.col("y.n").alias("n"))
-    # Besides the shared prefix shingles only those after the last of them can be common.  Large buckets' shingles aren't counted, but their pairs are found there.
+    large = listed.groupBy("token").agg(F.count("*").alias("many")).where(F.col("many") > LARGE).select("token")
+    inside = listed.join(large, "token")
+    rank = F.row_number().over(Window.partitionBy("token").orderBy(F.xxhash64("id"), "id"))
+    pivots = inside.withColumn("rank", rank).where(F.col("rank") <= PIVOTS).drop("rank")
+    met = inside.alias("y").join(pivots.alias("x"), F.col("x.token") == F.col("y.token"))
+    first = verified(met.where((F.col("x.id") != F.col("y.id")) & fits).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
+
+    roots = components(first)
+    labelled = materialize(listed.join(roots.withColumnRenamed("node", "id"), "id", "left").select("token", "id", "n", "at", F.coalesce("root", "id").alias("label")))
+    groups = labelled.groupBy("token", "label").agg(F.count("*").alias("many"))
+    mixed = materialize(groups.groupBy("token").agg(F.max_by("label", F.struct("many", "label")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1").select("token", "main"))
+    left = labelled.join(mixed, "token")
+    x, y = left.where(F.col("label") != F.col("main")).alias("x"), left.alias("y")
+    across = x.join(y, F.col("x.token") == F.col("y.token")).where((F.col("x.label") != F.col("y.label")) & ((F.col("y.label") == F.col("y.main")) | (F.col("x.id") < F.col("y.id"))) & fits)
+    # The least id first, so that a pair is one, whichever of the two is outside the main component of a bucket.
+    ends = [F.when(F.col("x.id") < F.col("y.id"), F.struct("x.id", "x.n", "x.at", F.col("y.id").alias("id2"), F.col("y.n").alias("n2"), F.col("y.at").alias("at2"))).otherwise(F.struct("y.id", "y.n", "y.at", F.col("x.id").alias("id2"), F.col("x.n").alias("n2"), F.col("x.at").alias("at2"))).alias("p")]
+    found = across.select(*ends).groupBy(F.col("p.id").alias("a"), F.col("p.id2").alias("b"), F.col("p.n").alias("m"), F.col("p.n2").alias("n"))
+    # Besides the shared prefix shingles only those after the last of them can be common.  Every bucket that two
+    # texts of different components share counts: it is mixed, and one of the two is outside its main component.
     most = F.col("c") + F.least(F.col("m") - F.col("i"), F.col("n") - F.col("j")) - 1
     enough = most * F.lit(level.numerator + level.denominator) >= (F.col("m") + F.col("n")) * F.lit(level.numerator)
-    pairs = materialize(shared.agg(F.count("*").alias("c"), F.max("x.at").alias("i"), F.max("y.at").alias("j")).where(enough).select("a", "b"))
-    large = listed.where(F.col("many") > LARGE).select("token", "id")
-    # A table of its own, so that its size is known before the texts are joined.
-    ids = materialize(large.select("id").union(pairs.select("a")).union(pairs.select("b")).distinct())
-    needed = texts.join(ids.select(F.col("id").alias("t1")), "t1", "left_semi")
-    bodies = materialize(needed.groupBy(F.col("t1").alias("id")).agg(F.first("body").alias("body")))
-
-    both = pairs.join(bodies.select(F.col("id").alias("a"), F.col("body").alias("left")), "a").join(bodies.select(F.col("id").alias("b"), F.col("body").alias("right")), "b")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = [similar(shingles(x.as_py(), words), shingles(y.as_py(), words), level) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    def search(group: pa.Table) -> pa.Table:
-        ids = group.column("id").to_pylist()
-        found = list(spanning([shingles(x.as_py(), words) for x in group.column("body")], level))
-        return pa.table({"a": pa.array([ids[i] for i, _ in found], pa.int64()), "b": pa.array([ids[j] for _, j in found], pa.int64())})
-
-    checked = both.select("a", "b", "left", "right").mapInArrow(verify, "a bigint, b bigint")
-    searched = large.join(bodies, "id").groupBy("token").applyInArrow(search, "a bigint, b bigint")
-    return materialize(checked.union(searched))
+    second = verified(found.agg(F.count("*").alias("c"), F.max("p.at").alias("i"), F.max("p.at2").alias("j")).where(enough).select("a", "b"))
+    links = materialize(first.union(second))
+    drop_since(point, links)
+    return links

@@ -1,6 +1,6 @@
 import random
-from fractions import Fraction
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,9 +60,29 @@ def test_recall_like_brute_force(spark, texts):
     assert any(len(c) > similar.LARGE for c in plain_classes(len(texts), expected))
 
 
-def test_spanning_links_are_fewer_than_sets(texts):
-    sets = [similar.shingles(t.encode()) for t in texts if t]
-    assert len(list(similar.spanning(sets, Fraction(4, 5)))) < len(sets)
+def test_shared_tokens_over_batches():
+    rng = random.Random(5)
+    for size in (1, 2, 3, 7, 100):
+        rows = sorted((rng.randrange(12) * rng.choice([1, 1, 5]), rng.randrange(4)) for _ in range(60))
+        table = pa.table({"token": [t for t, _ in rows], "id": [i for _, i in rows], "n": [9] * 60, "at": [1] * 60})
+        found = [(r["token"], r["id"]) for b in similar._shared_tokens(iter(table.to_batches(max_chunksize=size))) for r in b.to_pylist()]
+        ids = {}
+        for t, i in rows:
+            ids.setdefault(t, set()).add(i)
+        assert sorted(found) == sorted((t, i) for t, x in ids.items() if len(x) > 1 for i in x)
+
+
+def test_chains_that_pivots_do_not_see(spark):
+    # Texts in a row, each similar to the next only, in one bucket with many near copies of one of them.
+    words = [f"c{i}" for i in range(400)]
+    chain = [" ".join(["same", "old", "rare", "opening", "words"] * 3 + words[4 * i : 4 * i + 80]) for i in range(60)]
+    rng = random.Random(3)
+    near = [chain[30] + f" extra{rng.randrange(10**6)}" for _ in range(120)]
+    texts = list(dict.fromkeys(chain + near))
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(4)
+    keys = {r.t1: i for i, r in enumerate(spark.createDataFrame(list(enumerate(texts)), "i int, text string").orderBy("i").select(text_key(F.col("text"))[0]).collect())}
+    links = [(keys[r.a], keys[r.b]) for r in similar.similar_links(docs).collect()]
+    assert plain_classes(len(texts), links) == plain_classes(len(texts), plain_pairs(texts))
 
 
 def test_stage_leaves_no_similar_pair(spark, sf_dir):
