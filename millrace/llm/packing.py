@@ -91,15 +91,15 @@ def cut(length: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def pieces(docs: DataFrame, capacity: int, id_col: str, text_col: str, paths: tuple[str, str | None], end_id: int, keep_ids: bool) -> DataFrame:
-    """One row per piece: id, piece, start, length, ids_crc32 and, if wanted, ids."""
-    rows = bounded_batches(docs).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
-    names = ["id", "piece", "start", "length", "ids_crc32", *["ids"] * keep_ids]
+    """One row per piece: id, row (a number of the input row), piece, start, length, ids_crc32 and, if wanted, ids."""
+    rows = bounded_batches(docs).select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
+    names = ["id", "row", "piece", "start", "length", "ids_crc32", *["ids"] * keep_ids]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(*paths)
         for batch in batches:
             at, out, ids = [], [[], [], [], []], []
-            for i, x in enumerate(batch.column(1)):
+            for i, x in enumerate(batch.column(2)):
                 tokens = np.append(encode(x.as_py()), np.array([end_id], "<u4"))
                 for number, (start, length) in enumerate(cut(len(tokens), capacity)):
                     part = tokens[start : start + length]
@@ -108,11 +108,11 @@ def pieces(docs: DataFrame, capacity: int, id_col: str, text_col: str, paths: tu
                         column.append(value)
                     if keep_ids:
                         ids.append(part.astype(np.int32))
-            columns = [batch.column(0).take(pa.array(at, pa.int64())), pa.array(out[0], pa.int32()), *(pa.array(x, pa.int64()) for x in out[1:])]
+            columns = [*(batch.column(c).take(pa.array(at, pa.int64())) for c in (0, 1)), pa.array(out[0], pa.int32()), *(pa.array(x, pa.int64()) for x in out[1:])]
             yield pa.RecordBatch.from_arrays(columns + ([pa.array(ids, pa.list_(pa.int32()))] if keep_ids else []), names)
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * keep_ids)
+    return rows.mapInArrow(run, f"id {kind}, row bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * keep_ids)
 
 
 def best_fit(counts: Mapping[int, int], capacity: int) -> list[tuple[Pattern, int]]:
@@ -348,14 +348,16 @@ def complete_bins(counts: Mapping[int, int], capacity: int, work: int = WORK) ->
     return best
 
 
-def pack(docs: DataFrame, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", paths: tuple[str, str | None] | None = None, end_id: int = 0, keep_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", paths: tuple[str, str | None] | None = None, end_id: int = 0, keep_ids: bool = False, row_col: str | None = None) -> DataFrame:
     """One row per piece: ``id_col``, piece, start, length, ids_crc32, sequence_id, offset and, with ``keep_ids``, ids.
 
-    A document's ids end with ``end_id``; null and empty texts have that one
+    ``row_col`` is the name of a further column that numbers the rows of
+    ``docs``: it tells pieces of repeated rows apart.  A document's ids end with ``end_id``; null and empty texts have that one
     only.  Documents longer than ``capacity`` are cut, others stay whole.
     Offsets within a sequence have no gaps.  Repeated rows and null ids are
-    documents like others.  An empty table gives an empty result; other columns
-    are not read.
+    documents like others; a very long text is held whole by one task while it
+    is tokenised.  An empty table gives an empty result; other columns are not
+    read.
     """
     if capacity < 1:
         raise ValueError("capacity must be positive")
@@ -380,4 +382,5 @@ def pack(docs: DataFrame, capacity: int = 2048, id_col: str = "doc_id", text_col
         (F.col("span.sequence") + F.floor(F.col("inside") / F.col("span.times"))).alias("sequence_id"),
         (F.col("span.offset") + F.pmod("inside", "span.times") * F.col("length")).alias("offset"),
         *["ids"] * keep_ids,
+        *[F.col("row").alias(row_col)] * (row_col is not None),
     )

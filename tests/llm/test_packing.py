@@ -195,6 +195,17 @@ def test_odd_rows(odd_docs, odd_rows, capacity):
     assert all(zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in rows)
 
 
+def test_copies_are_told_apart(spark):
+    docs = spark.createDataFrame([(1, "word " * 50)] * 4 + [(2, "x")], "doc_id bigint, text string").repartition(2)
+    rows = packing.pack(docs, 16, keep_ids=True, row_col="copy").collect()
+    copies = {}
+    for r in rows:
+        copies.setdefault((r.doc_id, r["copy"]), {})[r.piece] = r.ids
+    assert sorted(i for i, _ in copies) == [1, 1, 1, 1, 2]
+    whole = {tuple(x for p in sorted(c) for x in c[p]) for (i, _), c in copies.items() if i == 1}
+    assert whole == {tuple([*Tokenizer.from_file(packing.tokenizer_paths()[0]).encode("word " * 50, add_special_tokens=False).ids, 0])}
+
+
 def test_query(spark, sf_dir):
     texts = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     rows = QUERIES["op7_packing"](spark, sf_dir).collect()
