@@ -382,5 +382,5 @@ def pack(docs: DataFrame, capacity: int = 2048, id_col: str = "doc_id", text_col
         (F.col("span.sequence") + F.floor(F.col("inside") / F.col("span.times"))).alias("sequence_id"),
         (F.col("span.offset") + F.pmod("inside", "span.times") * F.col("length")).alias("offset"),
         *["ids"] * keep_ids,
-        *[F.col("row").alias(row_col)] * (row_col is not None),
+        *([] if row_col is None else [F.col("row").alias(row_col)]),
     )

@@ -8,6 +8,7 @@ from millrace.llm import quality
 from test_mixing import plain as plain_mix
 from test_packing import check_rows
 from test_simhash import plain_components, plain_fingerprint
+from test_similar import plain_sets
 from test_suffix_dedup import plain as plain_dedup
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -35,10 +36,27 @@ def test_classifier_rejects_by_score(spark, steps, sf_dir):
     assert Counter(after.collect()) == Counter(r for r in before.collect() if model.score(r.text.encode()) >= 0.5)
 
 
+def plain_classes(ids, texts):
+    """The least id of each row's class: links by three bits or fewer, or by a similarity of 0.8 of shingles of five words."""
+    prints = [plain_fingerprint(t) for t in texts]
+    least = plain_components(ids, prints)
+    by_text = [plain_sets(t) for t in texts]
+    for _ in ids:  # until nothing changes
+        before = list(least)
+        for i, a in enumerate(by_text):
+            for j in range(i):
+                b = by_text[j]
+                if least[i] != least[j] and a and 5 * len(a & b) >= 4 * len(a | b):
+                    low, high = sorted((least[i], least[j]))
+                    least = [low if x == high else x for x in least]
+        if least == before:
+            return least
+
+
 def test_one_of_each_class(steps):
     before, after = (x.collect() for x in steps[1])
     ids = [r.doc_id for r in before]
-    least = plain_components(ids, [plain_fingerprint(r.text) for r in before])
+    least = plain_classes(ids, [r.text for r in before])
     assert Counter(after) == Counter(r for r, c in zip(before, least, strict=True) if r.doc_id == c)
 
 
@@ -61,11 +79,16 @@ def test_mixture(steps):
 def test_packing(steps):
     before, after = (x.collect() for x in steps[4])
     check_rows(after, [(r.doc_id, r.text) for r in before], 2048)
+    assert len({r.row for r in after}) == len(before) and len({(r.row, r.piece) for r in after}) == len(after)
+    assert all(len(r.ids) == r.length for r in after)
 
 
 def test_run_is_the_stages(spark, sf_dir, steps):
-    pick = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    assert Counter(corpus_pipeline.run(spark, sf_dir).select(*pick).collect()) == Counter(steps[-1][1].select(*pick).collect())
+    pick = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
+    def rows(df):
+        return Counter((*r[:-1], tuple(r.ids)) for r in df.select(*pick).collect())
+
+    assert rows(corpus_pipeline.run(spark, sf_dir)) == rows(steps[-1][1])
 
 
 def test_odd_rows_and_names(spark, odd_docs, no_docs, sf_dir):
