@@ -268,33 +268,52 @@ def _fillings(counts: np.ndarray, room: int, most_waste: int | None, budget: _Bu
                     yield pattern
 
 
-def _completions(counts: np.ndarray, most_waste: int, budget: _Budget) -> Iterator[tuple[Pattern, int]]:
-    """Bins around the longest piece left, with the number of times: each filling as often as its pieces last, then each less often."""
-    top = int(np.flatnonzero(counts)[-1])
-    rest = counts.copy()
-    rest[top] -= 1
-
-    def full() -> Iterator[tuple[Pattern, int]]:
-        made = _fillings(rest, len(counts) - 1 - top, most_waste, budget)
-        while window := list(islice(made, 1)):
-            # A window ends early where nothing but dominated ones comes.
-            while window[-1] is not None and len(window) < WINDOW and (more := next(made, None)) is not None:
-                window.append(more)
-            ready = []
-            for filling in window:
-                if filling is None:
-                    continue
-                parts = dict(filling)
-                parts[top] = parts.get(top, 0) + 1
-                ready.append((tuple(sorted(parts.items(), reverse=True)), min(int(counts[k]) // m for k, m in parts.items())))
-            # Frequent lengths are used up along the way; the sort keeps the order of equals.
-            ready.sort(key=lambda x: (sum(k * m for k, m in x[0]), x[1]), reverse=True)
-            yield from ready
-
-    yield from full()
-    for pattern, most in full():
-        for n in range(most - 1, 0, -1):
-            yield pattern, n
+class _Completions:
+    """Bins around the longest piece left, with the number of times: each filling as often as its pieces last, then each less often.
+
+    Only the window at hand is kept.  When it is used up, the enumeration begins
+    again and passes over what was taken before: a search holds very many of
+    these, but seldom comes back to one.
+    """
+
+    def __init__(self, counts: np.ndarray, most_waste: int, budget: _Budget):
+        self.counts, self.most_waste, self.budget = counts, most_waste, budget
+        self.top = int(np.flatnonzero(counts)[-1])
+        self.window: list[tuple[Pattern, int]] = []
+        self.taken, self.fewer = 0, False
+
+    def next(self) -> tuple[Pattern, int] | None:
+        """The next completion, None after the last or when the budget is used up."""
+        while not self.window:
+            made = self._made()
+            if made is None:
+                if self.fewer:
+                    return None
+                self.taken, self.fewer = 0, True
+                continue
+            if self.fewer:
+                made = [(pattern, n) for pattern, most in made for n in range(most - 1, 0, -1)]
+            self.window = made[::-1]
+        return self.window.pop()
+
+    def _made(self) -> list[tuple[Pattern, int]] | None:
+        """The next window's fillings with the piece, and how often they can be repeated; None if there are no more."""
+        rest = self.counts.copy()
+        rest[self.top] -= 1
+        all_fillings = islice(_fillings(rest, len(rest) - 1 - self.top, self.most_waste, self.budget), self.taken, None)
+        ready, seen = [], False
+        for filling in all_fillings:
+            self.taken, seen = self.taken + 1, True
+            if filling is None:
+                break  # nothing but dominated ones come: what there is will do for a window
+            parts = dict(filling)
+            parts[self.top] = parts.get(self.top, 0) + 1
+            ready.append((tuple(sorted(parts.items(), reverse=True)), min(int(self.counts[k]) // m for k, m in parts.items())))
+            if len(ready) == WINDOW:
+                break
+        # Frequent lengths are used up along the way; the sort keeps the order of equals.
+        ready.sort(key=lambda x: (sum(k * m for k, m in x[0]), x[1]), reverse=True)
+        return ready if seen else None
 
 
 def complete_bins(counts: Mapping[int, int], capacity: int, work: int = WORK) -> list[tuple[Pattern, int]]:
@@ -319,10 +338,10 @@ def complete_bins(counts: Mapping[int, int], capacity: int, work: int = WORK) ->
 
     whole = _dense(counts, capacity)
     # Depth first: counts left, bins used, their waste, what they are, and the completions still to try.
-    stack: list[tuple] = [(whole, 0, 0, None, _completions(whole, slack(0), budget))]
+    stack: list[tuple] = [(whole, 0, 0, None, _Completions(whole, slack(0), budget))]
     while stack and fewest > bound and budget.steps > 0:
         left, used, waste, made, options = stack[-1]
-        option = next(options, None)
+        option = options.next()
         if option is None:
             stack.pop()
             continue
@@ -344,7 +363,7 @@ def complete_bins(counts: Mapping[int, int], capacity: int, work: int = WORK) ->
         if state in seen or used + _bound(left) >= fewest:
             continue
         seen.add(state)
-        stack.append((left, used, waste, made, _completions(left, slack(waste), budget)))
+        stack.append((left, used, waste, made, _Completions(left, slack(waste), budget)))
     return best
 
 
