@@ -10,6 +10,7 @@ scoring needs one small table and one pass over the texts.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -165,22 +166,27 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [feature_counts(x.as_py()) for x in batch.column(5)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array([b.tobytes() for b, _ in made], pa.binary()), pa.array([s.tobytes() for _, s in made], pa.binary())], ["id", "label", "t1", "t2", "times", "buckets", "shares"])
+            packed = [zlib.compress(np.diff(b, prepend=np.int32(0)).tobytes() + s.tobytes(), 1) for b, s in made]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array([8 * len(b) for b, _ in made], pa.int64()), pa.array(packed, pa.binary())], ["id", "label", "t1", "t2", "times", "bytes", "packed"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    made = rows.mapInArrow(run, f"id {kind}, label int, t1 bigint, t2 bigint, times bigint, buckets binary, shares binary")
+    made = rows.mapInArrow(run, f"id {kind}, label int, t1 bigint, t2 bigint, times bigint, bytes bigint, packed binary")
     made = materialize(made.dropDuplicates(["id", "label", "t1", "t2"]).withColumn("place", F.xxhash64("id")))
     order, used, chosen = ["place", "id", "label", "t1", "t2"], 0, []
-    for r in made.select(*order, (2 * F.octet_length("buckets")).alias("bytes")).orderBy(*order).collect():  # at most ``sample_rows``
+    for r in made.select(*order, "bytes").orderBy(*order).collect():  # at most ``sample_rows``
         if used + r.bytes <= sample_bytes:
             used += r.bytes
             chosen.append((r.id, r.label, r.t1, r.t2))
     if not chosen:
         return train([])
     wanted = made.sparkSession.createDataFrame(chosen, f"id {kind}, label int, t1 bigint, t2 bigint")
-    got = made.join(F.broadcast(wanted), ["id", "label", "t1", "t2"]).select(*order, "times", "buckets", "shares").collect()
+    got = made.join(F.broadcast(wanted), ["id", "label", "t1", "t2"]).select(*order, "times", "packed").collect()
     got.sort(key=lambda r: (r.place, r.id, r.label, r.t1, r.t2))
-    return train([(r.label, np.frombuffer(r.buckets, np.int32), np.frombuffer(r.shares, np.float32)) for r in got for _ in range(r.times)])
+    examples = []
+    for r in got:
+        both = np.frombuffer(zlib.decompress(r.packed), np.int32).reshape(2, -1)
+        examples += [(r.label, np.cumsum(both[0], dtype=np.int32), both[1].view(np.float32))] * r.times
+    return train(examples)
 
 
 def score(docs: DataFrame, model: QualityModel, text_col: str = "text", name: str = "score") -> DataFrame:
