@@ -6,13 +6,14 @@ first ``n - ceil(s * n) + 1`` of their ``n``, so no pair is missed.  Shingles
 are hashed for this only: every link is verified on the texts' own shingles.
 How common a shingle is, is counted on a sample; this decides the order only.
 
-Texts that share a prefix shingle are a bucket.  A bucket is never held as a
-whole: its texts are rows, and pairs come from joins.  In a large bucket all are
-first compared with a few pivots, the texts of least hash, which links most of a
-large group of near copies in a time that goes with its size.  After that only
-pairs of different components are looked at: in each bucket the texts outside
-its most frequent component against all others, each pair once, unless the
-places of what they share rule it out.  So no link between components is missed.
+Texts that share a prefix shingle are a bucket, of any size, and never held as a
+whole.  In a large bucket all are first compared with a few pivots, texts with few
+rarer shingles, as those have that others are copies of: this links most of a
+group of near copies in a time that goes with its size.  After that only pairs of
+different components are looked at.  Those of small buckets are listed once and,
+unless the places of what they share rule them out, verified in a join; in a large
+one the texts outside its most frequent component meet all others in cells of
+bounded size, where a component that is linked already is passed over.
 """
 
 from __future__ import annotations
@@ -29,11 +30,11 @@ from pyspark.sql import functions as F
 from millrace.llm._shared import bounded_batches, drop_since, mark, materialize, text_key, utf8
 from millrace.llm.graphs import components
 
-#: A bucket of more texts has pivots, so many.
-LARGE, PIVOTS = 32, 8
+#: A bucket of more texts is large: it has pivots, so many, and its texts are compared in cells of two blocks of about so many.
+LARGE, PIVOTS, BLOCK = 32, 8, 2048
 #: Texts (on average) and shingles that the order is made from.
 SAMPLE_TEXTS, COMMON = 20_000, 200_000
-_SEEN = 1 << 18
+_SEEN, _COLUMNS = 1 << 18, 2048
 
 
 def shingles(text: bytes, words: int = 5) -> set[bytes]:
@@ -58,6 +59,28 @@ def similar(a: set[bytes], b: set[bytes], similarity: Fraction) -> bool:
     return both * den >= num * (len(a) + len(b) - both)
 
 
+def similar_cells(left: list[set[bytes]], right: list[set[bytes]], similarity: Fraction) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all similar pairs of two lists of sets; what they share is counted by products of matrices of some shingles at a time."""
+    codes: dict[bytes, int] = {}
+    row = np.repeat(np.arange(len(left) + len(right)), [len(x) for x in (*left, *right)])
+    code = np.fromiter((codes.setdefault(s, len(codes)) for x in (*left, *right) for s in x), np.int64, len(row))
+    often = np.bincount(code, minlength=len(codes)) > 1
+    held = often[code]
+    row, code = row[held], (np.cumsum(often) - 1)[code[held]]
+    order = np.argsort(code, kind="stable")
+    row, code = row[order], code[order]
+    both = np.zeros((len(left), len(right)), np.float32)
+    for begin in range(0, int(often.sum()), _COLUMNS):
+        i, j = np.searchsorted(code, [begin, begin + _COLUMNS])
+        part = np.zeros((len(left) + len(right), _COLUMNS), np.float32)
+        part[row[i:j], code[i:j] - begin] = 1
+        both += part[: len(left)] @ part[len(left) :].T
+    sizes = [np.array([len(x) for x in side], np.int64) for side in (left, right)]
+    shared = both.astype(np.int64)  # exact below 2^24 shingles in common
+    union = sizes[0][:, None] + sizes[1][None, :] - shared
+    return np.nonzero((shared * similarity.denominator >= similarity.numerator * union) & (union > 0))
+
+
 def _shared_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of tokens that several ids have, each id once, of rows sorted by token and id; one row is held over between batches."""
     last, handed_on = None, False
@@ -149,28 +172,52 @@ def similar_links(docs: DataFrame, text_col: str = "text", words: int = 5, simil
         return materialize(both.select("a", "b", "left", "right").mapInArrow(check, "a bigint, b bigint"))
 
     fits = F.least("x.n", "y.n") * F.lit(level.denominator) >= F.greatest("x.n", "y.n") * F.lit(level.numerator)
-    large = listed.groupBy("token").agg(F.count("*").alias("many")).where(F.col("many") > LARGE).select("token")
-    inside = listed.join(large, "token")
-    rank = F.row_number().over(Window.partitionBy("token").orderBy(F.xxhash64("id"), "id"))
+    sizes = listed.groupBy("token").agg(F.count("*").alias("all"))
+    inside = listed.join(sizes.where(F.col("all") > LARGE).select("token"), "token")
+    rank = F.row_number().over(Window.partitionBy("token").orderBy("at", F.xxhash64("id"), "id"))
     pivots = inside.withColumn("rank", rank).where(F.col("rank") <= PIVOTS).drop("rank")
     met = inside.alias("y").join(pivots.alias("x"), F.col("x.token") == F.col("y.token"))
     first = verified(met.where((F.col("x.id") != F.col("y.id")) & fits).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
 
-    roots = components(first)
-    labelled = materialize(listed.join(roots.withColumnRenamed("node", "id"), "id", "left").select("token", "id", "n", "at", F.coalesce("root", "id").alias("label")))
+    roots = components(first).withColumnRenamed("node", "id")
+    labelled = materialize(listed.join(roots, "id", "left").select("token", "id", "n", "at", F.coalesce("root", "id").alias("label")))
     groups = labelled.groupBy("token", "label").agg(F.count("*").alias("many"))
-    mixed = materialize(groups.groupBy("token").agg(F.max_by("label", F.struct("many", "label")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1").select("token", "main"))
-    left = labelled.join(mixed, "token")
-    x, y = left.where(F.col("label") != F.col("main")).alias("x"), left.alias("y")
-    across = x.join(y, F.col("x.token") == F.col("y.token")).where((F.col("x.label") != F.col("y.label")) & ((F.col("y.label") == F.col("y.main")) | (F.col("x.id") < F.col("y.id"))) & fits)
-    # The least id first, so that a pair is one, whichever of the two is outside the main component of a bucket.
-    ends = [F.when(F.col("x.id") < F.col("y.id"), F.struct("x.id", "x.n", "x.at", F.col("y.id").alias("id2"), F.col("y.n").alias("n2"), F.col("y.at").alias("at2"))).otherwise(F.struct("y.id", "y.n", "y.at", F.col("x.id").alias("id2"), F.col("x.n").alias("n2"), F.col("x.at").alias("at2"))).alias("p")]
-    found = across.select(*ends).groupBy(F.col("p.id").alias("a"), F.col("p.id2").alias("b"), F.col("p.n").alias("m"), F.col("p.n2").alias("n"))
-    # Besides the shared prefix shingles only those after the last of them can be common.  Every bucket that two
-    # texts of different components share counts: it is mixed, and one of the two is outside its main component.
+    largest = F.max_by(F.struct("label", "many"), F.struct("many", "label")).alias("main")
+    mixed = materialize(groups.groupBy("token").agg(F.sum("many").alias("all"), F.count("*").alias("kinds"), largest).where("kinds > 1").select("token", "all", "main"))
+    left = labelled.join(mixed.select("token", "all", "main.label", "main.many").toDF("token", "all", "main", "n_main"), "token")
+
+    few = left.where(F.col("all") <= LARGE).groupBy("token").agg(F.collect_list(F.struct("id", "n", "at", "label")).alias("held"))
+    both = few.select(F.explode("held").alias("x"), "held").select("x", F.explode("held").alias("y"))
+    shared = both.where((F.col("x.id") < F.col("y.id")) & (F.col("x.label") != F.col("y.label")) & fits)
+    counted = shared.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.n").alias("m"), F.col("y.n").alias("n"))
+    # Besides the shared prefix shingles only those after the last of them can be common.  Large buckets' shingles aren't counted, but their pairs are found there.
     most = F.col("c") + F.least(F.col("m") - F.col("i"), F.col("n") - F.col("j")) - 1
     enough = most * F.lit(level.numerator + level.denominator) >= (F.col("m") + F.col("n")) * F.lit(level.numerator)
-    second = verified(found.agg(F.count("*").alias("c"), F.max("p.at").alias("i"), F.max("p.at2").alias("j")).where(enough).select("a", "b"))
+    second = verified(counted.agg(F.count("*").alias("c"), F.max("x.at").alias("i"), F.max("y.at").alias("j")).where(enough).select("a", "b"))
+
+    # Blocks of all texts, and of those outside the main component; each of these meets every block, in one cell.
+    large = left.where(F.col("all") > LARGE).withColumn("outside", F.col("label") != F.col("main"))
+    n_blocks, n_outer = (F.ceil(c / F.lit(BLOCK)).cast("int") for c in (F.col("all"), F.col("all") - F.col("n_main")))
+    block, outer = F.pmod(F.xxhash64("id"), n_blocks).cast("int"), F.pmod(F.xxhash64("id", F.lit(1)), n_outer).cast("int")
+    here = large.select("token", "id", "label", F.lit(False).alias("asks"), block.alias("i"), F.explode(F.sequence(F.lit(0), n_outer - 1)).alias("j"))
+    asking = large.where("outside").select("token", "id", "label", F.lit(True).alias("asks"), F.explode(F.sequence(F.lit(0), n_blocks - 1)).alias("i"), outer.alias("j"))
+    cells = materialize(here.union(asking))
+    needed = texts.join(cells.select(F.col("id").alias("t1")).distinct(), "t1", "left_semi")
+    bodies = materialize(needed.groupBy(F.col("t1").alias("id")).agg(F.first("body").alias("body")))
+
+    def search(group: pa.Table) -> pa.Table:
+        ids, label, asks = (np.asarray(group.column(c).combine_chunks()) if c != "asks" else np.array(group.column(c).to_pylist(), bool) for c in ("id", "label", "asks"))
+        sets = [shingles(x.as_py(), words) for x in group.column("body")]
+        x, y = np.flatnonzero(asks), np.flatnonzero(~asks)
+        at, to = similar_cells([sets[i] for i in x], [sets[i] for i in y], level)
+        at, to = x[at], y[to]
+        apart = label[at] != label[to]
+        # One link between two components will do.
+        _, first_ones = np.unique(np.stack([label[at[apart]], label[to[apart]]]), axis=1, return_index=True)
+        return pa.table({"a": pa.array(ids[at[apart]][first_ones], pa.int64()), "b": pa.array(ids[to[apart]][first_ones], pa.int64())})
+
+    searched = cells.join(bodies, "id").groupBy("token", "i", "j").applyInArrow(search, "a bigint, b bigint")
+    second = second.union(searched)
     links = materialize(first.union(second))
     drop_since(point, links)
     return links

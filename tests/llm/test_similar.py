@@ -1,4 +1,5 @@
 import random
+from fractions import Fraction
 
 import pyarrow as pa
 import pytest
@@ -60,6 +61,16 @@ def test_recall_like_brute_force(spark, texts):
     assert any(len(c) > similar.LARGE for c in plain_classes(len(texts), expected))
 
 
+def test_cells_like_pairs(monkeypatch):
+    rng = random.Random(2)
+    for columns in (1, 7, 2048):
+        monkeypatch.setattr(similar, "_COLUMNS", columns)
+        sets = [{b"%d" % rng.randrange(12) for _ in range(rng.randrange(9))} for _ in range(60)]
+        at, to = similar.similar_cells(sets[:25], sets[25:], Fraction(4, 5))
+        expected = {(i, j) for i in range(25) for j in range(35) if sets[i] | sets[25 + j] and similar.similar(sets[i], sets[25 + j], Fraction(4, 5))}
+        assert set(zip(at.tolist(), to.tolist(), strict=True)) == expected
+
+
 def test_shared_tokens_over_batches():
     rng = random.Random(5)
     for size in (1, 2, 3, 7, 100):
@@ -72,7 +83,9 @@ def test_shared_tokens_over_batches():
         assert sorted(found) == sorted((t, i) for t, x in ids.items() if len(x) > 1 for i in x)
 
 
-def test_chains_that_pivots_do_not_see(spark):
+@pytest.mark.parametrize("block", [2048, 20])
+def test_chains_that_pivots_do_not_see(spark, monkeypatch, block):
+    monkeypatch.setattr(similar, "BLOCK", block)
     # Texts in a row, each similar to the next only, in one bucket with many near copies of one of them.
     words = [f"c{i}" for i in range(400)]
     chain = [" ".join(["same", "old", "rare", "opening", "words"] * 3 + words[4 * i : 4 * i + 80]) for i in range(60)]
