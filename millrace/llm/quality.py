@@ -180,12 +180,16 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     if not chosen:
         return train([])
     wanted = made.sparkSession.createDataFrame(chosen, f"id {kind}, label int, t1 bigint, t2 bigint")
-    got = made.join(F.broadcast(wanted), ["id", "label", "t1", "t2"]).select(*order, "times", "packed").collect()
-    got.sort(key=lambda r: (r.place, r.id, r.label, r.t1, r.t2))
+    got = made.join(F.broadcast(wanted), ["id", "label", "t1", "t2"]).orderBy(*order).select("label", "times", "bytes", "packed").toArrow()
+    # One array of each kind for all examples: large blocks go back to the system when learning is over, many small ones don't.
+    ends = np.concatenate(([0], np.cumsum(got.column("bytes").to_numpy() // 8)))
+    buckets, shares = np.empty(ends[-1], np.int32), np.empty(ends[-1], np.float32)
     examples = []
-    for r in got:
-        both = np.frombuffer(zlib.decompress(r.packed), np.int32).reshape(2, -1)
-        examples += [(r.label, np.cumsum(both[0], dtype=np.int32), both[1].view(np.float32))] * r.times
+    for i, (label, times, packed) in enumerate(zip(got.column("label").to_pylist(), got.column("times").to_pylist(), got.column("packed"), strict=True)):
+        part, held = slice(ends[i], ends[i + 1]), np.frombuffer(zlib.decompress(packed.as_buffer()), np.int32)
+        np.cumsum(held[: len(held) // 2], out=buckets[part])
+        shares[part] = held[len(held) // 2 :].view(np.float32)
+        examples += [(label, buckets[part], shares[part])] * times
     return train(examples)
 
 
