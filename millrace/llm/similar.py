@@ -76,9 +76,13 @@ def similar_cells(left: list[set[bytes]], right: list[set[bytes]], similarity: F
         part[row[i:j], code[i:j] - begin] = 1
         both += part[: len(left)] @ part[len(left) :].T
     sizes = [np.array([len(x) for x in side], np.int64) for side in (left, right)]
-    shared = both.astype(np.int64)  # exact below 2^24 shingles in common
-    union = sizes[0][:, None] + sizes[1][None, :] - shared
-    return np.nonzero((shared * similarity.denominator >= similarity.numerator * union) & (union > 0))
+    num, den, at, to = similarity.numerator, similarity.denominator, [], []
+    for i, n in enumerate(sizes[0]):  # row by row: a cell needs no more matrices of its size
+        total = n + sizes[1]
+        found = np.flatnonzero((both[i] >= -(-num * total // (num + den))) & (total > 0))  # exact below 2^24 shingles in common
+        at.append(np.full(len(found), i))
+        to.append(found)
+    return (np.concatenate(at), np.concatenate(to)) if at else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
 def _shared_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
