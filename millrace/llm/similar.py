@@ -18,7 +18,7 @@ bounded size, where a component that is linked already is passed over.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from fractions import Fraction
 
 import numpy as np
@@ -59,23 +59,30 @@ def similar(a: set[bytes], b: set[bytes], similarity: Fraction) -> bool:
     return both * den >= num * (len(a) + len(b) - both)
 
 
-def similar_cells(left: list[set[bytes]], right: list[set[bytes]], similarity: Fraction) -> tuple[np.ndarray, np.ndarray]:
-    """Places of all similar pairs of two lists of sets; what they share is counted by products of matrices of some shingles at a time."""
+def similar_cells(left: Iterable[set[bytes]], right: Iterable[set[bytes]], similarity: Fraction) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all similar pairs of two series of sets; what they share is counted by products of matrices of some shingles at a time.
+
+    Sets are taken one by one: only each distinct shingle is held, and a number for each member.
+    """
     codes: dict[bytes, int] = {}
-    row = np.repeat(np.arange(len(left) + len(right)), [len(x) for x in (*left, *right)])
-    code = np.fromiter((codes.setdefault(s, len(codes)) for x in (*left, *right) for s in x), np.int64, len(row))
+    made = [[np.fromiter((codes.setdefault(s, len(codes)) for s in x), np.int32, len(x)) for x in side] for side in (left, right)]
+    sizes = [np.array([len(x) for x in side], np.int64) for side in made]
+    left, right = map(len, sizes)
+    row = np.repeat(np.arange(left + right, dtype=np.int32), np.concatenate(sizes))
+    code = np.concatenate([*made[0], *made[1], np.zeros(0, np.int32)])
     often = np.bincount(code, minlength=len(codes)) > 1
+    codes.clear()
+    made.clear()
     held = often[code]
     row, code = row[held], (np.cumsum(often) - 1)[code[held]]
     order = np.argsort(code, kind="stable")
     row, code = row[order], code[order]
-    both = np.zeros((len(left), len(right)), np.float32)
+    both = np.zeros((left, right), np.float32)
     for begin in range(0, int(often.sum()), _COLUMNS):
         i, j = np.searchsorted(code, [begin, begin + _COLUMNS])
-        part = np.zeros((len(left) + len(right), _COLUMNS), np.float32)
+        part = np.zeros((left + right, _COLUMNS), np.float32)
         part[row[i:j], code[i:j] - begin] = 1
-        both += part[: len(left)] @ part[len(left) :].T
-    sizes = [np.array([len(x) for x in side], np.int64) for side in (left, right)]
+        both += part[:left] @ part[left:].T
     num, den, at, to = similarity.numerator, similarity.denominator, [], []
     for i, n in enumerate(sizes[0]):  # row by row: a cell needs no more matrices of its size
         total = n + sizes[1]
@@ -211,9 +218,8 @@ def similar_links(docs: DataFrame, text_col: str = "text", words: int = 5, simil
 
     def search(group: pa.Table) -> pa.Table:
         ids, label, asks = (np.asarray(group.column(c).combine_chunks()) if c != "asks" else np.array(group.column(c).to_pylist(), bool) for c in ("id", "label", "asks"))
-        sets = [shingles(x.as_py(), words) for x in group.column("body")]
         x, y = np.flatnonzero(asks), np.flatnonzero(~asks)
-        at, to = similar_cells([sets[i] for i in x], [sets[i] for i in y], level)
+        at, to = similar_cells(*((shingles(group.column("body")[int(i)].as_py(), words) for i in side) for side in (x, y)), level)
         at, to = x[at], y[to]
         apart = label[at] != label[to]
         # One link between two components will do.
