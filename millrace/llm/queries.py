@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.licenses import scan, scan_sql
+from millrace.llm.linerules import line_rules, line_rules_sql
 from millrace.llm.media import media_columns
 from millrace.llm.mixing import PART_MEAN, TERMS, replicate
 from millrace.llm.packing import pack
@@ -85,6 +86,13 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op13_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What base and line rules find in all documents, and which are kept."""
+    made = line_rules(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return made.select("doc_id", *base, "n_lines", "n_lines_removed", "lost_chars")
+
+
 OP1_SQL = """
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, encode(coalesce(text, '')) AS e, strlen(coalesce(text, '')) AS n FROM documents),
 w AS (SELECT rid, i, md5(array_slice(e, i + 1, i + 200)) AS k FROM (SELECT rid, e, unnest(range(0, greatest(n - 199, 0))) AS i FROM d)),
@@ -147,6 +155,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_licenses": op9_licenses,
     "op10_quality": op10_quality,
+    "op13_line_rules": op13_line_rules,
 }
 
-ORACLES: dict[str, str] = {"op1_suffix_dedup": OP1_SQL, "op5_mixing": OP5_SQL, "op6_topk": OP6_SQL, "op8_warc": OP8_SQL, "op9_licenses": scan_sql()}
+ORACLES: dict[str, str] = {"op1_suffix_dedup": OP1_SQL, "op5_mixing": OP5_SQL, "op6_topk": OP6_SQL, "op8_warc": OP8_SQL, "op9_licenses": scan_sql(), "op13_line_rules": line_rules_sql()}
