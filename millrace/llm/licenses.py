@@ -75,6 +75,19 @@ SENTENCES = {
     "wtfpl-do": "you just do what the fuck you want to",
     "ofl-line": "this font software is licensed under the sil open font license version 1.1",
     "rights-reserved": "all rights reserved",
+    "apache-title": "apache license version 2.0 january 2004 http www.apache.org licenses",
+    "apache-titles": "apache license version 2.0 january 2004 https www.apache.org licenses",
+    "gpl2-title": "gnu general public license version 2 june 1991",
+    "gpl3-title": "gnu general public license version 3 29 june 2007",
+    "lgpl21-title": "gnu lesser general public license version 2.1 february 1999",
+    "lgpl3-title": "gnu lesser general public license version 3 29 june 2007",
+    "agpl3-title": "gnu affero general public license version 3 19 november 2007",
+}
+
+# Sentences with a part of their own, such as a holder's name; normalised ones match them whole.
+PATTERNS = {
+    "bsd-name": r"^(?:neither )?the names? of [a-z0-9 .+-]+ may (?:not )?be used to endorse or promote products derived from this software without (?:specific )?prior written permission$",
+    "style-see": r"^(?:use of this source code is governed by )?an? [a-z0-9]+-style license that can be found in the (?:license|copying)(?:[.](?:txt|md))? file$",
 }
 
 # Ordered rules: a license and the identifiers that state it, in order.
@@ -122,6 +135,13 @@ RULES = [
     ("CC0-1.0", ["cc0-waive"]),
     ("WTFPL", ["wtfpl-do"]),
     ("OFL-1.1", ["ofl-line"]),
+    ("Apache-2.0", ["apache-title"]),
+    ("Apache-2.0", ["apache-titles"]),
+    ("GPL-2.0-only", ["gpl2-title"]),
+    ("GPL-3.0-only", ["gpl3-title"]),
+    ("LGPL-2.1-only", ["lgpl21-title"]),
+    ("LGPL-3.0-only", ["lgpl3-title"]),
+    ("AGPL-3.0-only", ["agpl3-title"]),
 ]
 
 # SPDX identifiers that expressions may name.
@@ -190,10 +210,20 @@ END_MARK = r"(?m)[ \t]*(?:\*+/|--+>)[ \t\r]*$"
 NUMBER = r"(?m)^[ \t]*(?:[(]?(?:[0-9]{1,2}|[a-z]|[ivx]{2,4})[.)]|-)[ \t]+"
 VERSION = r"\b(v|ver|version)[.][ \t]*([0-9])"
 RUN_END = r"\n[ \t\r]*\n|:[ \t]*\r?\n|[.!?]+['\")]*(?:[ \t]+|\r?\n)|[.!?]+['\")]*[ \t\r]*$"
-#: A statement that names a license, and a line of SPDX.
-STATEMENT = r"^(?:[a-z0-9 ]* )?(?:licensed|released|distributed|available|published|provided|covered) (?:under|by) (?:the |an? )?(?:terms (?:and conditions )?of (?:the |an? )?)?([a-z0-9.+ -]+?)(?: the license)?$"
+#: Full stops in a holder's name end nothing: before "nor", and behind an initial.
+INITIAL = r"\b(names? of [a-z0-9 ,&-]{0,60} [a-z])[.]"
+STOP_NOR = r"[.],?([ \t\r]*\n?[ \t]*nor\b)"
+_GIVEN = "(?:dual-)?(?:licensed|released|distributed|available|published|provided|covered) (?:under|by) "
+#: A statement that names licenses, one that says that it is not so, and a line of SPDX.
+STATEMENT = rf"^(?:[a-z0-9 ]* )?{_GIVEN}(?:the |an? )?(?:terms (?:and conditions )?of (?:the |an? )?)?([a-z0-9.+ -]+?)(?: the license)?$"
+DENIED = rf"^(?:[a-z0-9 ]* )?(?:not|never|nor|neither|cannot|longer|isn t|aren t|wasn t|weren t) (?:[a-z0-9]+ ){{0,2}}{_GIVEN}"
 LINE = r"^(?:[a-z0-9]+ )?license (?:the )?([a-z0-9.+ -]+)$"
 EXPRESSION = r"^spdx-license-identifier ([a-z0-9.+ -]+)$"
+#: What stands between the licenses of a list, and round one.
+LIST = " (?:and|or) (?:the |an? )?"
+CHOICE = r"^either (?:of )?(?:the )?| at your option$"
+#: An expression may name licenses of its own.
+OWN = "licenseref-"
 
 
 def normal(sentence: str) -> str:
@@ -205,42 +235,83 @@ def _known() -> dict[str, str]:
     return {sentence: i for i, sentence in SENTENCES.items()}
 
 
+@cache
+def _patterns() -> list[tuple[str, re.Pattern]]:
+    return [(i, re.compile(p)) for i, p in PATTERNS.items()]
+
+
+def _spdx(part: str) -> str | None:
+    return f"LicenseRef-{part[len(OWN) :]}" if part.startswith(OWN) else spdx_names().get(part)
+
+
+def _named(text: str) -> list[str]:
+    """The licenses that a statement's object names: one, or all of a list."""
+    if text in names():
+        return [names()[text]]
+    parts = re.split(LIST, re.sub(CHOICE, "", text))
+    return [names()[x] for x in parts] if len(parts) > 1 and all(x in names() for x in parts) else []
+
+
 def identifiers_of(sentence: str) -> list[str]:
-    """What a normalised sentence is: a known one, a name of a license (``name:``), or the parts of an SPDX expression (``spdx:``)."""
+    """What a normalised sentence is: a known one, names of licenses (``name:``), or the parts of an SPDX expression (``spdx:``)."""
     if sentence in _known():
         return [_known()[sentence]]
+    for i, pattern in _patterns():
+        if pattern.match(sentence):
+            return [i]
     if found := re.match(EXPRESSION, sentence):
-        return [f"spdx:{spdx_names()[x]}" for x in re.split(" (?:and|or|with) ", found[1]) if x in spdx_names()]
+        return [f"spdx:{x}" for x in map(_spdx, re.split(" (?:and|or|with) ", found[1])) if x]
+    if re.match(DENIED, sentence):
+        return []
     for pattern in (STATEMENT, LINE):
         found = re.match(pattern, sentence)
-        if found and found[1] in names():
-            return [f"name:{names()[found[1]]}"]
+        if found and (named := _named(found[1])):
+            return [f"name:{x}" for x in named]
     return [f"name:{names()[sentence]}"] if sentence.endswith(" license") and sentence in names() else []
 
 
 def identifiers(text: str) -> list[str]:
     """The identifiers of a lower-cased text in order: of each run of lines as a whole, else of its lines."""
-    text = re.sub(VERSION, r"\1 \2", re.sub(NUMBER, "\n\n", re.sub(MARK, "", re.sub(END_MARK, "", text))))
+    text = re.sub(VERSION, r"\1 \2", re.sub(NUMBER, "\n\n", re.sub(STOP_NOR, r"\1", re.sub(INITIAL, r"\1", re.sub(MARK, "", re.sub(END_MARK, "", text))))))
     out = []
     for run in re.split(RUN_END, text):
         out += identifiers_of(normal(run)) or [x for line in run.split("\n") for x in identifiers_of(normal(line))]
     return out
 
 
-@cache
-def _rule_patterns() -> list[tuple[str, re.Pattern, str]]:
-    return [(name, re.compile(_pattern(rule)), _rest(rule, r"\g<{}>")) for name, rule in RULES]
+def matched(found: list[str]) -> set[str]:
+    """The licenses that rules find in a sequence of identifiers.
 
-
-def _pattern(rule: list[str]) -> str:
-    """A rule as a regular expression over identifiers between bars; others may stand between."""
-    first, *rest = (re.escape(i).replace("\\-", "-") for i in rule)
-    return rf"\|{first}\|" + "".join(rf"((?:[^|]*\|)*?){x}\|" for x in rest)
-
-
-def _rest(rule: list[str], group: str) -> str:
-    """What takes the place of a matched rule: the others that stood between."""
-    return "|#|" + "".join(group.format(k + 1) for k in range(len(rule) - 1))
+    A rule takes its first identifier where that comes next, and the others each
+    where they come first after it; it begins again behind its last.  What it
+    takes is used up.  It looks places up in lists, so its time goes with the
+    number of identifiers.
+    """
+    places: dict[str, list[int]] = {}
+    for at, x in enumerate(found):
+        places.setdefault(x, []).append(at)
+    licenses = set()
+    for name, rule in RULES:
+        lists = [places.get(x, []) for x in rule]
+        if not all(lists):
+            continue
+        heads, behind, used = [0] * len(rule), -1, set()
+        while True:
+            taken = []
+            for k, where in enumerate(lists):
+                while heads[k] < len(where) and where[heads[k]] <= behind:
+                    heads[k] += 1
+                if heads[k] == len(where):
+                    break
+                behind = where[heads[k]]
+                taken.append(behind)
+            if len(taken) < len(rule):
+                break
+            licenses.add(name)
+            used.update(taken)
+        for x in set(rule) if used else ():
+            places[x] = [at for at in places[x] if at not in used]
+    return licenses
 
 
 def recognised(text: str) -> tuple[str, str, str]:
@@ -248,13 +319,8 @@ def recognised(text: str) -> tuple[str, str, str]:
     text = text.translate(str.maketrans(_UPPER, _LOWER))
     found = identifiers(text) if any(t in text for t in TRIGGERS) else []
     ids = "|" + "".join(f"{x}|" for x in found)
-    licenses = {x.split(":", 1)[1] for x in found if ":" in x}
-    left = ids
-    for name, pattern, rest in _rule_patterns():
-        if pattern.search(left):
-            licenses.add(name)
-            left = pattern.sub(rest, left)
-    verdict = "known" if licenses else "reserved" if "|rights-reserved|" in ids else "unknown" if found else "none"
+    licenses = {x.split(":", 1)[1] for x in found if ":" in x} | matched(found)
+    verdict = "known" if licenses else "reserved" if "rights-reserved" in found else "unknown" if found else "none"
     return ids, ",".join(sorted(licenses)), verdict
 
 
@@ -295,20 +361,32 @@ def scan_sql(table: str = "documents", id_col: str = "doc_id", text_col: str = "
     def q(pattern: str) -> str:
         return "'" + pattern.replace("'", "''") + "'"
 
+    def rule_pattern(rule: list[str]) -> str:
+        first, *rest = (re.escape(i).replace("\\-", "-") for i in rule)
+        return f"<{first}>" + "".join(f"((?:<[^>]*>)*?)<{x}>" for x in rest)
+
     steps, last, hits = [], "s", []
     for i, (name, rule) in enumerate(RULES):
-        steps.append(f"r{i} AS (SELECT * EXCLUDE (rest), CASE WHEN regexp_matches(rest, {q(_pattern(rule))}) THEN '{name}' END AS hit{i}, regexp_replace(rest, {q(_pattern(rule))}, {q(_rest(rule, chr(92) + '{}'))}, 'g') AS rest FROM {last})")
+        rest = "<#>" + "".join(f"{chr(92)}{k + 1}" for k in range(len(rule) - 1))
+        steps.append(f"r{i} AS (SELECT * EXCLUDE (rest), CASE WHEN regexp_matches(rest, {q(rule_pattern(rule))}) THEN '{name}' END AS hit{i}, regexp_replace(rest, {q(rule_pattern(rule))}, {q(rest)}, 'g') AS rest FROM {last})")
         last = f"r{i}"
         hits.append(f"hit{i}")
     told = " OR ".join(f"contains(body, '{w}')" for w in TRIGGERS)
-    clean = f"regexp_replace(regexp_replace(regexp_replace(regexp_replace(body, {q(END_MARK)}, '', 'g'), {q(MARK)}, '', 'g'), {q(NUMBER)}, chr(10) || chr(10), 'g'), {q(VERSION)}, '\\1 \\2', 'g')"
+    clean = f"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(body, {q(END_MARK)}, '', 'g'), {q(MARK)}, '', 'g'), {q(INITIAL)}, '\\1', 'g'), {q(STOP_NOR)}, '\\1', 'g'), {q(NUMBER)}, chr(10) || chr(10), 'g'), {q(VERSION)}, '\\1 \\2', 'g')"
     norm = r"regexp_replace(regexp_replace(regexp_replace({0}, '[^a-z0-9.+-]+', ' ', 'g'), '^[ .+-]+|[ .-]+$', '', 'g'), '\blicence\b', 'license', 'g')"
 
     def ids(source: str, key: str) -> str:
-        parts = f"list_transform(list_filter(string_split_regex(regexp_extract({key}, {q(EXPRESSION)}, 1), ' (?:and|or|with) '), lambda x: m[x] IS NOT NULL), lambda x: 'spdx:' || m[x])"
-        return f"""SELECT *, CASE WHEN k[{key}] IS NOT NULL THEN [k[{key}]] WHEN regexp_matches({key}, {q(EXPRESSION)}) THEN {parts}
-  WHEN n[regexp_extract({key}, {q(STATEMENT)}, 1)] IS NOT NULL THEN ['name:' || n[regexp_extract({key}, {q(STATEMENT)}, 1)]]
-  WHEN n[regexp_extract({key}, {q(LINE)}, 1)] IS NOT NULL THEN ['name:' || n[regexp_extract({key}, {q(LINE)}, 1)]]
+        spdx = f"CASE WHEN starts_with(x, '{OWN}') THEN 'LicenseRef-' || substr(x, {len(OWN) + 1}) ELSE m[x] END"
+        parts = f"list_filter(list_transform(string_split_regex(regexp_extract({key}, {q(EXPRESSION)}, 1), ' (?:and|or|with) '), lambda x: 'spdx:' || {spdx}), lambda x: x IS NOT NULL)"
+
+        def named(pattern: str) -> str:
+            text = f"regexp_extract({key}, {q(pattern)}, 1)"
+            listed = f"list_transform(string_split_regex(regexp_replace({text}, {q(CHOICE)}, '', 'g'), {q(LIST)}), lambda x: 'name:' || n[x])"
+            return f"""CASE WHEN n[{text}] IS NOT NULL THEN ['name:' || n[{text}]] WHEN len({listed}) > 1 AND len(list_filter({listed}, lambda x: x IS NULL)) = 0 THEN {listed} ELSE [] END"""
+
+        known = " ".join(f"WHEN regexp_matches({key}, {q(p)}) THEN ['{i}']" for i, p in PATTERNS.items())
+        return f"""SELECT *, CASE WHEN k[{key}] IS NOT NULL THEN [k[{key}]] {known} WHEN regexp_matches({key}, {q(EXPRESSION)}) THEN {parts} WHEN regexp_matches({key}, {q(DENIED)}) THEN []
+  WHEN len({named(STATEMENT)}) > 0 THEN {named(STATEMENT)} WHEN len({named(LINE)}) > 0 THEN {named(LINE)}
   WHEN ends_with({key}, ' license') AND n[{key}] IS NOT NULL THEN ['name:' || n[{key}]] ELSE [] END AS ids
   FROM {source}, maps"""
 
@@ -321,7 +399,7 @@ d AS (SELECT row, i, unnest(lines) AS line, generate_subscripts(lines, 1) AS j F
 e AS MATERIALIZED ({ids("(SELECT *, " + norm.format("line") + " AS line_key FROM d)", "line_key")}),
 f AS (SELECT row, i, 0 AS j, ids FROM c UNION ALL SELECT row, i, j, ids FROM e),
 g AS (SELECT row, list(x ORDER BY i, j, place) AS found FROM (SELECT row, i, j, unnest(ids) AS x, generate_subscripts(ids, 1) AS place FROM f) GROUP BY row),
-s AS (SELECT {id_col}, coalesce(found, []) AS found, '|' || coalesce(array_to_string(found, '|') || '|', '') AS sentence_ids, sentence_ids AS rest FROM a LEFT JOIN g USING (row)),
+s AS (SELECT {id_col}, coalesce(found, []) AS found, '|' || coalesce(array_to_string(found, '|') || '|', '') AS sentence_ids, coalesce('<' || array_to_string(found, '><') || '>', '') AS rest FROM a LEFT JOIN g USING (row)),
 {', '.join(steps)},
 t AS (SELECT {id_col}, found, sentence_ids, array_to_string(list_sort(list_distinct(list_filter([{', '.join(hits)}], lambda x: x IS NOT NULL) ||
   list_transform(list_filter(found, lambda x: contains(x, ':')), lambda x: split_part(x, ':', 2)))), ',') AS licenses FROM {last})

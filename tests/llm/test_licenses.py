@@ -137,7 +137,14 @@ TEXTS = {
     "GPL-2.0-or-later": gnu("", "2"), "GPL-3.0-or-later": gnu("", "3"), "LGPL-2.1-or-later": gnu("Lesser ", "2.1", "library"), "LGPL-3.0-or-later": gnu("Lesser ", "3", "library"), "AGPL-3.0-or-later": gnu("Affero ", "3"),
     "GPL-2.0-only": "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License version 2 as\npublished by the Free Software Foundation.\n",
     "GPL-3.0-only": "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License version 3 as\npublished by the Free Software Foundation.\n",
+    "LGPL-2.1-only": "                  GNU LESSER GENERAL PUBLIC LICENSE\n                       Version 2.1, February 1999\n\n Copyright (C) 1991, 1999 Free Software Foundation, Inc.\n",
+    "LGPL-3.0-only": "GNU LESSER GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n", "AGPL-3.0-only": "GNU AFFERO GENERAL PUBLIC LICENSE\nVersion 3, 19 November 2007\n",
 }
+TITLES = {
+    "Apache-2.0": "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS\n",
+    "GPL-3.0-only": "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007\n", "GPL-2.0-only": "GNU GENERAL PUBLIC LICENSE\nVersion 2, June 1991\n",
+}
+HOLDERS = ["Google Inc.", "the University", "the University of California, Berkeley", "John Q. Public", "the <ORGANIZATION>", "Some-One & Sons, Ltd."]
 
 COMMENTS = [
     lambda t: t, lambda t: "x = 1\n\n" + "".join(f"# {x}\n" if x else "#\n" for x in t.splitlines()) + "\ny = 2\n",
@@ -182,6 +189,80 @@ def test_statements(text):
     assert licenses_of(text) == STATEMENTS[text]
 
 
+MORE = {
+    "This file is not licensed under the MIT License.": "", "Not available under the MIT license.": "", "It is no longer released under the GPL v3.": "", "This is not a toy and is licensed under the MIT License.": "MIT",
+    "This crate is dual-licensed under the MIT license and the Apache License 2.0.": "Apache-2.0,MIT", "Licensed under either of Apache License, Version 2.0 or MIT license at your option.": "Apache-2.0,MIT",
+    "Licensed under the MIT license or no such license.": "", "SPDX-License-Identifier: MIT AND LicenseRef-Own-1": "LicenseRef-own-1,MIT", "SPDX-License-Identifier: LicenseRef-x": "LicenseRef-x",
+}
+
+
+@pytest.mark.parametrize("text", MORE)
+def test_denials_and_lists(text):
+    assert licenses_of(text) == MORE[text]
+
+
+@pytest.mark.parametrize("holder", HOLDERS)
+@pytest.mark.parametrize("style", range(len(COMMENTS)))
+def test_bsd_of_any_holder(holder, style):
+    for their in ("its", "their"):
+        name = BSD_NAME.replace("the copyright holder", holder).replace("of its", f"of {their}")
+        assert licenses_of(COMMENTS[style](BSD + name)) == "BSD-3-Clause"
+        assert licenses_of(COMMENTS[style](BSD + BSD_ADVERT + name.replace("3.", "4."))) == "BSD-4-Clause"
+    assert licenses_of(BSD + "3. The name of the author may not be used to endorse or promote products\nderived from this software without specific prior written permission.\n") == "BSD-3-Clause"
+
+
+@pytest.mark.parametrize("name", TITLES)
+def test_titles_of_full_texts(name):
+    assert [licenses_of(style(TITLES[name])) for style in COMMENTS] == [name] * len(COMMENTS)
+
+
+def test_a_style_is_no_license():
+    assert licenses.recognised("Use of this source code is governed by a BSD-style\nlicense that can be found in the LICENSE file.") == ("|style-see|", "", "unknown")
+
+
+def test_copies_of_a_header_take_time_by_their_number():
+    import time
+
+    took = []
+    for n in (500, 2000):
+        began = time.perf_counter()
+        assert licenses_of((BSD + BSD_NAME + "\n" + APACHE + "\n") * n) == "Apache-2.0,BSD-3-Clause"
+        took.append(time.perf_counter() - began)
+    assert took[1] < 12 * took[0]
+
+
+def test_rules_like_plain_scans():
+    """The matcher against a plain one, on generated sequences."""
+    import random
+
+    def plain(found):
+        left, out = list(found), set()
+        for name, rule in licenses.RULES:
+            begin = 0
+            while True:
+                taken, at = [], begin
+                for x in rule:
+                    while at < len(left) and left[at] != x:
+                        at += 1
+                    if at == len(left):
+                        break
+                    taken.append(at)
+                    at += 1
+                if len(taken) < len(rule):
+                    break
+                out.add(name)
+                begin = taken[-1] + 1
+                for at in taken:
+                    left[at] = "#"
+        return out
+
+    rng = random.Random(4)
+    for _ in range(300):
+        rules = rng.sample(licenses.RULES, 4)
+        found = [rng.choice(rng.choice(rules)[1]) for _ in range(rng.randint(0, 25))]
+        assert licenses.matched(found) == plain(found)
+
+
 def test_verdicts():
     assert licenses.recognised("Copyright 2020 Someone. All rights reserved.")[1:] == ("", "reserved")
     assert licenses.recognised(BSD)[2] == "known"
@@ -200,6 +281,7 @@ def test_two_licenses_in_one_text():
 
 def texts():
     plain = [t for style in COMMENTS for t in map(style, TEXTS.values())] + list(STATEMENTS)
+    plain += [*MORE, *TITLES.values(), (BSD + BSD_NAME) * 3, BSD + BSD_NAME + BSD, MIT * 2 + BSD_NAME, *(BSD + BSD_NAME.replace("the copyright holder", h) for h in HOLDERS)]
     return [None, "", *plain, "\n".join(TEXTS.values()), "All rights reserved.", "x " * 200_000 + "\n" + MIT, *plain[:5]]
 
 
