@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from millrace.functions.text import stripped
 from millrace.operators.conversation import QUIT
@@ -56,3 +57,80 @@ def message_counts(messages: DataFrame, time_col: str, delay: str = "10 minutes"
     """Messages by window and role, in event time; what is later than ``delay`` is left out."""
     timed = messages.withWatermark(time_col, delay)
     return timed.groupBy(F.window(time_col, window), "role").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "role", "n")
+
+
+class _Conversation(StatefulProcessor):
+    """A conversation's messages in order, and those that came before one that they follow."""
+
+    def __init__(self, first_turn: int, wait_ms: int | None, ttl_ms: int | None) -> None:
+        self.first_turn, self.wait_ms, self.ttl_ms = first_turn, wait_ms, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.next = handle.getValueState("next", "turn bigint", self.ttl_ms)
+        self.log = handle.getListState("log", "role string, text string", self.ttl_ms)
+        self.waiting = handle.getMapState("waiting", "turn bigint", "role string, text string", self.ttl_ms)
+
+    def _told(self, key: tuple, gaps: bool) -> Iterator[pd.DataFrame]:
+        """Contexts of the user messages that can be put in order now; with ``gaps`` of all that wait."""
+        turn = self.next.get()[0] if self.next.exists() else self.first_turn
+        ready = []
+        if gaps:
+            ready = sorted((k[0], v) for k, v in self.waiting.iterator())
+        else:
+            at = turn
+            while self.waiting.containsKey((at,)):
+                ready.append((at, self.waiting.getValue((at,))))
+                at += 1
+        if not ready:
+            return
+        # What is there already is read once, and only what is new is written.
+        held = [tuple(m) for m in self.log.get()] if self.log.exists() else []
+        out = []
+        for at, message in ready:
+            held.append((message[0], message[1]))
+            self.log.appendValue(held[-1])
+            self.waiting.removeKey((at,))
+            if message[0] == "user":
+                out.append((key[0], at, len(held), "\n".join(m[0] for m in held), "\n".join(m[1] for m in held)))
+        self.next.update((ready[-1][0] + 1,))
+        if out:
+            yield pd.DataFrame(out, columns=["conv_id", "turn", "n_messages", "roles", "texts"])
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        turn = self.next.get()[0] if self.next.exists() else self.first_turn
+        for frame in rows:
+            for row in frame.itertuples():
+                if row.turn >= turn and not self.waiting.containsKey((int(row.turn),)):
+                    self.waiting.updateValue((int(row.turn),), (row.role, row.text or ""))
+        yield from self._told(key, False)
+        if self.wait_ms is None:
+            return
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if any(True for _ in self.waiting.keys()):
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.wait_ms)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ARG002, N802, N803
+        yield from self._told(key, True)
+
+    def close(self) -> None:
+        pass
+
+
+def ordered_contexts(messages: DataFrame, first_turn: int = 0, wait_ms: int | None = None, ttl_ms: int | None = None) -> DataFrame:
+    """The rows of ``live_contexts`` for messages that may come late, out of order or more than once.
+
+    A conversation's turns count from ``first_turn``.  A message waits for those
+    before it; with ``wait_ms``, if they don't come within that time of the
+    conversation's last message, those that wait are put in order without them,
+    and what comes for an earlier turn later is left out.  Of messages with one
+    turn the first counts.  The state is a list that messages are appended to
+    and a map of those that wait, so a message writes itself only; with
+    ``ttl_ms`` entries are dropped that long after they were written.  Either
+    makes Spark look for what is due without end, so such a query is stopped,
+    not awaited.  It needs the session's state store to be the one on RocksDB.
+    """
+    mode = "None" if wait_ms is None and ttl_ms is None else "ProcessingTime"
+    grouped = messages.select("conv_id", "turn", "role", "text").groupBy("conv_id")
+    return grouped.transformWithStateInPandas(_Conversation(first_turn, wait_ms, ttl_ms), CONTEXT, "append", mode)

@@ -187,3 +187,22 @@ def test_settings(monkeypatch):
     monkeypatch.setenv("MILLRACE_MODE", "api")
     monkeypatch.setenv("MILLRACE_API_KEY", "k")
     assert Settings.from_environment().key() == "k"
+
+
+def test_cache_of_repeated_and_null_ids(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "alpha"), (1, "beta gamma"), (None, "alpha"), (None, None), (2, ""), (3, "beta gamma")], DOCS)
+    path, provider = str(tmp_path / "c"), providers.HashEmbedding(dim=8)
+    plain = {t: provider.embed([t])[0] for t in ("alpha", "beta gamma", "")}
+    for _ in range(2):
+        made = sorted(((r.doc_id or -1, r.embedding) for r in cache.embeddings(docs, path, provider).collect()), key=str)
+        assert made == sorted(((i, plain[t]) for i, t in [(1, "alpha"), (1, "beta gamma"), (-1, "alpha"), (-1, ""), (2, ""), (3, "beta gamma")]), key=str)
+    assert spark.read.parquet(f"{path}/mode=offline").count() == 3
+    more = docs.union(spark.createDataFrame([(1, "new"), (1, "new")], DOCS))
+    assert [r.doc_id for r in cache.missing(more, path, "offline").collect()] == [1, 1]
+
+
+def test_cache_lookup_shuffles_no_text(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "alpha"), (2, "beta")], DOCS)
+    cache.embeddings(docs, str(tmp_path / "c"), providers.HashEmbedding())
+    plan = cache.missing(docs, str(tmp_path / "c"), "offline")._jdf.queryExecution().executedPlan().toString()
+    assert all("text" not in line and "body" not in line for line in plan.split("\n") if "Exchange" in line)

@@ -55,3 +55,42 @@ def test_idle_conversations_are_forgotten(spark, tmp_path):
         assert seen(2) == 1
     finally:
         query.stop()
+
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def test_ordered_contexts_of_late_and_repeated_messages(spark, tmp_path):
+    """Three runs on one checkpoint, each with some of the messages, in any order and some of them again."""
+    log = spark.createDataFrame([(c, t, "user" if t % 2 == 0 else "assistant", None if (c, t) == (1, 3) else f"{c}-{t}") for c in range(4) for t in range(7)], LOG)
+    part = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(3))
+    old = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    try:
+        for i in range(3):
+            log.where(part == i).union(log.where((part <= i) & (F.col("turn") % 3 == 0))).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+            stream = spark.readStream.schema(LOG).parquet(str(tmp_path / "in"))
+            query = live.ordered_contexts(stream).writeStream.outputMode("append").option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).format("parquet").start(str(tmp_path / "out"))
+            query.awaitTermination()
+        rows = spark.read.parquet(str(tmp_path / "out")).collect()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
+    expected = {(r.conv_id, r.turn): [m.text or "" for m in r.context] for r in contexts(log).collect()}
+    assert len(rows) == len(expected) and {(r.conv_id, r.turn): r.texts.split("\n") for r in rows} == expected
+
+
+def test_what_waits_too_long_goes_on(spark, tmp_path):
+    spark.createDataFrame([(1, 0, "user", "a"), (1, 2, "user", "c"), (1, 3, "user", "d")], LOG).coalesce(1).write.parquet(str(tmp_path / "in"))
+    old = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    try:
+        stream = spark.readStream.schema(LOG).parquet(str(tmp_path / "in"))
+        query = live.ordered_contexts(stream, wait_ms=1000, ttl_ms=600_000).writeStream.outputMode("append").format("memory").queryName("waits").start()
+        for _ in range(150):
+            if spark.table("waits").count() == 3:
+                break
+            time.sleep(0.2)
+        query.stop()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
+    assert {(r.turn, r.texts) for r in spark.table("waits").collect()} == {(0, "a"), (2, "a\nc"), (3, "a\nc\nd")}
