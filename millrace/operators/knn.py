@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.vectors import linspace
+from millrace.operators.metric import MetricIndex
 from millrace.operators.nearest import nearest
 
 DEFAULT_K = 5
@@ -16,13 +17,18 @@ def vote(neighbours: DataFrame, label_col: str = "label") -> DataFrame:
     return neighbours.groupBy("query_id").agg(F.mode(label_col, True).alias(label_col))
 
 
-def classify(queries: DataFrame, train: DataFrame, k: int = DEFAULT_K, others_only: bool = False) -> DataFrame:
-    """``query_id`` and ``label`` by a vote of the k nearest rows of ``train(id, v, label)``; of all rows if there are fewer."""
+def classify(queries: DataFrame, train: DataFrame, k: int = DEFAULT_K, others_only: bool = False, cells: int | None = None) -> DataFrame:
+    """``query_id`` and ``label`` by a vote of the k nearest rows of ``train(id, v, label)``; of all rows if there are fewer.
+
+    Each row has one vote, also where ids are repeated.  With ``cells`` the
+    rows are in so many cells of an index, of which a query sees only those
+    that can hold a neighbour; the result is the same.
+    """
     if not train.limit(1).count():
         raise ValueError("there are no training rows")
-    found = nearest(queries, train, k, "euclidean", others_only)
-    # The lists are k rows a query; labels join them by id.
-    return vote(found.join(train.select("id", "label"), "id"))
+    if cells:
+        return vote(MetricIndex(train, cells, carry="label").search(queries, k, others_only))
+    return vote(nearest(queries, train, k, "euclidean", others_only, carry="label"))
 
 
 def bounds(points: DataFrame, x: str = "x", y: str = "y", padding: float = 1.5) -> tuple[float, float, float, float]:

@@ -9,11 +9,15 @@ from pyspark.sql import functions as F
 
 from millrace.functions.vectors import cosine, doubles, euclidean, norm, total
 from millrace.operators import conversation, descent, embedding, knn, pca, tables
+from millrace.operators.ann import AnnIndex
+from millrace.operators.metric import MetricIndex
 from millrace.operators.nearest import nearest, ranked
+from millrace.operators.ordered import as_of, overlapping
 from millrace.sources import cache
 from millrace.sources.files import load_documents, load_histories, load_table, save, save_histories
 from millrace.sources.providers import EchoChat, HashEmbedding, replies
 from millrace.sources.shared import materialize, shared_dir
+from millrace.streaming.conversation import ordered_contexts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -151,6 +155,61 @@ def knn_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.classify(v.where("id % 50 = 0"), v, 5, others_only=True)
 
 
+@registered("""WITH s AS (SELECT q.vec_id AS query_id, c.vec_id, list_distance(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS d
+  FROM embeddings q JOIN embeddings c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank, vec_id, d FROM s)
+SELECT query_id, rank::INT AS rank, vec_id, round(d, 6) AS distance FROM r WHERE rank <= 10""")
+def knn_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest other vectors of each whose id is divisible by 50, by an index of cells around pivots."""
+    v = load_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    found = MetricIndex(v).search(v.where("id % 50 = 0"), 10, others_only=True)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), F.round("value", 6).alias("distance"))
+
+
+@registered()
+def ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """About the ten nearest other vectors of each whose id is divisible by 50, by inverted lists; tests hold its recall against brute force."""
+    v = load_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    found = AnnIndex(v, lists=32).search(v.where("id % 50 = 0"), 10, probe=20, depth=400, others_only=True)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), F.round("value", 6).alias("distance"))
+
+
+@registered("""SELECT event_id, e.user_id, e.ts, o.o_orderkey, o.o_orderdate FROM events e ASOF LEFT JOIN
+  (SELECT o_custkey, o_orderdate, max(o_orderkey) AS o_orderkey FROM (SELECT o_custkey, o_orderdate + INTERVAL 9 YEAR AS o_orderdate, o_orderkey FROM orders) GROUP BY ALL) o
+  ON e.user_id = o.o_custkey AND e.ts >= o.o_orderdate""")
+def events_as_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event with its user's last order before it, orders being nine years on so that they reach into the events' time."""
+    events = load_table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+    orders = load_table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("user_id"), F.expr("o_orderdate + INTERVAL 9 YEAR").alias("o_orderdate"), "o_orderkey")
+    return as_of(events, orders, "user_id", "ts", "o_orderdate", ["o_orderkey"]).select("event_id", "user_id", "ts", "o_orderkey", "o_orderdate")
+
+
+@registered("""SELECT click_id, c.ts, c.client_id, s.sale_id, s.sold_at, s.total FROM clicks c ASOF LEFT JOIN
+  (SELECT client_id, sold_at, max(sale_id) AS sale_id, arg_max(total, sale_id) AS total FROM (SELECT client_id, sold_at, sale_id, coalesce(total, -1) AS total FROM sales) WHERE client_id IS NOT NULL AND sold_at IS NOT NULL GROUP BY ALL) s
+  ON c.client_id = s.client_id AND c.ts >= s.sold_at""")
+def clicks_as_of_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every click with its client's last sale before it; clients without an id, and times that are missing, match nothing."""
+    clicks = load_table(spark, sf_dir, "clicks").select("click_id", "ts", "client_id")
+    sales = load_table(spark, sf_dir, "sales").select("client_id", "sold_at", "sale_id", F.coalesce("total", F.lit(-1.0)).alias("total"))
+    return as_of(clicks, sales, "client_id", "ts", "sold_at", ["sale_id"]).select("click_id", "ts", "client_id", "sale_id", "sold_at", "total")
+
+
+_SHIPMENTS = """s AS (SELECT l_orderkey * 8 + l_linenumber AS line_id, l_partkey, o_orderdate, l_shipdate FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
+
+
+@registered(f"""WITH {_SHIPMENTS} SELECT a.line_id AS line_a, b.line_id AS line_b FROM s a JOIN s b
+  ON a.l_partkey = b.l_partkey AND a.line_id < b.line_id AND a.o_orderdate <= b.l_shipdate AND b.o_orderdate <= a.l_shipdate
+  WHERE a.o_orderdate <= a.l_shipdate AND b.o_orderdate <= b.l_shipdate""")
+def shipments_under_way(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of order lines of one part of which both were ordered and not yet shipped at some time."""
+    orders = load_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    lines = load_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate")
+    spans = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("line_id"), "l_partkey", "o_orderdate", "l_shipdate")
+    span = ("o_orderdate", "l_shipdate")
+    pairs = overlapping(spans.withColumnRenamed("line_id", "line_a"), spans.withColumnRenamed("line_id", "line_b"), ["l_partkey"], span, span, "line_a", "line_b")
+    return pairs.where("line_a < line_b")
+
+
 _AXIS = f"CASE WHEN {{0}} = {GRID - 1} THEN {{2}} ELSE {{0}}::DOUBLE * (({{2}} - {{1}}) / {GRID - 1}::DOUBLE) + {{1}} END"
 
 
@@ -321,6 +380,25 @@ def conversation_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", F.size("context").cast("bigint").alias("n_messages"), F.md5(F.array_join(lines, "\n").cast("binary")).alias("context_md5"))
 
 
+@registered("""SELECT conv_id, turn, n_messages, context_md5 FROM (SELECT conv_id, turn, role, count(*) OVER w AS n_messages,
+  md5(string_agg(coalesce(text, ''), chr(10)) OVER w) AS context_md5 FROM conversations
+  WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)) WHERE role = 'user'""")
+def conversation_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same contexts from a stream that is started three times on one checkpoint, and gets messages in no order and some of them again."""
+    log, folder = load_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"), shared_dir(spark)
+    third, store = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(3)), "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(store)
+    spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for i in range(3):
+            log.where((third == i) | ((third < i) & (F.col("turn") % 3 == 0))).write.mode("append").parquet(f"{folder}/in")
+            told = ordered_contexts(spark.readStream.schema(log.schema).parquet(f"{folder}/in"))
+            told.writeStream.outputMode("append").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).format("parquet").start(f"{folder}/out").awaitTermination()
+    finally:
+        spark.conf.set(store, before)
+    return spark.read.parquet(f"{folder}/out").select("conv_id", "turn", "n_messages", F.md5(F.col("texts").cast("binary")).alias("context_md5"))
+
+
 @registered("""SELECT conv_id, turn, role, text FROM (SELECT *, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS after FROM conversations)
 WHERE role <> 'user' OR after = 'assistant'""")
 def conversation_atomic(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -393,13 +471,6 @@ def embedding_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.coalesce("computed", F.lit(False)).alias("computed"), F.round(total(F.col("embedding")), 6).alias("total"))
 
 
-@registered("""WITH q AS (SELECT conv_id, min(turn) AS ends FROM conversations WHERE role = 'user' AND lower(trim(text, chr(32) || chr(9) || chr(10) || chr(13))) = 'quit' GROUP BY conv_id)
-SELECT c.conv_id, turn, role, text FROM conversations c LEFT JOIN q ON q.conv_id = c.conv_id
-WHERE (ends IS NULL OR turn < ends) AND (role <> 'user' OR length(trim(coalesce(text, ''), chr(32) || chr(9) || chr(10) || chr(13))) > 0)""")
-def nonblank_until_quit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return conversation.session_input(load_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
-
-
 @registered("""SELECT conv_id, turn, '[' || n || '] ' || text AS reply, NULL::VARCHAR AS error FROM
   (SELECT *, count(*) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS n FROM conversations) WHERE role = 'user'""")
 def conversation_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
