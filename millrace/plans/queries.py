@@ -248,42 +248,58 @@ def centroid_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, F.col("label_a") < F.col("label_b")).select("label_a", "label_b", F.round(cosine(F.col("a"), F.col("b")), 6).alias("similarity"))
 
 
-_SWEEP = f"""runs AS (SELECT * FROM (VALUES {', '.join(f'({i}, {r}::DOUBLE)' for i, r in enumerate(RATES))}) v(run_id, rate)),
-path AS (SELECT run_id, rate, 0 AS step, 0.0::DOUBLE AS x FROM runs
+_SWEEP = f"""runs AS (SELECT vec_id * {len(RATES)} + i AS run_id, rate, embedding[1]::DOUBLE AS start FROM embeddings, (VALUES {', '.join(f'({i}, {r}::DOUBLE)' for i, r in enumerate(RATES))}) v(i, rate)),
+path AS (SELECT run_id, rate, 0 AS step, start AS x FROM runs
   UNION ALL SELECT run_id, rate, step + 1, x - rate * ((x - 3.0::DOUBLE) * 2.0::DOUBLE) FROM path WHERE step < 30)"""
 
 
-def _sweep(spark: SparkSession) -> DataFrame:
-    return descent.descend(spark.createDataFrame([(i, 0.0, r, 30) for i, r in enumerate(RATES)], "run_id int, start double, rate double, steps int"))
+def _sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    starts = load_table(spark, sf_dir, "embeddings").select("vec_id", doubles(F.col("embedding"))[0].alias("start"))
+    rates = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(r).alias("rate")) for i, r in enumerate(RATES)))
+    runs = starts.select("vec_id", "start", F.inline(rates))
+    return descent.descend(runs.select((F.col("vec_id") * len(RATES) + F.col("i")).alias("run_id"), "start", "rate", F.lit(30).alias("steps")))
 
 
 @registered(f"WITH RECURSIVE {_SWEEP} SELECT run_id, step, round(x, 6) AS x, round((x - 3.0::DOUBLE) * (x - 3.0::DOUBLE), 6) AS loss FROM path")
-def gd_1d_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:  # noqa: ARG001
-    """Thirty steps on (x - 3)^2 at three rates."""
-    return _sweep(spark).select("run_id", "step", F.round("x", 6).alias("x"), F.round("loss", 6).alias("loss"))
+def gd_1d_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thirty steps on (x - 3)^2 at three rates from the first component of every vector."""
+    return _sweep(spark, sf_dir).select("run_id", "step", F.round("x", 6).alias("x"), F.round("loss", 6).alias("loss"))
 
 
 @registered(f"WITH RECURSIVE {_SWEEP} SELECT run_id, step, round(x, 6) AS x, round((x - 3.0::DOUBLE) * (x - 3.0::DOUBLE), 6) AS loss FROM path WHERE step = 30")
-def gd_1d_final(spark: SparkSession, sf_dir: str) -> DataFrame:  # noqa: ARG001
-    return descent.last_step(_sweep(spark)).select("run_id", "step", F.round("x", 6).alias("x"), F.round("loss", 6).alias("loss"))
+def gd_1d_final(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return descent.last_step(_sweep(spark, sf_dir)).select("run_id", "step", F.round("x", 6).alias("x"), F.round("loss", 6).alias("loss"))
 
 
-@registered("""WITH RECURSIVE path AS (SELECT 0 AS run_id, 0 AS step, 4.0::DOUBLE AS x, 3.0::DOUBLE AS y
+@registered("""WITH RECURSIVE path AS (SELECT vec_id AS run_id, 0 AS step, embedding[1]::DOUBLE * 4.0::DOUBLE AS x, embedding[2]::DOUBLE * 3.0::DOUBLE AS y FROM embeddings
   UNION ALL SELECT run_id, step + 1, x - 0.15::DOUBLE * (x * 2.0::DOUBLE), y - 0.15::DOUBLE * (y * 10.0::DOUBLE) FROM path WHERE step < 40)
 SELECT run_id, step, round(x, 9) + 0.0 AS x, round(y, 9) + 0.0 AS y, round(x * x + y * y * 5.0::DOUBLE, 9) + 0.0 AS loss FROM path""")
-def gd_2d_path(spark: SparkSession, sf_dir: str) -> DataFrame:  # noqa: ARG001
-    """Forty steps on x^2 + 5 y^2 from (4, 3) at rate 0.15."""
-    rows = descent.descend_2d(spark.createDataFrame([(0, 4.0, 3.0, 0.15, 40)], "run_id int, x double, y double, rate double, steps int"))
-    return rows.select("run_id", "step", *((F.round(c, 9) + F.lit(0.0)).alias(c) for c in ("x", "y", "loss")))
-
-
-@registered("""WITH g AS (SELECT i // 200 AS gi, i % 200 AS gj,
-  CASE WHEN i % 200 = 199 THEN 5.0::DOUBLE ELSE (i % 200)::DOUBLE * (10.0::DOUBLE / 199.0::DOUBLE) + -5.0::DOUBLE END AS gx,
-  CASE WHEN i // 200 = 199 THEN 4.0::DOUBLE ELSE (i // 200)::DOUBLE * (8.0::DOUBLE / 199.0::DOUBLE) + -4.0::DOUBLE END AS gy FROM range(0, 40000) r(i))
+def gd_2d_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forty steps on x^2 + 5 y^2 at rate 0.15, from the first two components of every vector, four and three times as large."""
+    v = doubles(F.col("embedding"))
+    runs = load_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("run_id"), (v[0] * 4.0).alias("x"), (v[1] * 3.0).alias("y"), F.lit(0.15).alias("rate"), F.lit(40).alias("steps"))
+    return descent.descend_2d(runs).select("run_id", "step", *((F.round(c, 9) + F.lit(0.0)).alias(c) for c in ("x", "y", "loss")))
+
+
+@registered("""WITH m AS (SELECT avg(l_quantity) AS mx, avg(l_discount) AS mz, avg(l_extendedprice) AS my, var_pop(l_quantity) AS xx, var_pop(l_discount) AS zz,
+  covar_pop(l_quantity, l_discount) AS xz, covar_pop(l_quantity, l_extendedprice) AS xy, covar_pop(l_discount, l_extendedprice) AS zy FROM lineitem),
+s AS (SELECT *, (xy * zz - zy * xz) / (xx * zz - xz * xz) AS a, (zy * xx - xy * xz) / (xx * zz - xz * xz) AS b FROM m)
+SELECT name, round(value, 4) AS value FROM (SELECT unnest(['l_quantity', 'l_discount', 'intercept']) AS name, unnest([a, b, my - a * mx - b * mz]) AS value FROM s)""")
+def gd_least_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What descent on all order lines finds for the price by quantity and discount; the SQL has the closed form."""
+    found, _ = descent.least_squares(load_table(spark, sf_dir, "lineitem"), ["l_quantity", "l_discount"], "l_extendedprice")
+    return spark.createDataFrame(list(found.items()), "name string, value double").select("name", F.round("value", 4).alias("value"))
+
+
+@registered(f"""WITH b AS (SELECT min(embedding[1]::DOUBLE) - {PADDING}::DOUBLE AS x0, max(embedding[1]::DOUBLE) + {PADDING}::DOUBLE AS x1,
+  min(embedding[2]::DOUBLE) - {PADDING}::DOUBLE AS y0, max(embedding[2]::DOUBLE) + {PADDING}::DOUBLE AS y1 FROM embeddings),
+g AS (SELECT i // {GRID} AS gi, i % {GRID} AS gj, {_AXIS.format(f'(i % {GRID})', 'x0', 'x1')} AS gx, {_AXIS.format(f'(i // {GRID})', 'y0', 'y1')} AS gy FROM range(0, {GRID * GRID}) r(i), b)
 SELECT gi::INT AS gi, gj::INT AS gj, round(gx, 9) AS gx, round(gy, 9) AS gy, round(gx * gx + gy * gy * 5.0::DOUBLE, 9) AS z FROM g""")
-def surface_grid(spark: SparkSession, sf_dir: str) -> DataFrame:  # noqa: ARG001
-    """x^2 + 5 y^2 on 200 x 200 points."""
-    rows = descent.surface(knn.grid(spark, (-5.0, 5.0, 200), (-4.0, 4.0, 200)))
+def surface_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """x^2 + 5 y^2 on 200 x 200 points round the vectors' first two components."""
+    t = load_table(spark, sf_dir, "embeddings").select(*(doubles(F.col("embedding"))[i].alias(c) for i, c in enumerate("xy")))
+    x0, x1, y0, y1 = knn.bounds(t, padding=PADDING)
+    rows = descent.surface(knn.grid(spark, (x0, x1, GRID), (y0, y1, GRID)))
     return rows.select("gi", "gj", *(F.round(c, 9).alias(c) for c in ("gx", "gy", "z")))
 
 

@@ -104,3 +104,17 @@ def test_tables(spark):
     assert tables.distinct_values(df, "t").count() == 2
     r = descent.last_step(descent.descend(spark.createDataFrame([(0, 1.0, 0.1, 3)], "run_id int, start double, rate double, steps int"))).first()
     assert r.step == 3
+
+
+def test_least_squares(spark):
+    rng = random.Random(0)
+    rows = [(float(i % 17), rng.random(), 5.0, None if i == 3 else 3.0 * (i % 17) - 2.0 + rng.random()) for i in range(400)]
+    table = spark.createDataFrame(rows, "a double, b double, flat double, y double").repartition(3)
+    found, path = descent.least_squares(table, ["a", "b", "flat"], "y")
+    kept = np.array([r for r in rows if r[3] is not None])
+    exact = np.linalg.lstsq(np.column_stack([kept[:, :2], np.ones(len(kept))]), kept[:, 3], rcond=None)[0]
+    assert np.allclose([found["a"], found["b"], found["intercept"]], exact, atol=1e-8) and found["flat"] == 0
+    steps = path.orderBy("step").collect()
+    assert all(x.loss >= y.loss - 1e-12 for x, y in zip(steps, steps[1:])) and steps[-1].moved <= 1e-12 and len(steps) < 200
+    with pytest.raises(ValueError):
+        descent.least_squares(table.limit(0), ["a"], "y")
