@@ -15,6 +15,7 @@ from millrace.operators.nearest import nearest, ranked
 from millrace.operators.ordered import as_of, overlapping
 from millrace.sources import cache
 from millrace.sources.files import load_documents, load_histories, load_table, save, save_histories
+from millrace.sources.jsonarrays import load_array, save_array
 from millrace.sources.providers import EchoChat, HashEmbedding, replies
 from millrace.sources.shared import materialize, shared_dir
 from millrace.streaming.conversation import ordered_contexts
@@ -473,6 +474,14 @@ def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load_documents(spark, path, lines=True)
 
 
+@registered("SELECT doc_id AS id, source AS topic, coalesce(text, '') AS text FROM documents")
+def document_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents saved as JSON arrays and loaded from parts of their files."""
+    path = f"{shared_dir(spark)}/arrays"
+    save_array(load_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("topic"), "text"), path)
+    return load_array(spark, path, part_bytes=1 << 20)
+
+
 @registered(f"""WITH edited AS (SELECT doc_id, doc_id % 10 = 0 AS computed, CASE WHEN doc_id % 10 = 0 THEN coalesce(text, '') || ' edited' ELSE text END AS text FROM documents),
 {_BAGS.replace("FROM documents", "FROM edited")}, norms AS (SELECT doc_id, sum(n * n)::BIGINT AS s, sum(n)::BIGINT AS t FROM bags GROUP BY doc_id)
 SELECT doc_id, computed, round(coalesce(t / sqrt(s::DOUBLE), 0.0), 6) AS total FROM edited LEFT JOIN norms USING (doc_id)""")
