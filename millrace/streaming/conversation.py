@@ -134,3 +134,22 @@ def ordered_contexts(messages: DataFrame, first_turn: int = 0, wait_ms: int | No
     mode = "None" if wait_ms is None and ttl_ms is None else "ProcessingTime"
     grouped = messages.select("conv_id", "turn", "role", "text").groupBy("conv_id")
     return grouped.transformWithStateInPandas(_Conversation(first_turn, wait_ms, ttl_ms), CONTEXT, "append", mode)
+
+
+def replied(messages: DataFrame, time_col: str, within: str = "10 minutes", delay: str = "10 minutes") -> DataFrame:
+    """Each user message with the assistant's message of the next turn: ``conv_id``, ``turn``, ``asked``, ``text``, ``answered``, ``reply``.
+
+    A reply counts if it is at most ``within`` later and not earlier than its
+    request; a request that gets none has nulls, and comes out once the
+    watermark, ``delay`` behind the latest message, is past its time.  Both
+    sides' state goes then too.  Messages later than the watermark are left out,
+    repeated ones are rows of their own, and messages without a time, turn or
+    conversation are left out.  On a table the result is that
+    of the whole stream.
+    """
+    timed = messages.withWatermark(time_col, delay).dropna(subset=["conv_id", "turn", time_col])
+    asked = timed.where(F.col("role") == "user").select("conv_id", "turn", F.col(time_col).alias("asked"), "text")
+    answers = timed.where(F.col("role") == "assistant").select(F.col("conv_id").alias("a_conv"), (F.col("turn") - 1).alias("a_turn"), F.col(time_col).alias("answered"), F.col("text").alias("reply"))
+    near = (F.col("answered") >= F.col("asked")) & (F.col("answered") <= F.col("asked") + F.expr(f"INTERVAL {within}"))
+    met = asked.join(answers, (F.col("conv_id") == F.col("a_conv")) & (F.col("turn") == F.col("a_turn")) & near, "left")
+    return met.select("conv_id", "turn", "asked", "text", "answered", "reply")

@@ -1,4 +1,5 @@
 import time
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -94,3 +95,28 @@ def test_what_waits_too_long_goes_on(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
     assert {(r.turn, r.texts) for r in spark.table("waits").collect()} == {(0, "a"), (2, "a\nc"), (3, "a\nc\nd")}
+
+
+def test_replies_as_in_batch(spark, tmp_path):
+    """Replies before and after their requests' files, late, too late, repeated and missing ones."""
+    schema = f"{LOG}, ts timestamp"
+
+    def row(conv, turn, role, minute, text="x"):
+        return (conv, turn, role, text, None if minute is None else 60 * (minute + 1000))
+
+    parts = [
+        [row(1, 0, "user", 0), row(1, 1, "assistant", 3), row(2, 0, "user", 1), row(3, 1, "assistant", 5), row(4, 0, "user", 2), row(5, 0, "user", None), row(None, 0, "user", 3)],
+        [row(2, 1, "assistant", 4, "late"), row(3, 0, "user", 4), row(3, 1, "assistant", 6, "again"), row(6, 0, "user", 8), row(6, 1, "assistant", 7, "before")],
+        [row(6, 1, "assistant", 30, "too late"), row(7, 0, "user", 30), row(7, 1, "assistant", 31)],
+        [row(9, 0, "assistant", 500)],
+        [row(9, 0, "assistant", 501)],
+    ]
+    made = [spark.createDataFrame(p, f"{LOG}, s bigint").selectExpr("conv_id", "turn", "role", "text", "timestamp_seconds(s) as ts") for p in parts]
+    for i, part in enumerate(made):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(1.1)  # files are read in order of their times
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    found = drained(live.replied(stream, "ts"), "replied")
+    whole = live.replied(spark.read.schema(schema).parquet(str(tmp_path / "in")), "ts")
+    assert Counter(map(tuple, found.collect())) - Counter(map(tuple, whole.collect())) == Counter() == Counter(map(tuple, whole.collect())) - Counter(map(tuple, found.collect()))
+    assert {(r.conv_id, r.reply) for r in found.collect()} == {(1, "x"), (2, "late"), (3, "x"), (3, "again"), (4, None), (6, None), (7, "x")}
