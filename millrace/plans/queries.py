@@ -18,6 +18,7 @@ from millrace.sources.files import load_documents, load_histories, load_table, s
 from millrace.sources.jsonarrays import load_array, save_array
 from millrace.sources.providers import EchoChat, HashEmbedding, replies
 from millrace.sources.shared import materialize, shared_dir
+from millrace.sources.versions import load_version, save_version
 from millrace.streaming.conversation import ordered_contexts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -466,6 +467,17 @@ def history_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load_histories(spark, path)
 
 
+@registered("""SELECT 1 AS version, conv_id, turn, role, text FROM conversations WHERE turn < 3
+UNION ALL SELECT 2, conv_id, turn, role, text FROM conversations""")
+def history_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two versions of a table of conversations, the second made of the first and the turns that it lacks; both are read at the end."""
+    log, path = load_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"), f"{shared_dir(spark)}/versions"
+    first = save_version(log.where("turn < 3"), path)
+    pinned = load_version(spark, path)
+    second = save_version(pinned.union(log.where("turn >= 3")), path)
+    return pinned.select(F.lit(first).alias("version"), "*").union(load_version(spark, path).select(F.lit(second), "*"))
+
+
 @registered("SELECT doc_id AS id, source AS topic, coalesce(text, '') AS text FROM documents")
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents saved as JSON and loaded; null texts are left out of the file."""
