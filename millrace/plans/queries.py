@@ -13,6 +13,7 @@ from millrace.operators.ann import AnnIndex
 from millrace.operators.metric import MetricIndex
 from millrace.operators.nearest import nearest, ranked
 from millrace.operators.ordered import as_of, overlapping
+from millrace.plans import sqlsearch
 from millrace.sources import cache
 from millrace.sources.files import load_documents, load_histories, load_table, save, save_histories
 from millrace.sources.jsonarrays import load_array, save_array
@@ -95,6 +96,13 @@ def semantic_search_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding.search(load_table(spark, sf_dir, "documents"), SEARCHES[:1], TOP)
 
 
+@registered(f"SELECT rank, doc_id, score FROM ({_search_sql(SEARCHES[:1], TOP)})")
+def search_from_sql_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by a table function that SQL text calls."""
+    load_table(spark, sf_dir, "documents").createOrReplaceTempView("millrace_documents")
+    return sqlsearch.search(spark, "millrace_documents", SEARCHES[0], TOP)
+
+
 @registered(_search_sql(SEARCHES, 3))
 def semantic_search_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three documents most like each of three queries."""
