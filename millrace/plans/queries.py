@@ -13,6 +13,7 @@ from millrace.operators.ann import AnnIndex
 from millrace.operators.metric import MetricIndex
 from millrace.operators.nearest import nearest, ranked
 from millrace.operators.ordered import as_of, overlapping
+from millrace.operators.wide_pca import fit_wide
 from millrace.plans import sqlsearch
 from millrace.sources import cache
 from millrace.sources.files import load_documents, load_histories, load_table, save, save_histories
@@ -382,13 +383,16 @@ def _leading(matrix: str, name: str, squarings: int = 16) -> str:
     return ", ".join(steps)
 
 
-@registered(f"""WITH {_PARTS}, means AS MATERIALIZED (SELECT pos, avg(x) AS m FROM p GROUP BY pos),
+_TWO_SCORES = f"""WITH {_PARTS}, means AS MATERIALIZED (SELECT pos, avg(x) AS m FROM p GROUP BY pos),
 cov AS MATERIALIZED (SELECT a.pos AS i, b.pos AS j, covar_samp(a.x, b.x) AS v FROM p a JOIN p b USING (vec_id) GROUP BY ALL),
 {_leading("cov", "one")}, top AS (SELECT sum(x.c * v * y.c) AS l FROM cov JOIN one x ON x.pos = i JOIN one y ON y.pos = j),
 rest AS MATERIALIZED (SELECT i, j, v - l * x.c * y.c AS v FROM cov JOIN one x ON x.pos = i JOIN one y ON y.pos = j, top),
 {_leading("rest", "two")}
 SELECT vec_id, label, round(pc1, 9) AS pc1, round(pc2, 9) AS pc2 FROM embeddings JOIN
-  (SELECT vec_id, sum((x - m) * one.c) AS pc1, sum((x - m) * two.c) AS pc2 FROM p JOIN means USING (pos) JOIN one USING (pos) JOIN two USING (pos) GROUP BY vec_id) USING (vec_id)""")
+  (SELECT vec_id, sum((x - m) * one.c) AS pc1, sum((x - m) * two.c) AS pc2 FROM p JOIN means USING (pos) JOIN one USING (pos) JOIN two USING (pos) GROUP BY vec_id) USING (vec_id)"""
+
+
+@registered(_TWO_SCORES)
 def pca_2d_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector's scores on the first two components."""
     rows = load_table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("v"), "label")
@@ -396,6 +400,14 @@ def pca_2d_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("vec_id", "label", F.round(F.col("s")[0], 9).alias("pc1"), F.round(F.col("s")[1], 9).alias("pc2"))
 
 
+@registered(_TWO_SCORES.replace("round(pc1, 9)", "round(pc1, 6)").replace("round(pc2, 9)", "round(pc2, 6)"))
+def pca_2d_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same without a covariance matrix, by random directions; as many as the vectors are wide, so exact."""
+    rows = load_table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("v"), "label")
+    scores = fit_wide(rows, 2, more=62, rounds=2).project(rows, "vec_id")
+    return rows.select("vec_id", "label").join(scores, "vec_id").select("vec_id", "label", F.round(F.col("scores")[0], 6).alias("pc1"), F.round(F.col("scores")[1], 6).alias("pc2"))
+
+
 @registered("""SELECT conv_id, turn, n_messages, context_md5 FROM (SELECT conv_id, turn, role, count(*) OVER w AS n_messages,
   md5(string_agg(role || ':' || coalesce(text, ''), chr(10)) OVER w) AS context_md5 FROM conversations
   WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)) WHERE role = 'user'""")
