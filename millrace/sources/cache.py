@@ -11,6 +11,8 @@ from millrace.sources.providers import PASSAGE, Embedding, HashEmbedding, Provid
 from millrace.sources.shared import materialize
 
 
+#: New hashes that are sent to all tasks at most, 64 bytes each.
+BROADCAST_HASHES = 100_000
 SCHEMA = "content_hash string, dim int, embedding array<double>"
 
 
@@ -42,7 +44,8 @@ def embeddings(docs: DataFrame, path: str, provider: Embedding, id_col: str = "d
     Entries are keyed by the hash of the text and the provider's mode, so an
     edited text is embedded again, equal texts are embedded once whatever their
     ids, and modes don't mix; ids may repeat or be null.  What is shuffled to
-    find out is hashes; only texts that the cache lacks move on to the provider.
+    find out is hashes.  Texts stay where they are for the offline provider; for
+    others those that the cache lacks move, so that each is asked for once.
     New rows are written first; rows of another width than the mode's are an
     error and nothing is kept.  With ``on_error`` ``fallback`` a failing provider
     is replaced by the offline one for the whole call, under its own mode.
@@ -54,10 +57,16 @@ def embeddings(docs: DataFrame, path: str, provider: Embedding, id_col: str = "d
     keyed = docs.select(F.col(id_col).alias("id"), _hash(text_col).alias("content_hash"))
     wanted = materialize(keyed.select("content_hash").distinct().join(_stored(spark, folder).select("content_hash"), "content_hash", "left_anti"))
     bodies = docs.select(_hash(text_col).alias("content_hash"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
-    new = bodies.join(wanted, "content_hash", "left_semi").dropDuplicates(["content_hash"])
+    few = wanted.limit(BROADCAST_HASHES + 1).count() <= BROADCAST_HASHES
+    if type(provider) is HashEmbedding:
+        # Vectors are made where the texts are, and only vectors move: of the few new texts, or of all where most are new.
+        made = _made(bodies.join(F.broadcast(wanted), "content_hash", "left_semi"), provider) if few else _made(bodies, provider).join(wanted, "content_hash", "left_semi")
+        made = made.dropDuplicates(["content_hash"])
+    else:
+        made = _made(bodies.join(F.broadcast(wanted) if few else wanted, "content_hash", "left_semi").dropDuplicates(["content_hash"]), provider)
     side = f"{path.rstrip('/')}/_new"
     try:
-        _made(new, provider).select("content_hash", F.size("embedding").alias("dim"), "embedding").write.mode("overwrite").parquet(side)
+        made.select("content_hash", F.size("embedding").alias("dim"), "embedding").write.mode("overwrite").parquet(side)
     except Exception as e:
         if on_error == "fallback" and ProviderError.__name__ in str(e):
             return embeddings(docs, path, HashEmbedding(), id_col, text_col)
