@@ -11,6 +11,7 @@ import json
 import time
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
@@ -41,14 +42,26 @@ def stage(df: DataFrame, path: str) -> str:
     return name
 
 
+def _created(spark: SparkSession, folder: str, name: str) -> bool:
+    """Whether the file is new; of several callers at a time only one makes it."""
+    where, store = _path(spark, f"{folder}/{name}")
+    store.mkdirs(where.getParent())
+    if store.getScheme() == "file":  # there the store's own call looks first and creates then
+        return spark.sparkContext._jvm.java.io.File(where.toUri().getPath()).createNewFile()
+    try:
+        return store.createNewFile(where)
+    except Py4JJavaError as e:
+        if "FileAlreadyExists" in str(e):
+            return False
+        raise
+
+
 def claim(spark: SparkSession, path: str) -> int:
     """A version's number that no other writer has: the least above all that were claimed."""
     top = path.rstrip("/")
     while True:
         number = max([0, *(int(x) for x in _names(spark, f"{top}/{_CLAIMS}") if x.isdigit()), *versions(spark, path)]) + 1
-        where, store = _path(spark, f"{top}/{_CLAIMS}/{number}")
-        # One that was claimed meanwhile is there already.
-        if store.createNewFile(where):
+        if _created(spark, f"{top}/{_CLAIMS}", str(number)):
             return number
 
 
