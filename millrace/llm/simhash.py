@@ -119,8 +119,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     share both one stays.  The columns are those of ``docs``.
     """
     key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), *text_key(F.col(text_col)))
-    mark = F.struct(F.xxhash64(key).alias("m1"), F.xxhash64(F.lit(1), key).alias("m2"))
-    name = fresh(docs, "mark")
+    m1, m2 = F.xxhash64(key), F.xxhash64(F.lit(1), key)
+    mark = F.struct(m1.alias("m1"), m2.alias("m2"))
+    names = [fresh(docs, "m1"), fresh(docs, "m2")]
     rows = docs.select(F.col(id_col).alias("id"), *text_key(F.col(text_col)), mark.alias("mark"), F.col(text_col).alias("body"))
     made = materialize(fingerprints(rows, ["id", "t1", "t2", "mark"], "body", shingle, seed))
     more = None
@@ -133,5 +134,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "t1", "t2", "mark")).alias("least")
     # The least of each fingerprint first, so that copies are gone before the classes meet.
     first = made.groupBy("fp").agg(least).join(_roots(made, distance, more), "fp")
-    kept = first.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.mark").alias(name))
-    return docs.withColumn(name, mark).join(kept, name, "left_semi").dropDuplicates([name]).drop(name)
+    kept = first.groupBy("root").agg(F.min("least").alias("least")).select(*(F.col(f"least.mark.m{i + 1}").alias(n) for i, n in enumerate(names)))
+    # Marks of classes differ, so this finds a row once.  By the hint and plain columns the texts are dealt out once, for the
+    # join and for what repeats: a broadcast that Spark finds when they are dealt out already would do it again.
+    return docs.withColumns(dict(zip(names, (m1, m2), strict=True))).join(kept.hint("merge"), names).dropDuplicates(names).drop(*names)

@@ -14,6 +14,11 @@ different components are looked at.  Those of small buckets are listed once and,
 unless the places of what they share rule them out, verified in a join; in a large
 one the texts outside its most frequent component meet all others in cells of
 bounded size, where a component that is linked already is passed over.
+
+Texts themselves move only where their sketches meet.  A sketch has a bit or two
+for each shingle, the parity of the shingles that are hashed to it, so two sets
+differ in at least as many shingles as their sketches do in bits.  Pairs that
+differ in too many for their sizes can't be similar; no similar pair is lost.
 """
 
 from __future__ import annotations
@@ -23,18 +28,21 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm._shared import bounded_batches, drop_since, mark, materialize, text_key, utf8
 from millrace.llm.graphs import components
+from millrace.operators.tables import likely
 
 #: A bucket of more texts is large: it has pivots, so many, and its texts are compared in cells of two blocks of about so many.
 LARGE, PIVOTS, BLOCK = 32, 8, 2048
 #: Texts (on average) and shingles that the order is made from.
 SAMPLE_TEXTS, COMMON = 20_000, 200_000
 _SEEN, _COLUMNS = 1 << 18, 2048
+_TOKEN = ["token", "id", "n", "at"]
 
 
 def shingles(text: bytes, words: int = 5) -> set[bytes]:
@@ -110,6 +118,65 @@ def _shared_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         last, handed_on = rows.slice(int(at[-1]), 1), done
 
 
+def _shared_and_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``_shared_tokens`` of the rows of tokens; those of sketches, whose ``at`` is -1, are handed on."""
+    aside: list[pa.RecordBatch] = []
+
+    def tokens() -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sketch = pc.equal(batch.column("at"), -1)
+            aside.append(batch.filter(sketch))
+            yield batch.filter(pc.invert(sketch))
+
+    for rows in _shared_tokens(tokens()):
+        yield from aside
+        aside.clear()
+        yield rows
+    yield from aside
+
+
+def sketch(hashes: np.ndarray) -> bytes:
+    """For each of ``n`` to ``2 n`` bits (a power of two, at least 64) the parity of the hashes that fall to it, least bit first."""
+    bits = max(64, 1 << (len(hashes) - 1).bit_length())
+    odd = np.bincount(hashes.view(np.uint64) & np.uint64(bits - 1), minlength=bits) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
+
+
+def may_be_similar(a: bytes, b: bytes, n: int, similarity: Fraction) -> bool:
+    """Whether two sketches differ in no more bits than similar sets of ``n`` members together do; the longer sketch is folded."""
+    if len(a) < len(b):
+        a, b = b, a
+    x, size = int.from_bytes(a, "little"), 8 * len(a)
+    while size > 8 * len(b):
+        size //= 2
+        x = (x >> size) ^ (x & ((1 << size) - 1))
+    num, den = similarity.numerator, similarity.denominator
+    return (x ^ int.from_bytes(b, "little")).bit_count() * (num + den) <= (den - num) * n
+
+
+def sketched_cells(sketches: list[bytes], n: np.ndarray, label: np.ndarray, asks: np.ndarray, similarity: Fraction) -> np.ndarray:
+    """Which rows of a cell may be similar to one of the other side that has another label; ``asks`` tells the sides."""
+    num, den, keep = similarity.numerator, similarity.denominator, np.zeros(len(n), bool)
+    size = np.array([len(s) // 8 for s in sketches])
+
+    def folded(at: np.ndarray, width: int) -> np.ndarray:
+        words = np.frombuffer(b"".join(sketches[i] for i in at), "<u8").reshape(len(at), -1, width)
+        return np.bitwise_xor.reduce(words, axis=1)
+
+    for b in np.unique(size[asks]):
+        for c in np.unique(size[~asks]):
+            x, y = np.flatnonzero(asks & (size == b)), np.flatnonzero(~asks & (size == c))
+            if max(n[x].min() * num - n[y].max() * den, n[y].min() * num - n[x].max() * den) > 0:
+                continue
+            left, right = folded(x, min(b, c)), folded(y, min(b, c))
+            for i, row in zip(x, left, strict=True):
+                apart = np.bitwise_count(right ^ row).sum(axis=1, dtype=np.int64)
+                near = y[(apart * (num + den) <= (den - num) * (n[i] + n[y])) & (label[y] != label[i])]
+                keep[i] |= len(near) > 0
+                keep[near] = True
+    return keep
+
+
 def _hashes(text: bytes, words: int) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(s) for s in shingles(text, words)), np.uint64).view(np.int64))
 
@@ -139,13 +206,20 @@ def similar_links(docs: DataFrame, text_col: str = "text", words: int = 5, simil
                     seen.add(key)
                     made = _hashes(body.as_py(), words)
                     n = len(made)
-                    if common is not None:
+                    if common is not None and n:
+                        short = sketch(made)
                         rank = np.zeros(n, np.int64)
                         if len(common):
                             at = np.minimum(np.searchsorted(common, made), len(common) - 1)
                             rank = np.where(common[at] == made, counts[at], 0)
                         made = made[np.lexsort((made, rank))][: prefix_length(n, level)]
-                    yield pa.RecordBatch.from_arrays([pa.array(made), pa.array(np.full(len(made), key, np.int64)), pa.array(np.full(len(made), n, np.int32)), pa.array(np.arange(len(made), dtype=np.int32))], ["token", "id", "n", "at"])
+                    at = np.arange(len(made), dtype=np.int32)
+                    rows = [made, np.full(len(made), key, np.int64), np.full(len(made), n, np.int32), at]
+                    if common is None:
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], _TOKEN)
+                    elif n:
+                        more = [pa.array(np.append(x, np.array(y, x.dtype))) for x, y in zip(rows, (key, key, n, -1), strict=True)]
+                        yield pa.RecordBatch.from_arrays([*more, pa.concat_arrays([pa.nulls(len(made), pa.binary()), pa.array([short], pa.binary())])], [*_TOKEN, "sketch"])
 
         return run
 
@@ -156,16 +230,30 @@ def similar_links(docs: DataFrame, text_col: str = "text", words: int = 5, simil
     common, counts = (often.column(c).to_numpy() for c in ("token", "c"))
 
     point = mark()
+    kind += ", sketch binary"
     rows = texts.mapInArrow(tokens(common, counts), kind)
-    listed = materialize(rows.repartition("token").sortWithinPartitions("token", "id").mapInArrow(_shared_tokens, kind))
+    both = materialize(rows.repartition("token").sortWithinPartitions("token", "id").mapInArrow(_shared_and_sketches, kind))
+    listed = both.where("at >= 0").drop("sketch")
+    sketches = materialize(both.where("at < 0").groupBy("id").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+
+    def with_bodies(ids: DataFrame) -> DataFrame:
+        """``id`` and ``body`` of the texts with these ids; of the others hardly any is moved."""
+        ids = ids.toDF("t1")
+        # Not a semi-join, which Spark would put before the filter; with the hint texts are dealt out by id once, for the join and the grouping.
+        needed = likely(texts, "t1", ids).join(ids.hint("merge"), "t1")
+        return materialize(needed.groupBy("t1").agg(F.first("body").alias("body")).withColumnRenamed("t1", "id"))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y, n = (batch.column(i).to_pylist() for i in (2, 3, 4))
+            yield batch.select(["a", "b"]).filter(pa.array([may_be_similar(*p, level) for p in zip(x, y, n, strict=True)], pa.bool_()))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Those of the pairs ``a``, ``b`` that are similar."""
         # Tables of their own, so that their sizes are known before the texts are joined.
-        pairs = materialize(pairs)
-        ids = materialize(pairs.select("a").union(pairs.select("b")).distinct())
-        needed = texts.join(ids.select(F.col("a").alias("t1")), "t1", "left_semi")
-        bodies = materialize(needed.groupBy(F.col("t1").alias("id")).agg(F.first("body").alias("body")))
+        x, y = (sketches.select(F.col("id").alias(end), F.col("n").alias(f"n_{end}"), F.col("sketch").alias(f"sketch_{end}")) for end in ("a", "b"))
+        pairs = materialize(materialize(pairs).join(x, "a").join(y, "b").select("a", "b", "sketch_a", "sketch_b", F.col("n_a") + F.col("n_b")).mapInArrow(near, "a bigint, b bigint"))
+        bodies = with_bodies(materialize(pairs.select("a").union(pairs.select("b")).distinct()))
         both = pairs.join(bodies.select(F.col("id").alias("a"), F.col("body").alias("left")), "a").join(bodies.select(F.col("id").alias("b"), F.col("body").alias("right")), "b")
 
         def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,9 +300,17 @@ def similar_links(docs: DataFrame, text_col: str = "text", words: int = 5, simil
     block, outer = F.pmod(F.xxhash64("id"), n_blocks).cast("int"), F.pmod(F.xxhash64("id", F.lit(1)), n_outer).cast("int")
     here = large.select("token", "id", "label", F.lit(False).alias("asks"), block.alias("i"), F.explode(F.sequence(F.lit(0), n_outer - 1)).alias("j"))
     asking = large.where("outside").select("token", "id", "label", F.lit(True).alias("asks"), F.explode(F.sequence(F.lit(0), n_blocks - 1)).alias("i"), outer.alias("j"))
-    cells = materialize(here.union(asking))
-    needed = texts.join(cells.select(F.col("id").alias("t1")).distinct(), "t1", "left_semi")
-    bodies = materialize(needed.groupBy(F.col("t1").alias("id")).agg(F.first("body").alias("body")))
+    placed = materialize(here.union(asking))
+    kind = "token bigint, id bigint, label bigint, asks boolean, i int, j int"
+
+    def meet(group: pa.Table) -> pa.Table:
+        n, label = (np.asarray(group.column(c).combine_chunks()).astype(np.int64) for c in ("n", "label"))
+        asks = np.array(group.column("asks").to_pylist(), bool)
+        return group.filter(pa.array(sketched_cells(group.column("sketch").to_pylist(), n, label, asks, level))).select(["token", "id", "label", "asks", "i", "j"])
+
+    # Texts that no sketch comes near are out before the others are fetched.
+    cells = materialize(placed.join(sketches, "id").groupBy("token", "i", "j").applyInArrow(meet, kind))
+    bodies = with_bodies(materialize(cells.select("id").distinct()))
 
     def search(group: pa.Table) -> pa.Table:
         ids, label, asks = (np.asarray(group.column(c).combine_chunks()) if c != "asks" else np.array(group.column(c).to_pylist(), bool) for c in ("id", "label", "asks"))

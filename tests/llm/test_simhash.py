@@ -78,3 +78,10 @@ def test_empty_table(no_docs):
     assert simhash.near_duplicates(no_docs).count() == 0
     assert simhash.keep_one(no_docs).count() == 0
     assert simhash.hamming_links(no_docs.select(F.col("doc_id").alias("fp"))).count() == 0
+
+
+def test_texts_are_dealt_out_once(spark, sf_dir):
+    kept = simhash.keep_one(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    kept.collect()
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("SortMergeJoin")]

@@ -1,6 +1,7 @@
 import random
 from fractions import Fraction
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -104,3 +105,35 @@ def test_stage_leaves_no_similar_pair(spark, sf_dir):
     kept = corpus_pipeline.simhash_near_dedup(spark, docs, sf_dir)
     assert kept.columns == docs.columns
     assert not plain_pairs([r.text for r in kept.collect()])
+
+
+def test_sketches_lose_no_similar_pair():
+    rng = random.Random(8)
+    for level in (Fraction(4, 5), Fraction(1, 2), Fraction(1, 10)):
+        pool = np.array([rng.getrandbits(64) for _ in range(1500)], np.uint64).view(np.int64)
+        bases = [rng.sample(range(1500), n) for n in (1, 3, 60, 130, 700)]
+        sets = [sorted(set(rng.sample(b, max(1, len(b) - rng.randrange(1 + len(b) // 3))) + rng.sample(range(1500), rng.randrange(1 + len(b) // 9)))) for b in bases for _ in range(14)]
+        sketches, n = [similar.sketch(pool[x]) for x in sets], np.array([len(x) for x in sets])
+        label, asks = np.array([rng.randrange(40) for _ in sets]), np.array([rng.random() < 0.5 for _ in sets])
+        kept = similar.sketched_cells(sketches, n, label, asks, level)
+        near, far = 0, 0
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                alike = len(set(a) & set(b)) >= level * len(set(a) | set(b))
+                may = similar.may_be_similar(sketches[i], sketches[j], int(n[i] + n[j]), level)
+                assert may or not alike
+                near, far = near + alike, far + (not may)
+                assert not (alike and asks[i] and not asks[j] and label[i] != label[j]) or (kept[i] and kept[j])
+        assert near > len(sets) and (far > 0 or level < Fraction(1, 2))
+
+
+def test_texts_without_a_near_sketch_stay_where_they_are(spark, monkeypatch):
+    """Long texts that share a rare opening, in large buckets, but little else: before, the bodies of all were fetched."""
+    rng = random.Random(4)
+    opening = " ".join(f"o{i}" for i in range(12))
+    docs = spark.createDataFrame([(opening + " " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(40)),) for _ in range(90)], "text string")
+    made, real = [], similar.materialize
+    monkeypatch.setattr(similar, "materialize", lambda df: made.append(real(df)) or made[-1])
+    monkeypatch.setattr(similar, "drop_since", lambda *_: None)
+    assert similar.similar_links(docs, similarity=0.3).count() == 0
+    assert [df.count() for df in made if "body" in df.columns] == [0, 0, 0]
