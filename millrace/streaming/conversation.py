@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -60,7 +60,12 @@ def message_counts(messages: DataFrame, time_col: str, delay: str = "10 minutes"
 
 
 class _Conversation(StatefulProcessor):
-    """A conversation's messages in order, and those that came before one that they follow."""
+    """A conversation's messages in order, and those that came before one that they follow.
+
+    Every look at the state is a call from Python to the executor, so there are
+    a few for each conversation of a batch, not some for each message: a message
+    that can be told at once never waits in the state.
+    """
 
     def __init__(self, first_turn: int, wait_ms: int | None, ttl_ms: int | None) -> None:
         self.first_turn, self.wait_ms, self.ttl_ms = first_turn, wait_ms, ttl_ms
@@ -71,48 +76,51 @@ class _Conversation(StatefulProcessor):
         self.log = handle.getListState("log", "role string, text string", self.ttl_ms)
         self.waiting = handle.getMapState("waiting", "turn bigint", "role string, text string", self.ttl_ms)
 
-    def _told(self, key: tuple, gaps: bool) -> Iterator[pd.DataFrame]:
-        """Contexts of the user messages that can be put in order now; with ``gaps`` of all that wait."""
-        turn = self.next.get()[0] if self.next.exists() else self.first_turn
-        ready = []
-        if gaps:
-            ready = sorted((k[0], v) for k, v in self.waiting.iterator())
-        else:
-            at = turn
-            while self.waiting.containsKey((at,)):
-                ready.append((at, self.waiting.getValue((at,))))
-                at += 1
-        if not ready:
-            return
+    def _turn(self) -> int:
+        held = self.next.get()
+        return self.first_turn if held is None else held[0]
+
+    def _told(self, key: tuple, ready: list[tuple[int, tuple]]) -> Iterator[Row]:
+        """Contexts of the user messages among those that are put in order now."""
         # What is there already is read once, and only what is new is written.
-        held = [tuple(m) for m in self.log.get()] if self.log.exists() else []
-        out = []
+        held = [tuple(m) for m in self.log.get()]
+        new = len(held)
         for at, message in ready:
-            held.append((message[0], message[1]))
-            self.log.appendValue(held[-1])
-            self.waiting.removeKey((at,))
+            held.append(message)
             if message[0] == "user":
-                out.append((key[0], at, len(held), "\n".join(m[0] for m in held), "\n".join(m[1] for m in held)))
+                yield Row(conv_id=key[0], turn=at, n_messages=len(held), roles="\n".join(m[0] for m in held), texts="\n".join(m[1] for m in held))
+        self.log.appendList(held[new:])
         self.next.update((ready[-1][0] + 1,))
-        if out:
-            yield pd.DataFrame(out, columns=["conv_id", "turn", "n_messages", "roles", "texts"])
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        turn = self.next.get()[0] if self.next.exists() else self.first_turn
-        for frame in rows:
-            for row in frame.itertuples():
-                if row.turn >= turn and not self.waiting.containsKey((int(row.turn),)):
-                    self.waiting.updateValue((int(row.turn),), (row.role, row.text or ""))
-        yield from self._told(key, False)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        turn = self._turn()
+        waited = {k[0]: tuple(v) for k, v in self.waiting.iterator()}
+        known = dict(waited)
+        for row in rows:
+            if row.turn >= turn:
+                known.setdefault(row.turn, (row.role, row.text or ""))
+        ready = []
+        while turn in known:
+            ready.append((turn, known.pop(turn)))
+            turn += 1
+        for at in waited.keys() - known.keys():
+            self.waiting.removeKey((at,))
+        for at in known.keys() - waited.keys():
+            self.waiting.updateValue((at,), known[at])
+        if ready:
+            yield from self._told(key, ready)
         if self.wait_ms is None:
             return
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        if any(True for _ in self.waiting.keys()):
+        if known:
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.wait_ms)
 
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ARG002, N802, N803
-        yield from self._told(key, True)
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: ARG002, N802, N803
+        ready = sorted((k[0], tuple(v)) for k, v in self.waiting.iterator())
+        if ready:
+            self.waiting.clear()
+            yield from self._told(key, ready)
 
     def close(self) -> None:
         pass
@@ -133,7 +141,7 @@ def ordered_contexts(messages: DataFrame, first_turn: int = 0, wait_ms: int | No
     """
     mode = "None" if wait_ms is None and ttl_ms is None else "ProcessingTime"
     grouped = messages.select("conv_id", "turn", "role", "text").groupBy("conv_id")
-    return grouped.transformWithStateInPandas(_Conversation(first_turn, wait_ms, ttl_ms), CONTEXT, "append", mode)
+    return grouped.transformWithState(_Conversation(first_turn, wait_ms, ttl_ms), CONTEXT, "append", mode)
 
 
 def replied(messages: DataFrame, time_col: str, within: str = "10 minutes", delay: str = "10 minutes") -> DataFrame:

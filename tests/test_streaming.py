@@ -120,3 +120,41 @@ def test_replies_as_in_batch(spark, tmp_path):
     whole = live.replied(spark.read.schema(schema).parquet(str(tmp_path / "in")), "ts")
     assert Counter(map(tuple, found.collect())) - Counter(map(tuple, whole.collect())) == Counter() == Counter(map(tuple, whole.collect())) - Counter(map(tuple, found.collect()))
     assert {(r.conv_id, r.reply) for r in found.collect()} == {(1, "x"), (2, "late"), (3, "x"), (3, "again"), (4, None), (6, None), (7, "x")}
+
+
+class Held:
+    """A state variable that counts what is asked of it."""
+
+    def __init__(self):
+        self.calls, self.list, self.map, self.value = Counter(), [], {}, None
+
+    def __getattr__(self, name):
+        act = {
+            "get": lambda: iter(list(self.list)) if self.list or self.value is None else self.value, "update": lambda v: setattr(self, "value", v),
+            "appendList": self.list.extend, "iterator": lambda: iter([((k,), v) for k, v in self.map.items()]),
+            "updateValue": lambda k, v: self.map.update({k[0]: v}), "removeKey": lambda k: self.map.pop(k[0]), "clear": self.map.clear,
+        }[name]
+        return lambda *a: self.calls.update([name]) or act(*a)
+
+
+class Value(Held):
+    def get(self):
+        self.calls.update(["get"])
+        return self.value
+
+
+def test_state_is_asked_by_batch_and_not_by_message():
+    from pyspark.sql import Row
+
+    one = live._Conversation(0, None, None)
+    one.next, one.log, one.waiting = Value(), Held(), Held()
+
+    def said(*turns):
+        rows = [Row(conv_id=1, turn=t, role="user", text=str(t)) for t in turns]
+        return [(r.turn, r.n_messages, r.texts.split("\n")[-1]) for r in one.handleInputRows((1,), iter(rows), None)]
+
+    assert said(*range(100), 101, 101) == [(t, t + 1, str(t)) for t in range(100)]
+    assert sum((one.next.calls + one.log.calls + one.waiting.calls).values()) <= 6
+    assert one.waiting.map == {101: ("user", "101")}
+    assert said(100, 5) == [(100, 101, "100"), (101, 102, "101")]
+    assert one.waiting.map == {} and one.next.value == (102,) and len(one.log.list) == 102
