@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators.embedding import embed
+from millrace.operators.tables import likely
 from millrace.sources.files import _path
 from millrace.sources.providers import PASSAGE, Embedding, HashEmbedding, ProviderError, embedded
 from millrace.sources.shared import materialize
@@ -59,8 +60,8 @@ def embeddings(docs: DataFrame, path: str, provider: Embedding, id_col: str = "d
     bodies = docs.select(_hash(text_col).alias("content_hash"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
     few = wanted.limit(BROADCAST_HASHES + 1).count() <= BROADCAST_HASHES
     if type(provider) is HashEmbedding:
-        # Vectors are made where the texts are, and only vectors move: of the few new texts, or of all where most are new.
-        made = _made(bodies.join(F.broadcast(wanted), "content_hash", "left_semi"), provider) if few else _made(bodies, provider).join(wanted, "content_hash", "left_semi")
+        # Vectors are made where the texts are, and only vectors move: of the new texts, and where these are many of the few others that the filter lets through.
+        made = _made(bodies.join(F.broadcast(wanted), "content_hash", "left_semi"), provider) if few else _made(likely(bodies, "content_hash", wanted), provider).join(wanted, "content_hash", "left_semi")
         made = made.dropDuplicates(["content_hash"])
     else:
         made = _made(bodies.join(F.broadcast(wanted) if few else wanted, "content_hash", "left_semi").dropDuplicates(["content_hash"]), provider)

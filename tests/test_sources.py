@@ -206,3 +206,17 @@ def test_cache_lookup_shuffles_no_text(spark, tmp_path):
     cache.embeddings(docs, str(tmp_path / "c"), providers.HashEmbedding())
     plan = cache.missing(docs, str(tmp_path / "c"), "offline")._jdf.queryExecution().executedPlan().toString()
     assert all("text" not in line and "body" not in line for line in plan.split("\n") if "Exchange" in line)
+
+
+def test_cache_embeds_few_old_texts_where_many_are_new(spark, tmp_path, monkeypatch):
+    """Also where the new hashes are too many to be sent to all tasks; before, every vector was made again then."""
+    monkeypatch.setattr(cache, "BROADCAST_HASHES", 10)
+    path, provider = str(tmp_path / "c"), providers.HashEmbedding()
+    docs = spark.range(2000).selectExpr("id as doc_id", "concat('text ', id) as text")
+    cache.embeddings(docs, path, provider)
+    given, real = [], cache.embed
+    monkeypatch.setattr(cache, "embed", lambda rows, *a: given.append(rows.count()) or real(rows, *a))
+    edited = docs.selectExpr("doc_id", "if(doc_id % 10 = 0, concat(text, ' edited'), text) as text")
+    rows = cache.embeddings(edited, path, provider)
+    assert 200 <= given[0] < 220 and rows.count() == 2000
+    assert not {r.doc_id for r in cache.missing(edited, path, provider.mode).collect()}
